@@ -52,9 +52,20 @@ def pivot_first(df: DataFrame, row: str, column: str, value: str,
     return p.agg(F.max(value))
 
 
-def transpose_matrix(df: DataFrame, key: str, name_col: str = "name") -> DataFrame:
-    """G-05: rows become columns (the small display matrices of G-04)."""
-    return df.transpose(F.col(key)).withColumnRenamed("key", name_col)
+def transpose_matrix(df: DataFrame, key: str, name_col: str = "name",
+                     values: Sequence[str] | None = None) -> DataFrame:
+    """G-05: rows become columns, for the small display matrices of G-04.
+
+    With ``values`` (the row keys, e.g. the top-n groups or a fixed
+    category list) it is an unpivot followed by a pivot on known values: no
+    job runs to discover columns.  Without, ``DataFrame.transpose`` reads
+    the key values first (bounded by ``spark.sql.transposeMaxValues``).
+    """
+    if values is None:
+        return df.transpose(F.col(key)).withColumnRenamed("key", name_col)
+    cells = [c for c in df.columns if c != key]
+    long = df.unpivot([key], cells, name_col, "_v")
+    return long.groupBy(name_col).pivot(key, list(values)).agg(F.max("_v"))
 
 
 def genre_share_by(df: DataFrame, by: str | Sequence[str], indicator_cols: Iterable[str]) -> DataFrame:
