@@ -1 +1,334 @@
-"""Registered queries."""
+"""Registered queries: features, models, hybrid scoring, recommendation, streaming
+(build steps 5 to 9).
+
+SQL can express the parts that are not model fitting: category indices
+(F-01), explainable term weights (F-07), routing of requests (R-02), and
+the prediction algebra (J-10, R-01, G-13, X-12, X-13).  For the algebra the
+two "models" are stand-ins Spark derives from the training split - the
+user's mean normalised rating plays the factor model, the item's mean the
+content model - so the blend, sweep and error jobs can be checked exactly.
+Queries that fit ALS / linear models register no SQL; the test suite
+checks them (planted data, brute force, stream = batch).
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelsight.functions.lookups import SERVING_WEIGHTS, SWEEP_WEIGHTS
+from reelsight.functions.scalars import blend, denormalize_rating, mean_label, normalize_rating
+from reelsight.operators.aggregates import rmse
+from reelsight.operators.features import CATEGORICAL, category_index_table, index_categories, prepare_features, \
+    term_weights
+from reelsight.operators.hybrid import choose_model, score_requests, sweep_weights
+from reelsight.operators.joins import combine_predictions
+from reelsight.operators.models import evaluate_rmse, predict_als, predict_linear, train_als, train_linear, \
+    tune_als
+from reelsight.operators.ordering import latest_rating_per_pair
+from reelsight.operators.recommend import recommend_for_all, user_projection
+from reelsight.operators.sampling import with_split
+from reelsight.plans.eda_queries import clean
+from reelsight.plans.genre_queries import STANDIN_GENRES
+from reelsight.plans.registry import register
+from reelsight.plans.sql import with_ctes
+from reelsight.plans.standin import items_standin, requests
+from reelsight.session import checkpoint_dir
+
+# ------------------------------------------------------------------ shared inputs
+
+
+def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned ratings with the normalised label (X-10, min-max on 1..5) and the split flag (L-03)."""
+    df = clean(spark, sf_dir).withColumn("NormUserRating", normalize_rating("UserRating", "minmax"))
+    return with_split(df)
+
+
+def mean_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-in model outputs on the latest test rating of each pair.
+
+    ``als_prediction`` = the user's mean training label, ``lr_prediction``
+    = the item's mean training label.  Returns (als_preds, lr_preds).
+    """
+    df = rated(spark, sf_dir)
+    train = df.filter("is_train")
+    test = latest_rating_per_pair(df.filter(~F.col("is_train")).select(
+        "UserID", "MovieID", "date_time", "UserRating", "NormUserRating"))
+    um = train.groupBy("UserID").agg(F.avg("NormUserRating").alias("als_prediction"))
+    im = train.groupBy("MovieID").agg(F.avg("NormUserRating").alias("lr_prediction"))
+    als = test.join(um, "UserID").select("UserID", "MovieID", "als_prediction", "NormUserRating")
+    lr = test.join(im, "MovieID").select("UserID", "MovieID", "lr_prediction", "NormUserRating")
+    return als, lr
+
+
+MEAN_PRED_CTES = {
+    "base": "SELECT UserID, MovieID, date_time, UserRating, (UserRating - 1.0) / 4.0 AS NormUserRating, is_train "
+            "FROM split",
+    "test_latest": """SELECT UserID, MovieID, NormUserRating FROM (
+                        SELECT *, row_number() OVER (PARTITION BY UserID, MovieID
+                                                     ORDER BY date_time DESC, UserRating DESC) AS rn
+                        FROM base WHERE NOT is_train) WHERE rn = 1""",
+    "um": "SELECT UserID, avg(NormUserRating) AS als_prediction FROM base WHERE is_train GROUP BY UserID",
+    "im": "SELECT MovieID, avg(NormUserRating) AS lr_prediction FROM base WHERE is_train GROUP BY MovieID",
+    "combined": """SELECT t.UserID, t.MovieID, um.als_prediction, t.NormUserRating AS NormUserRating_als,
+                          im.lr_prediction, t.NormUserRating AS NormUserRating_lr
+                   FROM test_latest t JOIN um ON t.UserID = um.UserID JOIN im ON t.MovieID = im.MovieID""",
+}
+
+
+def _mp_sql(body: str) -> str:
+    return with_ctes(body, "split", extra=MEAN_PRED_CTES)
+
+
+# ------------------------------------------------------------------ prediction algebra (SQL-checked)
+
+@register("combined_predictions", _mp_sql("""
+SELECT UserID, MovieID, round(als_prediction, 9) AS als_prediction, NormUserRating_als,
+       round(lr_prediction, 9) AS lr_prediction, NormUserRating_lr FROM combined"""))
+def q_combined_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-10 (after O-07): both models' predictions on the same test pairs, both labels kept."""
+    als, lr = mean_predictions(spark, sf_dir)
+    c = combine_predictions(als, lr)
+    return c.withColumns({"als_prediction": F.round("als_prediction", 9),
+                          "lr_prediction": F.round("lr_prediction", 9)})
+
+
+_W_VALUES = ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for a, b in SWEEP_WEIGHTS)
+
+
+@register("weight_sweep", _mp_sql(f"""
+SELECT w.weight_als, w.weight_lr,
+       round(sqrt(avg(pow(w.weight_als * c.als_prediction + w.weight_lr * c.lr_prediction
+                          - (c.NormUserRating_als + c.NormUserRating_lr) / 2.0, 2))), 9) AS rmse,
+       count(*) AS n
+FROM combined c CROSS JOIN (VALUES {_W_VALUES}) AS w(weight_als, weight_lr)
+GROUP BY w.weight_als, w.weight_lr"""))
+def q_weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-01: blend RMSE for each weight pair in one aggregation pass."""
+    als, lr = mean_predictions(spark, sf_dir)
+    s = sweep_weights(combine_predictions(als, lr))
+    return s.withColumn("rmse", F.round("rmse", 9))
+
+
+@register("prediction_rmse", _mp_sql("""
+SELECT 'als' AS model, round(sqrt(avg(pow(NormUserRating_als - als_prediction, 2))), 9) AS rmse, count(*) AS n
+FROM combined
+UNION ALL
+SELECT 'lr' AS model, round(sqrt(avg(pow(NormUserRating_lr - lr_prediction, 2))), 9) AS rmse, count(*) AS n
+FROM combined"""))
+def q_prediction_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-13: holdout RMSE of each model on the shared test pairs."""
+    als, lr = mean_predictions(spark, sf_dir)
+    c = combine_predictions(als, lr)
+    a = rmse(c, "NormUserRating_als", "als_prediction").select(F.lit("als").alias("model"), "rmse", "n")
+    b = rmse(c, "NormUserRating_lr", "lr_prediction").select(F.lit("lr").alias("model"), "rmse", "n")
+    return a.unionByName(b).withColumn("rmse", F.round("rmse", 9))
+
+
+@register("blend_scores", _mp_sql(f"""
+SELECT UserID, MovieID,
+       round({SERVING_WEIGHTS[0]} * als_prediction + {SERVING_WEIGHTS[1]} * lr_prediction, 9) AS hybrid_score,
+       round((NormUserRating_als + NormUserRating_lr) / 2.0, 9) AS label,
+       round(({SERVING_WEIGHTS[0]} * als_prediction + {SERVING_WEIGHTS[1]} * lr_prediction) * 4.0 + 1.0, 9)
+           AS hybrid_rating
+FROM combined"""))
+def q_blend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-12 + X-13 + X-11: serving blend (.7/.3), mean label, blend on the 1..5 scale."""
+    als, lr = mean_predictions(spark, sf_dir)
+    c = combine_predictions(als, lr)
+    h = blend("als_prediction", "lr_prediction", *SERVING_WEIGHTS)
+    return c.select("UserID", "MovieID", F.round(h, 9).alias("hybrid_score"),
+                    F.round(mean_label("NormUserRating_als", "NormUserRating_lr"), 9).alias("label"),
+                    F.round(denormalize_rating(h, "minmax"), 9).alias("hybrid_rating"))
+
+
+@register("request_routing", with_ctes("""
+SELECT q.RequestID, q.UserID, q.MovieID,
+       CASE WHEN q.UserID IN (SELECT UserID FROM split WHERE is_train)
+             AND q.MovieID IN (SELECT MovieID FROM split WHERE is_train) THEN 'ALS'
+            WHEN q.MovieID IN (SELECT MovieID FROM clean) THEN 'LR'
+            ELSE 'Fallback' END AS model_choice
+FROM requests q""", "split", "requests"))
+def q_request_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-02: per request, ALS if user and item are known to the factor model
+    (= present in its training split), else LR if the item has metadata, else Fallback."""
+    df = rated(spark, sf_dir)
+    train = df.filter("is_train")
+    r = choose_model(requests(spark, sf_dir).select("RequestID", "UserID", "MovieID"),
+                     train.select("UserID"), train.select("MovieID"), df.select("MovieID"))
+    return r.select("RequestID", "UserID", "MovieID", "model_choice")
+
+
+# ------------------------------------------------------------------ features (F-01 and F-07 SQL-checked)
+
+def _index_sql() -> str:
+    parts = []
+    for c in CATEGORICAL:
+        parts.append(f"""SELECT '{c}' AS "column", value,
+                 CAST(row_number() OVER (ORDER BY cnt DESC, value) - 1 AS DOUBLE) AS "index"
+          FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS cnt FROM clean
+                WHERE {c} IS NOT NULL GROUP BY 1)""")
+    return with_ctes("\nUNION ALL\n".join(parts), "clean")
+
+
+@register("category_index", _index_sql())
+def q_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-01: frequency-descending index of each categorical value (ties alphabetical)."""
+    df = clean(spark, sf_dir)
+    cast = df.select(*[F.col(c).cast("string").alias(c) for c in CATEGORICAL])
+    model = index_categories(CATEGORICAL).fit(cast)
+    return category_index_table(cast, model, CATEGORICAL)
+
+
+def _stop_words() -> list[str]:
+    from pyspark.ml.feature import StopWordsRemover
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
+def _term_sql() -> str:
+    sw = ", ".join("'" + w.replace("'", "''") + "'" for w in _stop_words())
+    return with_ctes("""
+SELECT tf.MovieID, tf.term, tf.tf, d.df, round(tf.tf * ln((n.n + 1.0) / (d.df + 1.0)), 9) AS weight
+FROM tf JOIN dfq d ON tf.term = d.term CROSS JOIN n""", "clean", extra={
+        "docs": "SELECT DISTINCT MovieID, plot_outline FROM clean WHERE plot_outline IS NOT NULL",
+        "tok": "SELECT MovieID, unnest(regexp_split_to_array(lower(plot_outline), '[ \\t\\n\\x0B\\f\\r]+')) AS term "
+               "FROM docs",
+        "tf": f"SELECT MovieID, term, count(*) AS tf FROM tok WHERE term <> '' AND term NOT IN ({sw}) GROUP BY 1, 2",
+        "dfq": "SELECT term, count(*) AS df FROM tf GROUP BY term",
+        "n": "SELECT count(*) AS n FROM docs"})
+
+
+@register("term_weights", _term_sql())
+def q_term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-07: TF-IDF weights per (title, term) over every title's whole plot."""
+    docs = items_standin(spark, sf_dir).filter(F.col("plot_outline").isNotNull())
+    tw = term_weights(docs, "MovieID", "plot_outline")
+    return tw.withColumn("weight", F.round("weight", 9))
+
+
+# ------------------------------------------------------------------ fitted models (checked by tests)
+
+_CACHE: dict = {}
+
+
+def trained(spark: SparkSession, sf_dir: str) -> dict:
+    """Fit once per session and scale factor: split, ALS, features, linear model."""
+    key = (id(spark), sf_dir)
+    if key in _CACHE:
+        return _CACHE[key]
+    checkpoint_dir(spark)
+    df = rated(spark, sf_dir).persist()
+    train, test = df.filter("is_train"), df.filter(~F.col("is_train"))
+    als = train_als(train.select("UserID", "MovieID", "NormUserRating"), rank=10, reg=0.1, iters=10)
+    items = items_standin(spark, sf_dir)
+    feats, fm = prepare_features(df, train=train, items=items)
+    feats = feats.select("UserID", "MovieID", "date_time", "UserRating", "NormUserRating", "is_train",
+                         "content_features")
+    lr = train_linear(feats.filter("is_train"))
+    out = {"df": df, "train": train, "test": test, "als": als, "features": feats, "feature_model": fm, "lr": lr}
+    _CACHE[key] = out
+    return out
+
+
+@register("content_features")
+def q_content_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-08..F-11: content feature vector per rating row (size, non-zeros, L2 norm reported)."""
+    from pyspark.ml.functions import vector_to_array
+    f = trained(spark, sf_dir)["features"]
+    arr = vector_to_array(F.col("content_features"))
+    return f.select("UserID", "MovieID", "NormUserRating", F.size(arr).alias("n_features"),
+                    F.size(F.filter(arr, lambda x: x != 0)).alias("n_nonzero"),
+                    F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x)), 6).alias("l2"))
+
+
+@register("als_holdout")
+def q_als_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-01 + L-04 + L-05: ALS (rank 10, reg 0.1, 10 iterations) fitted on the train split, RMSE on test."""
+    t = trained(spark, sf_dir)
+    pred = predict_als(t["als"], latest_rating_per_pair(t["test"].select(
+        "UserID", "MovieID", "date_time", "UserRating", "NormUserRating")))
+    return rmse(pred, "NormUserRating", "als_prediction")
+
+
+@register("als_tuning")
+def q_als_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-02: the 27-point grid (rank x reg x iterations), 3 hash folds; one row per grid point."""
+    t = trained(spark, sf_dir)
+    tuned = tune_als(t["train"].select("UserID", "MovieID", "NormUserRating"),
+                     parallelism=int(os.environ.get("REELSIGHT_CV_PARALLELISM", "4")))
+    return tuned.results
+
+
+@register("linear_holdout")
+def q_linear_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-06 + L-07: elastic-net content model on the train split, RMSE on test."""
+    t = trained(spark, sf_dir)
+    pred = predict_linear(t["lr"], t["features"].filter(~F.col("is_train")))
+    return rmse(pred, "NormUserRating", "lr_prediction")
+
+
+def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-10 on the fitted models: ALS and LR predictions for the latest test rating of each pair."""
+    t = trained(spark, sf_dir)
+    test_latest = latest_rating_per_pair(t["test"].select("UserID", "MovieID", "date_time", "UserRating",
+                                                          "NormUserRating"))
+    als = predict_als(t["als"], test_latest)
+    feats = t["features"].filter(~F.col("is_train")).join(test_latest.select("UserID", "MovieID", "date_time"),
+                                                          ["UserID", "MovieID", "date_time"], "left_semi")
+    lr = latest_rating_per_pair(predict_linear(t["lr"], feats).select(
+        "UserID", "MovieID", "date_time", "UserRating", "NormUserRating", "lr_prediction"))
+    return combine_predictions(als, lr)
+
+
+@register("hybrid_sweep")
+def q_hybrid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-01 on the fitted models: RMSE per weight pair."""
+    return sweep_weights(model_predictions(spark, sf_dir))
+
+
+@register("score_requests")
+def q_score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-06: every request scored (blend, single model or none) with the model used."""
+    t = trained(spark, sf_dir)
+    df = t["df"]
+    users = df.select("UserID", "Gender", "Occupation_Name", "Age").dropDuplicates(["UserID"])
+    items = df.select("MovieID", "Genres", "directedBy", "starring", "rating_imdb", "runtimes") \
+        .dropDuplicates(["MovieID"]).join(items_standin(spark, sf_dir), "MovieID", "left")
+    return score_requests(requests(spark, sf_dir), t["als"], t["lr"], t["feature_model"], users, items)
+
+
+@register("recommend_all")
+def q_recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-05: per user, the 10 best unseen titles predicted in the 4..5 band."""
+    t = trained(spark, sf_dir)
+    return recommend_for_all(t["als"], t["df"], n=10)
+
+
+@register("user_projection")
+def q_user_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-08: 2-D PCA coordinates of each user's genre-share vector, with the dominant genre."""
+    return user_projection(clean(spark, sf_dir), STANDIN_GENRES)
+
+
+@register("request_stream")
+def q_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-01: the requests landed as files, scored by a file-source stream (foreachBatch R-06)."""
+    import uuid
+    from reelsight.schemas import REQUEST_SCHEMA
+    from reelsight.streaming.requests import read_scored, request_stream, score_request_stream
+    t = trained(spark, sf_dir)
+    df = t["df"]
+    users = df.select("UserID", "Gender", "Occupation_Name", "Age").dropDuplicates(["UserID"])
+    items = df.select("MovieID", "Genres", "directedBy", "starring", "rating_imdb", "runtimes") \
+        .dropDuplicates(["MovieID"]).join(items_standin(spark, sf_dir), "MovieID", "left")
+    base = checkpoint_dir(spark).rstrip("/") + f"/request-stream-{uuid.uuid4().hex}"
+    reqs = requests(spark, sf_dir).select(*[f.name for f in REQUEST_SCHEMA.fields])
+    reqs.write.mode("overwrite").json(f"{base}/source")
+    q = score_request_stream(
+        request_stream(spark, f"{base}/source", max_files_per_trigger=4),
+        lambda b: score_requests(b, t["als"], t["lr"], t["feature_model"], users, items),
+        f"{base}/sink", f"{base}/checkpoint")
+    q.awaitTermination()
+    return read_scored(spark, f"{base}/sink").drop("batch_id")

@@ -124,6 +124,11 @@ def ratings_standin(spark: SparkSession, sf_dir: str, with_plot: bool = False) -
     return wide.select(*cols)
 
 
+def items_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per title with its plot text: MovieID, plot_outline."""
+    return _titles_wide(spark, sf_dir, with_plot=True).select("MovieID", "plot_outline")
+
+
 # ------------------------------------------------------------ raw inputs of the ingest joins
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
