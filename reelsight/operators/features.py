@@ -245,6 +245,25 @@ def model_for(model, col: str):
                                           handleInvalid="keep")
 
 
+def default_stop_words(language: str = "english") -> list[str]:
+    """Spark ML's default stop-word list, read from the installed Spark ML jar.
+
+    Same list ``StopWordsRemover.loadDefaultStopWords`` returns, but usable
+    before a SparkContext exists (the oracle SQL is built without one).
+    """
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
+            if name in z.namelist():
+                return z.read(name).decode("utf-8").split()
+    return list(StopWordsRemover.loadDefaultStopWords(language))
+
+
 # Whitespace characters a token never contains (Java's \\s class).
 WHITESPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -260,7 +279,7 @@ def term_weights(docs: DataFrame, doc_col: str = "MovieID", text_col: str = "plo
     partial aggregates; the join of tf with df is on the term.
     """
     if stop_words is None:
-        stop_words = StopWordsRemover.loadDefaultStopWords("english")
+        stop_words = default_stop_words("english")
     toks = docs.select(F.col(doc_col), F.explode(F.split(F.lower(F.col(text_col)), WHITESPACE_RUN)).alias("term"))
     toks = toks.filter((F.col("term") != "") & ~F.col("term").isin(list(stop_words)))
     tf = toks.groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("tf"))

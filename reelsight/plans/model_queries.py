@@ -183,8 +183,8 @@ def q_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stop_words() -> list[str]:
-    from pyspark.ml.feature import StopWordsRemover
-    return StopWordsRemover.loadDefaultStopWords("english")
+    from reelsight.operators.features import default_stop_words
+    return default_stop_words("english")
 
 
 def _term_sql() -> str:
