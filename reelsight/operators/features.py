@@ -199,12 +199,15 @@ def prepare_features(df: DataFrame, train: DataFrame | None = None, items: DataF
             items = df.select("MovieID", "plot_outline").dropDuplicates(["MovieID"])
         train_items = items.join(fit_rows.select("MovieID").distinct(), "MovieID", "left_semi")
         text_model = fit_text_model(train_items)
-        item_text = item_text_features(text_model, items)
-        fit_rows = fit_rows.join(item_text, "MovieID", "left").withColumn(
-            "plot_tfidf", F.coalesce(F.col("plot_tfidf"), _zero_text()))
-    fit_input = feature_input(fit_rows.drop("plot_outline")).persist()  # read by several estimators
+        # one vector per title, read by training rows and by every request batch
+        item_text = item_text_features(text_model, items).persist()
+    # The estimators (Imputer, StringIndexer, OneHotEncoder) read only their own
+    # columns: fit them on the plain rows.  The text vector is joined per item at
+    # transform time; here it is a placeholder that no fitting job ever computes.
+    fit_input = feature_input(fit_rows.drop("plot_outline")).persist()
     try:
-        row_model = build_feature_stages(include_item_id, with_text).fit(fit_input)
+        staged = fit_input.withColumn("plot_tfidf", _zero_text()) if with_text else fit_input
+        row_model = build_feature_stages(include_item_id, with_text).fit(staged)
     finally:
         fit_input.unpersist()
     fm = FeatureModel(text_model, row_model, item_text)

@@ -225,7 +225,7 @@ def trained(spark: SparkSession, sf_dir: str) -> dict:
     items = items_standin(spark, sf_dir)
     feats, fm = prepare_features(df, train=train, items=items)
     feats = feats.select("UserID", "MovieID", "date_time", "UserRating", "NormUserRating", "is_train",
-                         "content_features")
+                         "content_features").persist()   # read by the LR fit and three queries
     lr = train_linear(feats.filter("is_train"))
     out = {"df": df, "train": train, "test": test, "als": als, "features": feats, "feature_model": fm, "lr": lr}
     _CACHE[key] = out
@@ -295,7 +295,7 @@ def q_score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = t["df"]
     users = df.select("UserID", "Gender", "Occupation_Name", "Age").dropDuplicates(["UserID"])
     items = df.select("MovieID", "Genres", "directedBy", "starring", "rating_imdb", "runtimes") \
-        .dropDuplicates(["MovieID"]).join(items_standin(spark, sf_dir), "MovieID", "left")
+        .dropDuplicates(["MovieID"])
     return score_requests(requests(spark, sf_dir), t["als"], t["lr"], t["feature_model"], users, items)
 
 
@@ -322,7 +322,7 @@ def q_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = t["df"]
     users = df.select("UserID", "Gender", "Occupation_Name", "Age").dropDuplicates(["UserID"])
     items = df.select("MovieID", "Genres", "directedBy", "starring", "rating_imdb", "runtimes") \
-        .dropDuplicates(["MovieID"]).join(items_standin(spark, sf_dir), "MovieID", "left")
+        .dropDuplicates(["MovieID"])
     base = checkpoint_dir(spark).rstrip("/") + f"/request-stream-{uuid.uuid4().hex}"
     reqs = requests(spark, sf_dir).select(*[f.name for f in REQUEST_SCHEMA.fields])
     reqs.write.mode("overwrite").json(f"{base}/source")

@@ -21,9 +21,32 @@ from pyspark.sql import functions as F
 from reelsight.schemas import REQUEST_SCHEMA
 
 
+_READERS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table (Parquet)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table (Parquet).  The reader (schema from the footers) is built once per session."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _READERS:
+        _READERS[key] = spark.read.parquet(path)
+    return _READERS[key]
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` by ``keys`` only if its scan yields fewer partitions than
+    the cluster has cores (a plan-time check, no job runs).
+
+    On a cluster a large table arrives in many file splits and is left
+    alone; a table stored as one unsplittable row group (as the test data
+    is) would otherwise run every downstream step in a single task.  For the
+    fact table the key is its join key, so the exchange is the one a
+    sort-merge join on that key needs anyway.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(*keys) if keys else df.repartition(cores)
 
 
 # ------------------------------------------------------------ user attributes
@@ -82,7 +105,8 @@ def _plots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titles_wide(spark: SparkSession, sf_dir: str, with_plot: bool) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    # spread before the plot join, so long texts are never shuffled
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     t = p.select(
         F.col("p_partkey").cast("int").alias("MovieID"),
         F.col("p_name").alias("Title"),
@@ -108,7 +132,8 @@ def ratings_standin(spark: SparkSession, sf_dir: str, with_plot: bool = False) -
     ``with_plot`` adds ``plot_outline`` (document text); leave it off unless
     the text features need it, so the other jobs never carry long texts.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate"),
+                "l_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     r = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         F.col("o_custkey").cast("int").alias("UserID"),
@@ -133,7 +158,8 @@ def items_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings as ingested: UserID, MovieID, Rating, Timestamp (epoch seconds)."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate"),
+                "l_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         F.col("o_custkey").cast("int").alias("UserID"),
@@ -195,7 +221,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     about a third of the items are unknown.  Optional request fields are
     NULL; scoring fills them from the dimension tables.
     """
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     n_items = table(spark, sf_dir, "part").select(F.count(F.lit(1)).alias("n")).scalar()
     e = e.withColumn("_n", n_items)
     modulus = F.col("_n") + F.floor(F.col("_n") / 2).cast("bigint")
