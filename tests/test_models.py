@@ -1,5 +1,6 @@
 """Models, recommendation and streaming on planted data (FIXTURES.md section 3)."""
 
+import math
 import os
 
 import numpy as np
@@ -120,3 +121,69 @@ def test_user_projection_shape(spark):
                                "UserID int, Genres string")
     out = user_projection(df, ["A", "B", "C"]).collect()
     assert len(out) == 20 and all(r.x is not None and r.y is not None for r in out)
+
+
+def _feature_rows(spark):
+    rows = []
+    for u in range(12):
+        for m in range(8):
+            if (u + m) % 3:
+                rows.append((u, m, 1 + (u * m) % 5, f"g{m % 3}|g{m % 2}", ["F", "M"][u % 2], f"occ{u % 4}", 18 + u % 3,
+                             f"d{m % 2}", f"s{m % 3}", m % 9, None if m == 3 else 90 + m))
+    df = spark.createDataFrame(rows, "UserID int, MovieID int, UserRating int, Genres string, Gender string, "
+                                     "Occupation_Name string, Age int, directedBy string, starring string, "
+                                     "rating_imdb int, runtimes int")
+    df = df.withColumn("NormUserRating", (F.col("UserRating") - 1) / 4.0) \
+        .withColumn("date_time", F.lit("2020-05-01 00:00:00").cast("timestamp_ntz"))
+    items = spark.createDataFrame([(m, None if m == 5 else f"Plot of title {m} with the hero and a villain {m % 2}")
+                                   for m in range(8)], "MovieID int, plot_outline string")
+    return df, items
+
+
+def test_feature_model_save_load_same_vectors(spark, tmp_out):
+    from reelsight.operators.features import FeatureModel, prepare_features
+    df, items = _feature_rows(spark)
+    feats, fm = prepare_features(df, items=items, model_path=os.path.join(tmp_out, "fm"))
+    a = {(r.UserID, r.MovieID): r.content_features for r in feats.collect()}
+    assert len(a) == df.count()                      # no row skipped, NULL runtimes mean-filled
+    back = FeatureModel.load(spark, os.path.join(tmp_out, "fm"))
+    b = {(r.UserID, r.MovieID): r.content_features for r in back.transform(df).collect()}
+    assert a == b
+    # three L2-normalised groups: the norm is sqrt(number of non-empty groups)
+    assert all(abs(v.norm(2) - math.sqrt(3)) < 1e-9 for v in a.values())
+
+
+def test_score_requests_decisions(spark):
+    from reelsight.operators.features import prepare_features
+    from reelsight.operators.hybrid import score_requests
+    df, items = _feature_rows(spark)
+    feats, fm = prepare_features(df, items=items)
+    als = train_als(df, rank=2, iters=5)
+    lr = train_linear(feats)
+    req = spark.createDataFrame([(1, 1, 1), (2, 99, 1), (3, 1, 77), (4, 0, 0)],
+                                "RequestID long, UserID int, MovieID int")
+    for c, t in [("Gender", "string"), ("Occupation", "string"), ("Age", "int"), ("Genres", "string"),
+                 ("Year", "int"), ("Runtime", "int"), ("IMDBRating", "double")]:
+        req = req.withColumn(c, F.lit(None).cast(t))
+    users = df.select("UserID", "Gender", "Occupation_Name", "Age").dropDuplicates(["UserID"])
+    dims = df.select("MovieID", "Genres", "directedBy", "starring", "rating_imdb", "runtimes").dropDuplicates(["MovieID"])
+    out = {r.RequestID: r for r in score_requests(req, als, lr, fm, users, dims).collect()}
+    assert len(out) == 4
+    assert out[1].model_used == "Hybrid"
+    assert abs(out[1].PredictedScore - (0.7 * out[1].als_prediction + 0.3 * out[1].lr_prediction)) < 1e-12
+    assert abs(out[1].PredictedRating - (out[1].PredictedScore * 4 + 1)) < 1e-12
+    assert out[2].model_used == "LR" and out[2].als_prediction is None      # unknown user
+    assert out[3].model_used == "LR" and out[3].als_prediction is None      # unknown item
+    gated = {r.RequestID: r for r in score_requests(req, als, lr, fm, users, dims, gate="seen_pair",
+                                                     ratings=df).collect()}
+    seen = {(r.UserID, r.MovieID) for r in df.collect()}
+    assert (gated[4].als_prediction is not None) == ((0, 0) in seen)
+
+
+def test_projection_helpers(spark):
+    from reelsight.operators.clean import constant_column, optional_columns, project_prediction
+    df = spark.createDataFrame([(1, 2, 0.5)], "UserID int, MovieID int, prediction double")
+    p = project_prediction(df, {"UserID": "UserID", "prediction": "als_prediction"}, alias="p")
+    assert p.columns == ["UserID", "als_prediction"]
+    assert constant_column(df, "k", 7).first().k == 7
+    assert optional_columns(df, ["MovieID", "DirectorVec"]) == ["MovieID"]
