@@ -105,9 +105,20 @@ def linear_estimator(features: str = "content_features", label: str = "NormUserR
 
 
 def train_linear(train: DataFrame, features: str = "content_features",
-                 label: str = "NormUserRating") -> LinearRegressionModel:
-    """L-06: fit the content model (input persisted for the iterative solver)."""
-    data = train.select(features, label).persist(StorageLevel.MEMORY_AND_DISK)
+                 label: str = "NormUserRating", cache_input: bool = True) -> LinearRegressionModel:
+    """L-06: fit the content model.
+
+    The solver makes one pass per iteration.  With ``cache_input`` the
+    (vector, label) rows are persisted (memory, spilling to disk) for those
+    passes.  One content vector per rating row can outgrow the cluster's
+    memory and local disks at the largest scales; ``cache_input=False`` then
+    recomputes the rows on each pass from their sources (ratings joined with
+    the per-title text vectors) instead.
+    """
+    data = train.select(features, label)
+    if not cache_input:
+        return linear_estimator(features, label).fit(data)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return linear_estimator(features, label).fit(data)
     finally:

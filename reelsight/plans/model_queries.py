@@ -226,7 +226,7 @@ def trained(spark: SparkSession, sf_dir: str) -> dict:
     feats, fm = prepare_features(df, train=train, items=items)
     feats = feats.select("UserID", "MovieID", "date_time", "UserRating", "NormUserRating", "is_train",
                          "content_features").persist()   # read by the LR fit and three queries
-    lr = train_linear(feats.filter("is_train"))
+    lr = train_linear(feats.filter("is_train"), cache_input=False)   # feats is persisted above
     out = {"df": df, "train": train, "test": test, "als": als, "features": feats, "feature_model": fm, "lr": lr}
     _CACHE[key] = out
     return out
