@@ -105,8 +105,9 @@ def _plots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titles_wide(spark: SparkSession, sf_dir: str, with_plot: bool) -> DataFrame:
-    # spread before the plot join, so long texts are never shuffled
-    p = spread(table(spark, sf_dir, "part"), "p_partkey")
+    p = table(spark, sf_dir, "part")
+    if with_plot:   # spread before the plot join, so long texts are never shuffled
+        p = spread(p, "p_partkey")
     t = p.select(
         F.col("p_partkey").cast("int").alias("MovieID"),
         F.col("p_name").alias("Title"),
