@@ -99,3 +99,16 @@ def q_landed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "landed-details")
     old.unionByName(new).write.mode("overwrite").json(path)
     return read_enrichment(spark, path)
+
+
+@register("metadata_json_round_trip", with_ctes("""
+SELECT title, directedBy, starring, avgRating, CAST(imdbId AS VARCHAR) AS imdbId FROM raw_metadata""",
+    extra={"raw_metadata": RAW["raw_metadata"]}))
+def q_metadata_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-03: title metadata landed as JSON lines and read back with the declared schema."""
+    from reelsight.plans.standin import raw_metadata
+    from reelsight.schemas import METADATA_JSON
+    from reelsight.sources.files import read_title_metadata
+    path = _scratch(spark, "metadata-json")
+    raw_metadata(spark, sf_dir).write.mode("overwrite").json(path)
+    return read_title_metadata(spark, path, METADATA_JSON)

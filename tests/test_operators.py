@@ -151,3 +151,10 @@ def test_split_is_disjoint_complete_and_layout_free(spark):
     assert {tuple(r) for r in tr2.collect()} == a
     s = sample_fraction(df, 0.1).count()
     assert 120 < s < 280
+
+
+def test_predict_by_choice(spark):
+    from reelsight.operators.hybrid import predict_by_choice
+    df = spark.createDataFrame([("ALS", 0.1, 0.2), ("LR", 0.1, 0.2), ("Fallback", 0.1, 0.2), ("LR", 0.1, None)],
+                               "model_choice string, als_prediction double, lr_prediction double")
+    assert [r.prediction for r in predict_by_choice(df).collect()] == [0.1, 0.2, None, None]
