@@ -286,7 +286,10 @@ def term_weights(docs: DataFrame, doc_col: str = "MovieID", text_col: str = "plo
     toks = docs.select(F.col(doc_col), F.explode(F.split(F.lower(F.col(text_col)), WHITESPACE_RUN)).alias("term"))
     toks = toks.filter((F.col("term") != "") & ~F.col("term").isin(list(stop_words)))
     tf = toks.groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # documents in which the term occurs, counted from tf itself: the tf sub-plan
+    # then stays identical on both branches (count(*) would let the optimizer prune
+    # it), its shuffle is reused and every text is tokenised once
+    dfreq = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     n_docs = docs.select(F.count(F.lit(1)).alias("n")).scalar()
     out = tf.join(dfreq, "term").withColumn("_n", n_docs)
     idf = F.log((F.col("_n") + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))

@@ -46,7 +46,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(*keys) if keys else df.repartition(cores)
+    # an explicit count: adaptive execution would coalesce a small by-column
+    # repartition straight back into one partition
+    return df.repartition(cores, *keys)
 
 
 # ------------------------------------------------------------ user attributes
