@@ -224,18 +224,19 @@ def prepare_features(df: DataFrame, train: DataFrame | None = None, items: DataF
 def category_index_table(df: DataFrame, model, cols: Sequence[str] = CATEGORICAL) -> DataFrame:
     """F-01 as a table: (column, value, index) for every distinct value of each column.
 
-    Built by transforming the distinct values (distributed), not from the
-    model's label arrays on the driver.
+    One pass: the columns are unpivoted to (column, value) pairs and made
+    distinct with a single shuffle; each column's slice then goes through its
+    fitted indexer (distributed), not through the model's label arrays on the
+    driver.  The slices share the distinct's shuffle output.
     """
-    parts = []
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                for c in cols]))
+    distinct = df.select(pairs.alias("p")).select("p.column", "p.value").filter(F.col("value").isNotNull()).distinct()
+    out = None
     for c in cols:
-        vals = df.select(F.col(c).cast("string").alias(c)).filter(F.col(c).isNotNull()).distinct()
-        indexed = model_for(model, c).transform(vals)
-        parts.append(indexed.select(F.lit(c).alias("column"), F.col(c).alias("value"),
-                                    F.col(INDEX_NAMES.get(c, f"{c}Index")).alias("index")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = model_for(model, c).transform(distinct.filter(F.col("column") == c).withColumnRenamed("value", c))
+        part = part.select("column", F.col(c).alias("value"), F.col(INDEX_NAMES.get(c, f"{c}Index")).alias("index"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
