@@ -34,7 +34,7 @@ from reelsight.plans.eda_queries import clean
 from reelsight.plans.genre_queries import STANDIN_GENRES
 from reelsight.plans.registry import register
 from reelsight.plans.sql import with_ctes
-from reelsight.plans.standin import items_standin, requests
+from reelsight.plans.standin import items_standin, requests, session_key
 from reelsight.session import checkpoint_dir
 
 # ------------------------------------------------------------------ shared inputs
@@ -57,7 +57,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     materialised with a reliable checkpoint in the shared checkpoint folder
     (lineage cut, survives lost executors) and reused per session.
     """
-    key = (id(spark), sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _LABELLED:
         checkpoint_dir(spark)
         narrow = rated(spark, sf_dir).select("UserID", "MovieID", "date_time", "UserRating", "NormUserRating",
@@ -237,7 +237,7 @@ _CACHE: dict = {}
 
 def trained(spark: SparkSession, sf_dir: str) -> dict:
     """Fit once per session and scale factor: split, ALS, features, linear model."""
-    key = (id(spark), sf_dir)
+    key = (session_key(spark), sf_dir)
     if key in _CACHE:
         return _CACHE[key]
     checkpoint_dir(spark)

@@ -24,10 +24,18 @@ from reelsight.schemas import REQUEST_SCHEMA
 _READERS: dict = {}
 
 
+def session_key(spark: SparkSession) -> tuple:
+    """Identifies a live session: a new application after a restart never matches an old one."""
+    try:
+        return (spark.sparkContext.applicationId, id(spark))
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        return ("session", id(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table (Parquet).  The reader (schema from the footers) is built once per session."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (session_key(spark), path)
     if key not in _READERS:
         _READERS[key] = spark.read.parquet(path)
     return _READERS[key]
