@@ -88,6 +88,13 @@ def tune_als(df: DataFrame, ranks: Sequence[int] = ALS_RANKS, regs: Sequence[flo
     return Tuned(cvm.bestModel, best, results)
 
 
+def save_tuning(tuned: Tuned, path: str) -> None:
+    """S-10 + L-02: the best model and, next to it, the results table of the whole grid
+    (so the chosen rank, regularisation and iterations are on record with the model)."""
+    tuned.model.write().overwrite().save(f"{path}/model")
+    tuned.results.write.mode("overwrite").parquet(f"{path}/tuning_results")
+
+
 def predict_als(model: ALSModel, df: DataFrame, out: str = "als_prediction") -> DataFrame:
     """L-04: predicted rating per (user, item); pairs with an unknown id are dropped."""
     return model.transform(df).withColumnRenamed("prediction", out)

@@ -55,6 +55,16 @@ def test_tune_small_grid(spark):
     rows = t.results.collect()
     assert len(rows) == 4
     assert t.best["avg_rmse"] == min(r.avg_rmse for r in rows)
+    assert t.model.rank == t.best["rank"]
+
+
+def test_save_tuning(spark, tmp_out):
+    from reelsight.operators.models import save_tuning
+    df = planted_ratings(spark, 20, 10)
+    t = tune_als(df, ranks=[2], regs=[0.1], iters=[3], folds=2, parallelism=1)
+    save_tuning(t, os.path.join(tmp_out, "tuned"))
+    assert load_als(os.path.join(tmp_out, "tuned", "model")).rank == 2
+    assert spark.read.parquet(os.path.join(tmp_out, "tuned", "tuning_results")).count() == 1
 
 
 def test_linear_recovers_planted_weights(spark):
