@@ -25,8 +25,7 @@ from reelsight.operators.features import CATEGORICAL, category_index_table, inde
     term_weights
 from reelsight.operators.hybrid import choose_model, score_requests, sweep_weights
 from reelsight.operators.joins import combine_predictions
-from reelsight.operators.models import evaluate_rmse, predict_als, predict_linear, train_als, train_linear, \
-    tune_als
+from reelsight.operators.models import predict_als, predict_linear, train_als, train_linear, tune_als
 from reelsight.operators.ordering import latest_rating_per_pair
 from reelsight.operators.recommend import recommend_for_all, user_projection
 from reelsight.operators.sampling import with_split
