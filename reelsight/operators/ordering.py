@@ -24,6 +24,11 @@ def top_groups(df: DataFrame, order: Sequence[Column | str], n: int = 10) -> Dat
     return df.orderBy(*_order(order)).limit(n)
 
 
+def limit_rows(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
+    """O-03: the reference's unordered limits (10 pairs, 20 watched) made deterministic."""
+    return top_groups(df, order, n)
+
+
 def top_k_per_group(df: DataFrame, by: str | Sequence[str], order: Sequence[Column | str], k: int,
                     rank_col: str | None = "rank") -> DataFrame:
     """O-04: the first k rows of each group under ``order`` (row_number semantics)."""

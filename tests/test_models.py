@@ -197,3 +197,11 @@ def test_projection_helpers(spark):
     assert p.columns == ["UserID", "als_prediction"]
     assert constant_column(df, "k", 7).first().k == 7
     assert optional_columns(df, ["MovieID", "DirectorVec"]) == ["MovieID"]
+
+
+def test_known_ids(spark):
+    from reelsight.operators.models import known_ids
+    df = planted_ratings(spark, 6, 5)
+    users, items = known_ids(train_als(df, rank=2, iters=2))
+    assert {r.UserID for r in users.collect()} == {r.UserID for r in df.select("UserID").distinct().collect()}
+    assert items.columns == ["MovieID"]

@@ -158,3 +158,29 @@ def test_predict_by_choice(spark):
     df = spark.createDataFrame([("ALS", 0.1, 0.2), ("LR", 0.1, 0.2), ("Fallback", 0.1, 0.2), ("LR", 0.1, None)],
                                "model_choice string, als_prediction double, lr_prediction double")
     assert [r.prediction for r in predict_by_choice(df).collect()] == [0.1, 0.2, None, None]
+
+
+def test_fill_and_sentinels(spark):
+    from reelsight.operators.clean import fill_constant, sentinel_to_null
+    df = spark.createDataFrame([("N/A", None), ("7.5", "p"), ("0.0", None)], "r string, plot string")
+    out = fill_constant(sentinel_to_null(df, {"r": ["N/A", "", "0.0"]}), {"plot": ""}).collect()
+    assert [(x.r, x.plot) for x in out] == [(None, ""), ("7.5", "p"), (None, "")]
+
+
+def test_append_columns_and_select_pairs(spark):
+    from reelsight.operators.clean import select_pair, select_pairs
+    from reelsight.operators.ordering import append_columns, limit_rows
+    df = spark.createDataFrame([(1, 10, 3), (1, 11, 4), (2, 10, 5)], "UserID int, MovieID int, UserRating int")
+    assert append_columns(df, {"x2": F.col("UserRating") * 2}).columns == ["UserID", "MovieID", "UserRating", "x2"]
+    pairs = spark.createDataFrame([(1, 11), (1, 11), (3, 10)], "UserID int, MovieID int")
+    assert [tuple(r) for r in select_pairs(df, pairs).collect()] == [(1, 11, 4)]
+    assert select_pair(df, 2, 10).count() == 1
+    assert [r.MovieID for r in limit_rows(df, 2, [F.col("UserRating").desc(), "MovieID"]).collect()] == [10, 11]
+
+
+def test_transpose_both_paths(spark):
+    from reelsight.operators.aggregates import transpose_matrix
+    m = spark.createDataFrame([("F", 1.0, 2.0), ("M", 3.0, 4.0)], "Gender string, a double, b double")
+    known = {r.genre: (r.F, r.M) for r in transpose_matrix(m, "Gender", "genre", ["F", "M"]).collect()}
+    found = {r.genre: (r.F, r.M) for r in transpose_matrix(m, "Gender", "genre").collect()}
+    assert known == found == {"a": (1.0, 3.0), "b": (2.0, 4.0)}
