@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsight.functions.scalars import minmax
+from reelsight.session import checkpoint_dir
 
 
 def _cols(by: str | Sequence[str]) -> list[str]:
@@ -131,23 +132,40 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
             .select("bin", "lo", "hi", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
-def density(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
+def density(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, scale: str | None = None) -> DataFrame:
     """G-12: Gaussian kernel density estimate of one column on an even grid.
 
     Scott's rule: bandwidth = n^(-1/5) * sample stddev; the grid runs from
     min - cut*bw to max + cut*bw in ``grid`` points (the plotting library's
-    defaults).  Work is (distinct values) x grid: values are first counted,
-    then each distinct value spreads its weight over the grid points with
-    a bounded ``posexplode``; the sum per grid point is an ordinary
-    partial-then-final aggregate.
+    defaults).  Work is (distinct values) x grid: values are first counted
+    (the only pass over the input), the statistics come from those counts
+    (two-pass mean and variance), then each distinct value spreads its
+    weight over the grid points with a bounded ``posexplode``; the sum per
+    grid point is an ordinary partial-then-final aggregate.
+    ``scale="minmax"`` estimates the density of the min-max scaled column
+    (X-08): scaling is monotone, so it is applied to the distinct values,
+    not to the rows, and the input is still read once.
     Output: point (0..grid-1), x, density.
     """
+    checkpoint_dir(df.sparkSession)
     c = F.col(col).cast("double")
-    stats = df.select(c.alias("v")).filter(F.col("v").isNotNull()).select(
-        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"),
-                 F.stddev_samp("v").alias("std")).alias("s"))
+    # one pass over the input: the (value, count) table holds everything the
+    # statistics need; it is written once (reliable checkpoint in the shared
+    # folder) and both the statistics and the grid spread read it
     weights = (df.select(c.alias("v")).filter(F.col("v").isNotNull())
-               .groupBy("v").agg(F.count(F.lit(1)).alias("w")))
+               .groupBy("v").agg(F.count(F.lit(1)).alias("w"))).checkpoint()
+    if scale == "minmax":
+        rng = weights.select(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("r")).scalar()
+        weights = weights.withColumn("_r", rng).select(
+            minmax("v", F.col("_r.lo"), F.col("_r.hi")).alias("v"), "w")
+    elif scale is not None:
+        raise ValueError(f"unknown scale {scale!r}")
+    wv = F.col("w") * F.col("v")
+    mean = weights.select((F.sum(wv) / F.sum("w")).alias("m")).scalar()
+    stats = weights.withColumn("_m", mean).select(
+        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"),
+                 F.sqrt(F.sum(F.col("w") * F.pow(F.col("v") - F.col("_m"), 2)) / (F.sum("w") - 1)).alias("std"))
+        .alias("s"))
     bw = F.pow(F.col("_s.n").cast("double"), F.lit(-0.2)) * F.col("_s.std")
     lo = F.col("_s.lo") - F.lit(cut) * bw
     hi = F.col("_s.hi") + F.lit(cut) * bw

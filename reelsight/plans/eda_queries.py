@@ -202,8 +202,7 @@ GROUP BY g.point, st.g0, st.step""", "clean", extra={
 
 
 def _density_query(spark: SparkSession, sf_dir: str, col: str) -> DataFrame:
-    scaled = minmax_scale(clean(spark, sf_dir), [col]).select(F.col(f"{col}_scaled").alias("v"))
-    d = density(scaled, "v", grid=200, cut=3.0)
+    d = density(clean(spark, sf_dir), col, grid=200, cut=3.0, scale="minmax")
     return d.select(F.col("point").cast("bigint").alias("point"), F.round("x", 6).alias("x"),
                     F.round("density", 6).alias("density"))
 

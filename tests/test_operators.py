@@ -184,3 +184,10 @@ def test_transpose_both_paths(spark):
     known = {r.genre: (r.F, r.M) for r in transpose_matrix(m, "Gender", "genre", ["F", "M"]).collect()}
     found = {r.genre: (r.F, r.M) for r in transpose_matrix(m, "Gender", "genre").collect()}
     assert known == found == {"a": (1.0, 3.0), "b": (2.0, 4.0)}
+
+
+def test_density_minmax_equals_density_of_scaled_rows(spark):
+    df = spark.createDataFrame([(v,) for v in [1, 2, 2, 3, 5, 5, None]], "x int")
+    a = density(df, "x", scale="minmax").orderBy("point").collect()
+    b = density(minmax_scale(df, ["x"]), "x_scaled").orderBy("point").collect()
+    assert all(abs(p.x - q.x) < 1e-12 and abs(p.density - q.density) < 1e-12 for p, q in zip(a, b))
