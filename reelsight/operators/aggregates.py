@@ -109,17 +109,22 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """G-11: equal-width bins from min to max; the last bin is closed on the right.
 
     Output: bin, lo, hi, count, one row per bin (empty bins included).  A
-    constant column puts every value in bin 0.
+    constant column puts every value in bin 0.  The input is read once:
+    values are counted first and the range and bins come from those counts.
     """
+    checkpoint_dir(df.sparkSession)
     c = F.col(col).cast("double")
-    stats = zone_stats(df, col)
-    counted = (df.select(c.alias("x")).filter(F.col("x").isNotNull())
+    # one pass over the input: (value, count) pairs, written once; range and bins come from them
+    values = (df.select(c.alias("x")).filter(F.col("x").isNotNull())
+              .groupBy("x").agg(F.count(F.lit(1)).alias("w"))).checkpoint()
+    stats = values.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("s"))
+    counted = (values
                .withColumn("_s", stats.scalar())
                .withColumn("_w", (F.col("_s.hi") - F.col("_s.lo")) / bins)
                .withColumn("bin", F.when(F.col("_w") == 0, F.lit(0)).otherwise(
                    F.least(F.floor((F.col("x") - F.col("_s.lo")) / F.col("_w")), F.lit(bins - 1))
                ).cast("int"))
-               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+               .groupBy("bin").agg(F.sum("w").alias("count")))
     spark = df.sparkSession
     grid = (spark.range(bins).select(F.col("id").cast("int").alias("bin"))
             .withColumn("_s", stats.scalar())
