@@ -61,9 +61,18 @@ def join_list(col: Column | str, sep: str = ", ") -> Column:
 
 # ---------------------------------------------------------------- time
 
-def epoch_to_timestamp(col: Column | str) -> Column:
-    """X-02: epoch seconds to timestamp in the session time zone."""
-    return F.timestamp_seconds(_c(col).try_cast("bigint"))
+def epoch_to_timestamp(col: Column | str, tz: str | None = "UTC") -> Column:
+    """X-02: epoch seconds to a wall-clock ``timestamp_ntz`` in ``tz`` (default UTC).
+
+    The result does not depend on the session time zone, so calendar parts
+    are the same on every cluster.  ``tz=None`` gives a session-zone
+    TIMESTAMP instead.
+    """
+    secs = _c(col).try_cast("bigint")
+    if tz is None:
+        return F.timestamp_seconds(secs)
+    utc = F.timestamp_add("SECOND", secs, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return utc if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
 def calendar_parts(df: DataFrame, ts: str = "date_time") -> DataFrame:

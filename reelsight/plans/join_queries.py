@@ -108,7 +108,6 @@ def q_wide_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-05: ratings -> titles -> users -> metadata -> details; plot text reported by length."""
     wide = build_wide_ratings(raw_ratings(spark, sf_dir), raw_titles(spark, sf_dir), raw_users(spark, sf_dir),
                               raw_metadata(spark, sf_dir), raw_details(spark, sf_dir))
-    wide = wide.withColumn("date_time", F.col("date_time").cast("timestamp_ntz"))
     return wide.select(*WIDE_COLS, F.length("plot_outline").cast("bigint").alias("plot_chars"))
 
 
