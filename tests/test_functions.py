@@ -75,3 +75,16 @@ def test_blend_and_mean_label(spark):
     df = spark.createDataFrame([(0.5, 1.0, 0.2, 0.4)], "a double, b double, la double, lb double")
     r = df.select(blend("a", "b", 0.7, 0.3).alias("h"), mean_label("la", "lb").alias("m")).collect()[0]
     assert abs(r.h - 0.65) < 1e-12 and abs(r.m - 0.3) < 1e-12
+
+
+def test_epoch_conversion_ignores_session_zone(spark):
+    df = spark.createDataFrame([(1704067200,)], "e long")  # 2024-01-01 00:00:00 UTC
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        r = calendar_parts(df.withColumn("ts", epoch_to_timestamp("e")), "ts").collect()[0]
+        assert (r.Year, r.Month, r.Day, r.DayOfWeek) == (2024, 1, 1, 2)
+        local = calendar_parts(df.withColumn("ts", epoch_to_timestamp("e", tz="America/New_York")), "ts").first()
+        assert (local.Year, local.Month, local.Day) == (2023, 12, 31)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
