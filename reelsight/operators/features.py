@@ -140,9 +140,15 @@ def item_text_features(text_model: PipelineModel, items: DataFrame) -> DataFrame
     return text_model.transform(items).select("MovieID", "plot_tfidf")
 
 
-def _zero_text() -> "F.Column":
-    from pyspark.ml.functions import array_to_vector
-    return array_to_vector(F.array_repeat(F.lit(0.0), TF_FEATURES))
+def with_zero_text(df: DataFrame, out: str = "_zero_text") -> DataFrame:
+    """Add a sparse all-zero text vector (size ``TF_FEATURES``) as column ``out``.
+
+    Built JVM-side by hashing an empty token list, so a title without text
+    costs a few bytes, not a dense 1500-element vector.
+    """
+    empty = df.withColumn("_no_tokens", F.array().cast("array<string>"))
+    return HashingTF(inputCol="_no_tokens", outputCol=out, numFeatures=TF_FEATURES).transform(empty) \
+        .drop("_no_tokens")
 
 
 class FeatureModel:
@@ -161,8 +167,9 @@ class FeatureModel:
     def transform(self, df: DataFrame) -> DataFrame:
         df = feature_input(df)
         if self.item_text is not None:
-            df = df.drop("plot_tfidf").join(self.item_text, "MovieID", "left").withColumn(
-                "plot_tfidf", F.coalesce(F.col("plot_tfidf"), _zero_text()))
+            df = with_zero_text(df.drop("plot_tfidf").join(self.item_text, "MovieID", "left"))
+            df = df.withColumn("plot_tfidf", F.coalesce(F.col("plot_tfidf"), F.col("_zero_text"))) \
+                .drop("_zero_text")
         return self.row_model.transform(df)
 
     def save(self, path: str) -> None:
@@ -206,7 +213,7 @@ def prepare_features(df: DataFrame, train: DataFrame | None = None, items: DataF
     # transform time; here it is a placeholder that no fitting job ever computes.
     fit_input = feature_input(fit_rows.drop("plot_outline")).persist()
     try:
-        staged = fit_input.withColumn("plot_tfidf", _zero_text()) if with_text else fit_input
+        staged = with_zero_text(fit_input, "plot_tfidf") if with_text else fit_input
         row_model = build_feature_stages(include_item_id, with_text).fit(staged)
     finally:
         fit_input.unpersist()
