@@ -25,6 +25,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def in_small_batches(df: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded by bytes, as texts differ widely in length.
+
+    A worker then holds a few MB of texts at a time, whatever their number.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(key, str(batch_bytes))
+    return df
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelsight.llm.common import MEMO_ENTRIES, materialise
+from reelsight.llm.common import MEMO_ENTRIES, in_small_batches, materialise
 
 SAMPLE_ROWS = 20_000            # labelled documents counted, at most about this many
 WORDS_PER_LANGUAGE = 30_000
@@ -93,7 +93,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Without such rows the model knows no language.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
+    rows = in_small_batches(labelled).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
                            F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw")).where(
         "lang is not null and text is not null")
     n = rows.count()
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                  pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())],
                 names=["id", "lang_pred", "score", "known"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"id {id_type}, lang_pred string, score double, known double")
 
 

@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsight.llm.common import (connected_components, materialise, parts, text_bytes, word_hashes,
+from reelsight.llm.common import (connected_components, in_small_batches, materialise, parts, text_bytes, word_hashes,
                                   word_shingles)
 from reelsight.llm.setjoin import linked
 
-BATCH_SHINGLES = 1_000_000     # entries gathered before a batch is sent
+BATCH_SHINGLES = 400_000     # entries gathered before a batch is sent
 BATCH_CLASSES = 1 << 16        # its sets are numbered by 16 bits
-BUCKET_TEXT_BYTES = 24 << 20   # text whose shingles one bucket owns
+BUCKET_TEXT_BYTES = 8 << 20   # text whose shingles one bucket owns
 
 _SENT = ("bucket int, batch string, single binary, shared binary, counts binary, "
          "doc_ids array<long>, doc_class array<int>, class_key array<binary>, class_size array<int>, "
@@ -250,8 +250,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     part, but never name a component: a component with null ids only is null.
     Other columns of ``docs`` are ignored.  An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                        F.col(text_col).cast("binary").alias("text"))
+    texts = in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                                         F.col(text_col).cast("binary").alias("text")))
     buckets = parts(text_bytes(docs, text_col), BUCKET_TEXT_BYTES)
     sent = texts.mapInArrow(_send(buckets), _SENT)
     back = sent.groupBy("bucket").applyInArrow(_frequencies, _BACK)

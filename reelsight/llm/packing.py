@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsight.llm.common import MEMO_ENTRIES, MEMO_WORD_BYTES, materialise, parts
+from reelsight.llm.common import MEMO_ENTRIES, MEMO_WORD_BYTES, in_small_batches, materialise, parts
 
 MAX_TOKENS = 4096
 END_ID = 2
@@ -140,7 +140,8 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "d
     cut every ``max_tokens`` ids.  Repeated rows are packed once each; null ids
     stay null.  Other columns are ignored; an empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                                         F.col(text_col).cast("string").alias("text")))
     made = materialise(texts.mapInArrow(_pieces(tokenizer, max_tokens, end_id, seed, keep_ids), _PIECE), "token-pieces")
     full = made.where("sequence_id is not null").select(*_COLUMNS, "sequence_id", F.lit(0).cast("long").alias("offset"))
     rest = made.where("sequence_id is null")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
-from reelsight.llm.common import MEMO_ENTRIES, MEMO_WORD_BYTES
+from reelsight.llm.common import MEMO_ENTRIES, MEMO_WORD_BYTES, in_small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the vocabulary.
@@ -163,7 +163,7 @@ def count_with_edits(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id"
     edited_tokens, edited_chars, reencoded_chunks.  A null text is empty;
     repeated rows are counted each; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.col(edits_col).cast("array<struct<start:bigint,length:bigint,insert:string>>").alias("edits"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

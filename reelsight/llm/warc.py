@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelsight.llm.common import build_bloom, in_bloom, materialise, scratch
+from reelsight.llm.common import build_bloom, in_bloom, in_small_batches, materialise, scratch
 
 #: Fixed values of the format.
 MAGIC = "\nWARC/1."
@@ -94,7 +94,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     Bloom filter of bounded size tells); the others are written where they
     were read.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
+    rows = in_small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     sums = materialise(rows.where(F.octet_length("payload") >= min_revisit_bytes).select("id", "payload")
                        .mapInArrow(_digests, "id long, sha1 binary, short long"), "digests")
@@ -286,7 +286,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     Bytes after a broken record, and a file that does not start with a record,
     give nothing.  An empty folder or archive gives an empty table.
     """
-    lines = spark.read.option("lineSep", MAGIC).schema("value string").text(path).select(
+    lines = in_small_batches(spark.read.option("lineSep", MAGIC).schema("value string").text(path)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("value"))
     found = materialise(lines.mapInArrow(_candidates(payload), _FIELDS), "candidates")
