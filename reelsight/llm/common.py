@@ -59,22 +59,22 @@ def parts(total_bytes: int, each: int) -> int:
 class Memo(dict):
     """``memo[word]`` computes a missing word once; bounded, forgets all when full."""
 
-    def __init__(self, compute: Callable[[bytes], object]):
+    def __init__(self, compute: Callable[[bytes], object], limit: int = MEMO_ENTRIES):
         super().__init__()
-        self.compute = compute
+        self.compute, self.limit = compute, limit
 
     def __missing__(self, word):
         value = self.compute(word)
         if len(word) <= MEMO_WORD_BYTES:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.limit:
                 self.clear()
             self[word] = value
         return value
 
 
 def word_hashes() -> Memo:
-    """Memo of 64-bit hashes of words."""
-    return Memo(xxhash.xxh3_64_intdigest)
+    """Memo of 64-bit hashes of words; a miss is cheap, so it is small."""
+    return Memo(xxhash.xxh3_64_intdigest, 150_000)
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,

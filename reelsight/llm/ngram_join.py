@@ -33,9 +33,9 @@ from reelsight.llm.common import (connected_components, in_small_batches, materi
                                   word_shingles)
 from reelsight.llm.setjoin import linked
 
-BATCH_SHINGLES = 400_000     # entries gathered before a batch is sent
+BATCH_SHINGLES = 250_000     # entries gathered before a batch is sent
 BATCH_CLASSES = 1 << 16        # its sets are numbered by 16 bits
-BUCKET_TEXT_BYTES = 8 << 20   # text whose shingles one bucket owns
+BUCKET_TEXT_BYTES = 4 << 20   # text whose shingles one bucket owns
 
 _SENT = ("bucket int, batch string, single binary, shared binary, counts binary, "
          "doc_ids array<long>, doc_class array<int>, class_key array<binary>, class_size array<int>, "
@@ -155,23 +155,24 @@ def _frequencies(table: pa.Table) -> pa.Table:
         shared_from.append((len(single), table.column("shared_at")[row].as_py()[0]))
     if words:
         word, weight, source = np.concatenate(words), np.concatenate(weights), np.concatenate(sources)
+        del words, weights, sources
         low = word >> np.uint64(16)
-        order = np.argsort(low, kind="stable")
-        ordered = low[order]
-        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        run = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])) - 1
-        df = np.empty(len(word), np.int64)
-        df[order] = np.add.reduceat(weight[order], start)[run]
-        ids = low + (np.uint64(bucket) << np.uint64(48))
+        order = np.argsort(low)
+        new = np.ones(len(low), bool)
+        new[1:] = np.diff(low[order]) != 0
+        total = np.add.reduceat(weight[order], np.flatnonzero(new))
+        df = np.empty(len(low), np.uint32)
+        df[order] = np.minimum(total, 2**32 - 1).astype(np.uint32)[np.cumsum(new) - 1]
+        del order, new, weight
+        low += np.uint64(bucket) << np.uint64(48)
         begin = np.searchsorted(source, np.arange(len(names) + 1))
         for k, name in enumerate(names):
             lo, hi = begin[k], begin[k + 1]
             mid, first = lo + shared_from[k][0], shared_from[k][1]
             pick = lo + np.flatnonzero(df[lo:mid] > 1)
             out.append({"batch": name, "refs": (word[pick] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
-                        "ids": ids[pick].tobytes(), "dfs": np.minimum(df[pick], 2**32 - 1).astype(np.uint32).tobytes(),
-                        "shared_ids": ids[mid:hi].tobytes(),
-                        "shared_dfs": np.minimum(df[mid:hi], 2**32 - 1).astype(np.uint32).tobytes(),
+                        "ids": low[pick].tobytes(), "dfs": df[pick].tobytes(), "shared_ids": low[mid:hi].tobytes(),
+                        "shared_dfs": df[mid:hi].tobytes(),
                         "shared_places": np.arange(first, first + hi - mid, dtype=np.uint32).tobytes()})
     return pa.Table.from_pylist(out + kept, schema=_BACK_ARROW)
 
