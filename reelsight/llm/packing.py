@@ -21,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsight.llm.common import MEMO_ENTRIES, MEMO_WORD_BYTES, in_small_batches, materialise, parts
+from reelsight.llm.common import MEMO_WORD_BYTES, in_small_batches, materialise, parts
 
 MAX_TOKENS = 4096
 END_ID = 2
+MEMO_WORDS = 600_000            # encoded words a task holds, and as many older ones
 GROUP_PIECES = 32_768           # remainders packed together
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -42,6 +43,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}       # the memo before; words still in use move over
 
     def words(self, text: str) -> list[str]:
         if text.isascii() and not _CONTROL_SPACE.search(text):
@@ -50,12 +52,16 @@ class WordTokenizer:
 
     def ids(self, text: str) -> np.ndarray:
         words, memo = self.words(text), self.memo
-        new = [w for w in set(words) if w not in memo]
+        distinct = set(words)
+        new = [w for w in distinct if w not in memo]
+        if len(memo) + len(new) > MEMO_WORDS:
+            self.older, self.memo = memo, {}
+            memo, new = self.memo, list(distinct)
         if new:
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+            older = self.older
+            memo.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in memo]
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
         out = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4")
         for w in new:
