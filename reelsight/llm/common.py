@@ -3,6 +3,8 @@ a distributed Bloom filter and distributed union-find."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -72,6 +74,15 @@ class Memo(dict):
         return value
 
 
+def per_process(key: tuple, make: Callable[[], object]):
+    """``make()`` once per Python worker; later tasks of the worker find it again."""
+    held = sys.modules.setdefault("_reelsight_llm_held", types.ModuleType("_reelsight_llm_held"))
+    if key not in held.__dict__:
+        held.__dict__.clear()           # a worker holds one at a time
+        held.__dict__[key] = make()
+    return held.__dict__[key]
+
+
 def word_hashes() -> Memo:
     """Memo of 64-bit hashes of words; a miss is cheap, so it is small."""
     return Memo(xxhash.xxh3_64_intdigest, 150_000)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsight.llm.common import MEMO_WORD_BYTES, in_small_batches, materialise, parts
+from reelsight.llm.common import MEMO_WORD_BYTES, in_small_batches, materialise, parts, per_process
 
 MAX_TOKENS = 4096
 END_ID = 2
@@ -45,6 +45,14 @@ class WordTokenizer:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}       # the memo before; words still in use move over
 
+    def encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids: the words are encoded as one text and told apart by offsets."""
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        begins = np.cumsum([0] + [len(w) + 1 for w in words])
+        at = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), begins)
+        return ((w, ids[at[i]:at[i + 1]].tobytes()) for i, w in enumerate(words))
+
     def words(self, text: str) -> list[str]:
         if text.isascii() and not _CONTROL_SPACE.search(text):
             return text.split()
@@ -61,8 +69,8 @@ class WordTokenizer:
             older = self.older
             memo.update((w, older[w]) for w in new if w in older)
             new = [w for w in new if w not in memo]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+            for i in range(0, len(new), 4096):
+                memo.update(self.encode(new[i:i + 4096]))
         out = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4")
         for w in new:
             if len(w) > MEMO_WORD_BYTES:
@@ -77,7 +85,8 @@ _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 
 def _pieces(path: str, max_tokens: int, end_id: int, seed: int, keep_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, made = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        tokenizer = per_process(("words", path), lambda: WordTokenizer(path))
+        part, made = TaskContext.get().partitionId(), 0
         draw = random.Random(f"{seed}/{part}")
         end = np.array([end_id], "<u4")
         for batch in batches:
