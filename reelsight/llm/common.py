@@ -75,10 +75,13 @@ class Memo(dict):
 
 
 def per_process(key: tuple, make: Callable[[], object]):
-    """``make()`` once per Python worker; later tasks of the worker find it again."""
+    """``make()`` once per Python worker; later tasks of the worker find it again.
+
+    A worker holds one such thing: another key drops what was held.
+    """
     held = sys.modules.setdefault("_reelsight_llm_held", types.ModuleType("_reelsight_llm_held"))
     if key not in held.__dict__:
-        held.__dict__.clear()           # a worker holds one at a time
+        held.__dict__.clear()
         held.__dict__[key] = make()
     return held.__dict__[key]
 

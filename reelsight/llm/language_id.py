@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -20,8 +21,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelsight.llm.common import MEMO_ENTRIES, in_small_batches, materialise
+from reelsight.llm.common import in_small_batches, materialise, per_process
 
+MEMO_TOKENS = 200_000           # tokens whose counts or scores a task holds
 SAMPLE_ROWS = 20_000            # labelled documents counted, at most about this many
 WORDS_PER_LANGUAGE = 30_000
 GRAMS_PER_LANGUAGE = 8_000      # of each order
@@ -42,7 +44,8 @@ def grams_of(word: str, n: int) -> list[str]:
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, order, gram, n) of the task's texts; order 0 are words.  Flushes when large."""
-    seen: dict[str, Counter] = defaultdict(Counter)
+    seen: dict[str, Counter] = per_process(("language counts",), lambda: defaultdict(Counter))
+    seen.clear()
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, tokens in seen.items():
@@ -63,7 +66,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             seen[lang].update((text.as_py() or "").split())
-            if sum(map(len, seen.values())) > MEMO_ENTRIES:
+            if sum(map(len, seen.values())) > MEMO_TOKENS:
                 yield from flush()
     yield from flush()
 
@@ -151,7 +154,7 @@ class _Scorer(dict):
 
     def score(self, text: str | None) -> tuple[str, float, float]:
         tokens = (text or "").split()
-        if len(self) > MEMO_ENTRIES:
+        if len(self) > MEMO_TOKENS:
             self.clear()
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         sums = self.rows[at].sum(axis=0) if len(at) else np.zeros(self.width + 2)
@@ -170,11 +173,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     a letter, and any text under a model without languages: ``und``, 0, 0.  Ties
     go to the first language in order.  Other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
+    shared, name = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables)), uuid.uuid4().hex
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(LanguageModel(*shared.value))
+        scorer = per_process(("language", name), lambda: _Scorer(LanguageModel(*shared.value)))
         for batch in batches:
             got = [scorer.score(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -206,11 +209,11 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     learned, only texts without a letter go.  Decided in the scan, without a shuffle.
     """
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
+    shared, name = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables)), uuid.uuid4().hex
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(LanguageModel(*shared.value))
+        scorer = per_process(("language", name), lambda: _Scorer(LanguageModel(*shared.value)))
         for batch in batches:
             texts = (x.as_py() for x in batch.column(place))
             if scorer.width:

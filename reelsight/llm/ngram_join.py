@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsight.llm.common import (connected_components, in_small_batches, materialise, parts, text_bytes, word_hashes,
-                                  word_shingles)
+from reelsight.llm.common import (connected_components, in_small_batches, materialise, parts, per_process, text_bytes,
+                                  word_hashes, word_shingles)
 from reelsight.llm.setjoin import linked
 
 BATCH_SHINGLES = 250_000     # entries gathered before a batch is sent
@@ -107,7 +107,7 @@ class _Batch:
 
 def _send(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part, n = word_hashes(), TaskContext.get().partitionId(), 0
+        memo, part, n = per_process(("words",), word_hashes), TaskContext.get().partitionId(), 0
         held = _Batch(f"{part}-{n}", buckets)
 
         def out() -> Iterator[pa.RecordBatch]:

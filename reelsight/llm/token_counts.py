@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
-from reelsight.llm.common import MEMO_ENTRIES, MEMO_WORD_BYTES, in_small_batches
+from reelsight.llm.common import MEMO_ENTRIES, MEMO_WORD_BYTES, in_small_batches, per_process
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the vocabulary.
@@ -167,7 +167,7 @@ def count_with_edits(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id"
                        F.col(edits_col).cast("array<struct<start:bigint,length:bigint,insert:string>>").alias("edits"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(ranks)
+        counter = per_process(("tokens", ranks), lambda: Counter(ranks))
         for batch in batches:
             out = []
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
