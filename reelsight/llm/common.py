@@ -3,6 +3,9 @@ a distributed Bloom filter and distributed union-find."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -77,11 +80,16 @@ class Memo(dict):
 def per_process(key: tuple, make: Callable[[], object]):
     """``make()`` once per Python worker; later tasks of the worker find it again.
 
-    A worker holds one such thing: another key drops what was held.
+    A worker holds one such thing: another key drops what was held and gives
+    its memory back.
     """
     held = sys.modules.setdefault("_reelsight_llm_held", types.ModuleType("_reelsight_llm_held"))
     if key not in held.__dict__:
         held.__dict__.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):      # a libc without it keeps the memory
+            ctypes.CDLL(None).malloc_trim(0)
         held.__dict__[key] = make()
     return held.__dict__[key]
 

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from reelsight.llm.common import in_small_batches, materialise, per_process
 
-MEMO_TOKENS = 200_000           # tokens whose counts or scores a task holds
+MEMO_TOKENS = 100_000           # tokens whose counts or scores a task holds
 SAMPLE_ROWS = 20_000            # labelled documents counted, at most about this many
-WORDS_PER_LANGUAGE = 30_000
-GRAMS_PER_LANGUAGE = 8_000      # of each order
+WORDS_PER_LANGUAGE = 15_000
+GRAMS_PER_LANGUAGE = 4_000      # of each order
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -71,12 +71,37 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+class _Rows(dict):
+    """Entry to its row of a matrix."""
+
+    def __init__(self, entries: list[str], rows: np.ndarray):
+        super().__init__((x, i) for i, x in enumerate(entries))
+        self.rows = rows
+
+    def __getitem__(self, entry: str) -> np.ndarray:
+        return self.rows[super().__getitem__(entry)]
+
+    def get(self, entry: str, default=None):
+        at = super().get(entry)
+        return default if at is None else self.rows[at]
+
+
 class LanguageModel:
     """Log frequencies per language of words (order 0) and n-grams."""
 
     def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
         self.langs, self.tables = langs, tables
 
+    def packed(self) -> tuple:
+        """Languages, and for each order the entries with one matrix of their rows."""
+        return self.langs, {n: (list(t), np.array(list(t.values()))) for n, t in self.tables.items()}
+
+    @classmethod
+    def unpacked(cls, packed: tuple) -> LanguageModel:
+        """The model with rows that are views of the matrices, made when looked up."""
+        langs, tables = packed
+        return cls(langs, {n: _Rows(entries, rows) for n, (entries, rows) in tables.items()})
+
     def word(self, word: str) -> np.ndarray | None:
         """Log frequencies of a word, by backoff; None if no order knows any of it."""
         known = self.tables.get(0, {}).get(word)
@@ -173,11 +198,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     a letter, and any text under a model without languages: ``und``, 0, 0.  Ties
     go to the first language in order.  Other columns are not looked at.
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables)), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast(model.packed()), uuid.uuid4().hex
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_process(("language", name), lambda: _Scorer(LanguageModel(*shared.value)))
+        scorer = per_process(("language", name), lambda: _Scorer(LanguageModel.unpacked(shared.value)))
         for batch in batches:
             got = [scorer.score(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -209,11 +234,11 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     learned, only texts without a letter go.  Decided in the scan, without a shuffle.
     """
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
-    shared, name = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables)), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast(model.packed()), uuid.uuid4().hex
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_process(("language", name), lambda: _Scorer(LanguageModel(*shared.value)))
+        scorer = per_process(("language", name), lambda: _Scorer(LanguageModel.unpacked(shared.value)))
         for batch in batches:
             texts = (x.as_py() for x in batch.column(place))
             if scorer.width:
