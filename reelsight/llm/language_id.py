@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from reelsight.llm.common import in_small_batches, materialise, per_process
 
-MEMO_TOKENS = 100_000           # tokens whose counts or scores a task holds
+COUNT_TOKENS = 100_000          # tokens counted before a task passes them on
+MEMO_TOKENS = 400_000           # tokens whose scores a task holds
 SAMPLE_ROWS = 20_000            # labelled documents counted, at most about this many
 WORDS_PER_LANGUAGE = 15_000
 GRAMS_PER_LANGUAGE = 4_000      # of each order
@@ -66,7 +67,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             seen[lang].update((text.as_py() or "").split())
-            if sum(map(len, seen.values())) > MEMO_TOKENS:
+            if sum(map(len, seen.values())) > COUNT_TOKENS:
                 yield from flush()
     yield from flush()
 

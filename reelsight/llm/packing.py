@@ -25,13 +25,15 @@ from reelsight.llm.common import MEMO_WORD_BYTES, in_small_batches, materialise,
 
 MAX_TOKENS = 4096
 END_ID = 2
-MEMO_WORDS = 600_000            # encoded words a task holds, and as many older ones
+MEMO_WORDS = 350_000            # encoded words a task holds, and as many older ones
 GROUP_PIECES = 32_768           # remainders packed together
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 #: White space at which a text can be cut without changing its ids: the
 #: tokenizer drops white space and no token crosses it.
 _GAP = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: ASCII letters and marks after them are pre-tokens of their own, and case is dropped.
+_LETTERS_AND_MARKS = re.compile(r"([A-Za-z]+)([.,!?;:#$%&*]*)\Z")
 _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
@@ -68,13 +70,18 @@ class WordTokenizer:
         if new:
             older = self.older
             memo.update((w, older[w]) for w in new if w in older)
-            new = [w for w in new if w not in memo]
+            parted = {w: m for w in new if w not in memo and (m := _LETTERS_AND_MARKS.match(w))}
+            parts = {p for m in parted.values() for p in (m[1].lower(), m[2])} - {""}
+            memo.update((p, older[p]) for p in parts if p in older and p not in memo)
+            new = [w for w in parts.union(new) if w not in memo and (w not in parted or w in parts)]
             for i in range(0, len(new), 4096):
                 memo.update(self.encode(new[i:i + 4096]))
+            memo.update((w, memo[m[1].lower()] + (memo[m[2]] if m[2] else b"")) for w, m in parted.items())
+            new += parted
         out = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4")
         for w in new:
             if len(w) > MEMO_WORD_BYTES:
-                del memo[w]
+                memo.pop(w, None)
         return out
 
 
