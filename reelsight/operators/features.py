@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (IDF, HashingTF, Imputer, Normalizer, OneHotEncoder, SQLTransformer,
                                 StopWordsRemover, StringIndexer, Tokenizer, VectorAssembler)
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsight.functions.lookups import TF_FEATURES
@@ -173,6 +173,8 @@ class FeatureModel:
         return self.row_model.transform(df)
 
     def save(self, path: str) -> None:
+        SparkSession.active().createDataFrame([(self.text_model is not None,)], "has_text boolean").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/parts")
         self.row_model.write().overwrite().save(f"{path}/rows")
         if self.text_model is not None:
             self.text_model.write().overwrite().save(f"{path}/text")
@@ -180,9 +182,9 @@ class FeatureModel:
 
     @classmethod
     def load(cls, spark, path: str) -> "FeatureModel":
-        import os
         row = PipelineModel.load(f"{path}/rows")
-        text = PipelineModel.load(f"{path}/text") if os.path.exists(f"{path}/text") else None
+        has_text = spark.read.parquet(f"{path}/parts").first().has_text
+        text = PipelineModel.load(f"{path}/text") if has_text else None
         item_text = spark.read.parquet(f"{path}/item_text") if text is not None else None
         return cls(text, row, item_text)
 

@@ -129,7 +129,7 @@ def q_high_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("key_sample", with_ctes("""
 SELECT UserID, MovieID, UserRating, date_time FROM split
 WHERE (CAST(('0x' || substr(md5(concat_ws(':', CAST(UserID AS VARCHAR), CAST(MovieID AS VARCHAR))), 1, 8))
-       AS BIGINT) % 100) < 10""", "split"))
+       AS BIGINT)) < 0.1 * 4294967296""", "split"))
 def q_key_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C-10: a reproducible 10 % key-hash sample (the sampling operator itself)."""
     return sample_fraction(clean(spark, sf_dir), 0.10).select("UserID", "MovieID", "UserRating", "date_time")

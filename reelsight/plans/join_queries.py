@@ -43,7 +43,7 @@ RAW = {
                         CASE WHEN p.p_partkey % 31 = 0 THEN NULL ELSE d.text END AS plot_outline,
                         p.p_brand AS director,
                         LPAD(CAST(p.p_partkey AS VARCHAR), 7, '0') AS imdbID
-                      FROM part p LEFT JOIN documents d ON d.doc_id = p.p_partkey % 200""",
+                      FROM part p LEFT JOIN documents d ON d.doc_id = p.p_partkey % (SELECT count(*) FROM documents)""",
 }
 
 

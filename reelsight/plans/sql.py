@@ -36,7 +36,7 @@ FROM lineitem l
 JOIN orders   o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey  = c.c_custkey
 JOIN part     p ON l.l_partkey  = p.p_partkey
-LEFT JOIN documents d ON d.doc_id = p.p_partkey % 200
+LEFT JOIN documents d ON d.doc_id = p.p_partkey % (SELECT count(*) FROM documents)
 """
 
 
@@ -68,7 +68,7 @@ WHERE UserID IS NOT NULL AND MovieID IS NOT NULL AND UserRating IS NOT NULL
 # Requests: one per event (see plans.standin.requests).
 REQUESTS = """
 SELECT e.event_id AS RequestID,
-       CAST(CASE WHEN e.event_id % 10 = 0 THEN e.user_id + 1000000 ELSE e.user_id END AS INT) AS UserID,
+       CAST(CASE WHEN e.event_id % 10 = 0 THEN -1 - e.user_id ELSE e.user_id END AS INT) AS UserID,
        CAST(e.event_id % ((SELECT count(*) FROM part) + (SELECT count(*) FROM part) // 2) AS INT) AS MovieID
 FROM events e
 """
@@ -76,7 +76,7 @@ FROM events e
 # Train side of the key-hash split (see operators.sampling).
 SPLIT = """
 SELECT *, (CAST(('0x' || substr(md5(concat_ws(':', CAST(UserID AS VARCHAR), CAST(MovieID AS VARCHAR))), 1, 8))
-           AS BIGINT) % 100) < 80 AS is_train
+           AS BIGINT)) < 0.8 * 4294967296 AS is_train
 FROM clean
 """
 

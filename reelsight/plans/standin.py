@@ -41,24 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _READERS[key]
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition ``df`` by ``keys`` only if its scan yields fewer partitions than
-    the cluster has cores (a plan-time check, no job runs).
-
-    On a cluster a large table arrives in many file splits and is left
-    alone; a table stored as one unsplittable row group (as the test data
-    is) would otherwise run every downstream step in a single task.  For the
-    fact table the key is its join key, so the exchange is the one a
-    sort-merge join on that key needs anyway.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    # an explicit count: adaptive execution would coalesce a small by-column
-    # repartition straight back into one partition
-    return df.repartition(cores, *keys)
-
-
 # ------------------------------------------------------------ user attributes
 
 def gender_of(custkey: Column) -> Column:
@@ -108,16 +90,19 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plot texts: documents 0..199, keyed by doc_id (the documents key)."""
-    d = table(spark, sf_dir, "documents")
-    return d.filter((F.col("doc_id") >= 0) & (F.col("doc_id") < 200)).select(
+    """Plot texts: all documents, keyed by doc_id (the documents key)."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("_plot_doc"), F.col("text").alias("_plot_text"))
 
 
+def _plot_doc(spark: SparkSession, sf_dir: str) -> Column:
+    """A title's document: its key modulo the number of documents."""
+    n_docs = table(spark, sf_dir, "documents").select(F.count(F.lit(1)).alias("n")).scalar()
+    return (F.col("p_partkey") % n_docs).alias("_plot_doc")
+
+
 def _titles_wide(spark: SparkSession, sf_dir: str, with_plot: bool) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    if with_plot:   # spread before the plot join, so long texts are never shuffled
-        p = spread(p, "p_partkey")
     t = p.select(
         F.col("p_partkey").cast("int").alias("MovieID"),
         F.col("p_name").alias("Title"),
@@ -126,7 +111,7 @@ def _titles_wide(spark: SparkSession, sf_dir: str, with_plot: bool) -> DataFrame
         F.col("p_type").alias("starring"),
         rating_imdb_of(F.col("p_partkey"), F.col("p_size")).alias("rating_imdb"),
         runtimes_of(F.col("p_partkey"), F.col("p_size")).alias("runtimes"),
-        (F.col("p_partkey") % 200).alias("_plot_doc"),
+        _plot_doc(spark, sf_dir),
         F.col("p_partkey").alias("_partkey"),
     )
     if with_plot:
@@ -143,8 +128,7 @@ def ratings_standin(spark: SparkSession, sf_dir: str, with_plot: bool = False) -
     ``with_plot`` adds ``plot_outline`` (document text); leave it off unless
     the text features need it, so the other jobs never carry long texts.
     """
-    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate"),
-                "l_orderkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     r = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         F.col("o_custkey").cast("int").alias("UserID"),
@@ -169,8 +153,7 @@ def items_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings as ingested: UserID, MovieID, Rating, Timestamp (epoch seconds)."""
-    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate"),
-                "l_orderkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         F.col("o_custkey").cast("int").alias("UserID"),
@@ -214,7 +197,7 @@ def raw_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("localized_title"),
         runtimes_of(F.col("p_partkey"), F.col("p_size")).alias("runtimes"),
         rating_imdb_of(F.col("p_partkey"), F.col("p_size")).alias("rating_imdb"),
-        (F.col("p_partkey") % 200).alias("_plot_doc"),
+        _plot_doc(spark, sf_dir),
         F.col("p_brand").alias("director"),
         F.lpad(F.col("p_partkey").cast("string"), 7, "0").alias("imdbID"),
         F.col("p_partkey").alias("_partkey"),
@@ -227,18 +210,18 @@ def raw_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring requests, one per ``events`` row.
 
-    user = ``user_id`` (moved out of range for every tenth event, an unknown
-    user); item = ``event_id mod (n + n div 2)`` with n = number of parts, so
+    user = ``user_id`` (negative for every tenth event, an unknown user at
+    any scale); item = ``event_id mod (n + n div 2)`` with n = number of parts, so
     about a third of the items are unknown.  Optional request fields are
     NULL; scoring fills them from the dimension tables.
     """
-    e = spread(table(spark, sf_dir, "events"), "event_id")
+    e = table(spark, sf_dir, "events")
     n_items = table(spark, sf_dir, "part").select(F.count(F.lit(1)).alias("n")).scalar()
     e = e.withColumn("_n", n_items)
     modulus = F.col("_n") + F.floor(F.col("_n") / 2).cast("bigint")
     base = e.select(
         F.col("event_id").alias("RequestID"),
-        F.when(F.col("event_id") % 10 == 0, F.col("user_id") + 1_000_000)
+        F.when(F.col("event_id") % 10 == 0, -1 - F.col("user_id"))
         .otherwise(F.col("user_id")).cast("int").alias("UserID"),
         (F.col("event_id") % modulus).cast("int").alias("MovieID"),
     )

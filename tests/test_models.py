@@ -156,7 +156,7 @@ def test_feature_model_save_load_same_vectors(spark, tmp_out):
     feats, fm = prepare_features(df, items=items, model_path=os.path.join(tmp_out, "fm"))
     a = {(r.UserID, r.MovieID): r.content_features for r in feats.collect()}
     assert len(a) == df.count()                      # no row skipped, NULL runtimes mean-filled
-    back = FeatureModel.load(spark, os.path.join(tmp_out, "fm"))
+    back = FeatureModel.load(spark, "file://" + os.path.join(tmp_out, "fm"))
     b = {(r.UserID, r.MovieID): r.content_features for r in back.transform(df).collect()}
     assert a == b
     # three L2-normalised groups: the norm is sqrt(number of non-empty groups)

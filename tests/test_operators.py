@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelsight.operators.aggregates import density, histogram, minmax_scale, rmse
@@ -151,6 +152,13 @@ def test_split_is_disjoint_complete_and_layout_free(spark):
     assert {tuple(r) for r in tr2.collect()} == a
     s = sample_fraction(df, 0.1).count()
     assert 120 < s < 280
+    many = spark.range(50_000).select(F.col("id").alias("UserID"), F.lit(2**33).alias("MovieID"))
+    assert 100 < sample_fraction(many, 0.004).count() < 300
+    train, test = split_train_test(many, 0.996)
+    assert 100 < test.count() < 300 and train.count() + test.count() == 50_000
+    assert sample_fraction(many, 1.0).count() == 50_000 and sample_fraction(many, 0.0).count() == 0
+    with pytest.raises(ValueError):
+        sample_fraction(many, 1.5)
 
 
 def test_predict_by_choice(spark):

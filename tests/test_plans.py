@@ -52,3 +52,16 @@ def test_global_statistics_are_scalar_subqueries(spark):
     plan = _plan(spark, "minmax_ratings")
     assert "Subquery" in plan or "subquery" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_every_plot_text_is_used(spark):
+    """The distinct plots grow with the documents: no fixed number of texts."""
+    from reelsight.plans.standin import items_standin
+    for sf in ("sf0.001", "sf0.01"):
+        sf_dir = f"/root/testdata/{sf}"
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        keys = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+            f"p_partkey % {docs.count()} AS doc_id").where("p_partkey % 31 <> 0").distinct()
+        want = docs.join(keys, "doc_id").select("text").distinct().count()
+        assert items_standin(spark, sf_dir).select("plot_outline").dropna().distinct().count() == want
+    assert want > 200
