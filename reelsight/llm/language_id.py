@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from reelsight.llm.common import in_small_batches, materialise, per_process
 
 COUNT_TOKENS = 100_000          # tokens counted before a task passes them on
-MEMO_TOKENS = 400_000           # tokens whose scores a task holds
+MEMO_TOKENS = 150_000           # tokens whose scores a task holds
 SAMPLE_ROWS = 20_000            # labelled documents counted, at most about this many
-WORDS_PER_LANGUAGE = 15_000
-GRAMS_PER_LANGUAGE = 4_000      # of each order
+WORDS_PER_LANGUAGE = 20_000
+GRAMS_PER_LANGUAGE = 5_000      # of each order
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -72,47 +72,39 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-class _Rows(dict):
-    """Entry to its row of a matrix."""
-
-    def __init__(self, entries: list[str], rows: np.ndarray):
-        super().__init__((x, i) for i, x in enumerate(entries))
-        self.rows = rows
-
-    def __getitem__(self, entry: str) -> np.ndarray:
-        return self.rows[super().__getitem__(entry)]
-
-    def get(self, entry: str, default=None):
-        at = super().get(entry)
-        return default if at is None else self.rows[at]
-
-
 class LanguageModel:
-    """Log frequencies per language of words (order 0) and n-grams."""
+    """Log frequencies per language of words (order 0) and n-grams: an index and a matrix for each order."""
 
     def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.tables = langs, tables
+        self.langs = langs
+        self.index = {n: {x: i for i, x in enumerate(t)} for n, t in tables.items()}
+        self.rows = {n: np.array(list(t.values())) for n, t in tables.items()}
+
+    @property
+    def tables(self) -> dict[int, dict[str, np.ndarray]]:
+        return {n: {x: self.rows[n][i] for x, i in t.items()} for n, t in self.index.items()}
 
     def packed(self) -> tuple:
-        """Languages, and for each order the entries with one matrix of their rows."""
-        return self.langs, {n: (list(t), np.array(list(t.values()))) for n, t in self.tables.items()}
+        """Plain values to broadcast."""
+        return self.langs, {n: list(t) for n, t in self.index.items()}, self.rows
 
     @classmethod
     def unpacked(cls, packed: tuple) -> LanguageModel:
-        """The model with rows that are views of the matrices, made when looked up."""
-        langs, tables = packed
-        return cls(langs, {n: _Rows(entries, rows) for n, (entries, rows) in tables.items()})
+        model = cls(packed[0], {})
+        model.index = {n: {x: i for i, x in enumerate(t)} for n, t in packed[1].items()}
+        model.rows = packed[2]
+        return model
 
     def word(self, word: str) -> np.ndarray | None:
         """Log frequencies of a word, by backoff; None if no order knows any of it."""
-        known = self.tables.get(0, {}).get(word)
+        known = self.index.get(0, {}).get(word)
         if known is not None:
-            return known
+            return self.rows[0][known]
         for n in ORDERS:
-            table = self.tables.get(n, {})
-            found = [table[g] for g in grams_of(word, n) if g in table]
+            index = self.index.get(n, {})
+            found = [index[g] for g in grams_of(word, n) if g in index]
             if found:
-                return np.mean(found, axis=0)
+                return self.rows[n][found].sum(axis=0) / len(found)
         return None
 
 

@@ -25,7 +25,7 @@ from reelsight.llm.common import MEMO_WORD_BYTES, in_small_batches, materialise,
 
 MAX_TOKENS = 4096
 END_ID = 2
-MEMO_WORDS = 350_000            # encoded words a task holds, and as many older ones
+MEMO_WORDS = 300_000            # encoded words a task holds, and as many older ones
 GROUP_PIECES = 32_768           # remainders packed together
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
