@@ -40,7 +40,8 @@ _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
 class WordTokenizer:
     """Ids of whole texts, word by word, each distinct word encoded once per task."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+        self.memo_words = memo_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,7 +65,7 @@ class WordTokenizer:
         words, memo = self.words(text), self.memo
         distinct = set(words)
         new = [w for w in distinct if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
+        if len(memo) + len(new) > self.memo_words:
             self.older, self.memo = memo, {}
             memo, new = self.memo, list(distinct)
         if new:
@@ -90,9 +91,9 @@ _PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 
 
-def _pieces(path: str, max_tokens: int, end_id: int, seed: int, keep_ids: bool):
+def _pieces(path: str, max_tokens: int, end_id: int, seed: int, keep_ids: bool, memo_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = per_process(("words", path), lambda: WordTokenizer(path))
+        tokenizer = per_process(("words", path, memo_words), lambda: WordTokenizer(path, memo_words))
         part, made = TaskContext.get().partitionId(), 0
         draw = random.Random(f"{seed}/{part}")
         end = np.array([end_id], "<u4")
@@ -152,19 +153,20 @@ def first_fit_decreasing(lengths: np.ndarray, max_tokens: int) -> tuple[np.ndarr
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text",
                    max_tokens: int = MAX_TOKENS, end_id: int = END_ID, group_pieces: int = GROUP_PIECES,
-                   seed: int = 7, keep_ids: bool = True) -> DataFrame:
+                   seed: int = 7, keep_ids: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Pack all documents into sequences of at most ``max_tokens`` ids.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids
     (little-endian unsigned 32-bit; null without ``keep_ids``), sequence_id,
     offset (gapless from 0 within the sequence).  A document is its ids and
     ``end_id``; a null or empty text is ``end_id`` alone; a longer document is
-    cut every ``max_tokens`` ids.  Repeated rows are packed once each; null ids
+    cut every ``max_tokens`` ids.  ``memo_words`` bounds a worker's memory of
+    encoded words and changes no result.  Repeated rows are packed once each; null ids
     stay null.  Other columns are ignored; an empty table gives an empty result.
     """
     texts = in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                          F.col(text_col).cast("string").alias("text")))
-    made = materialise(texts.mapInArrow(_pieces(tokenizer, max_tokens, end_id, seed, keep_ids), _PIECE), "token-pieces")
+    made = materialise(texts.mapInArrow(_pieces(tokenizer, max_tokens, end_id, seed, keep_ids, memo_words), _PIECE), "token-pieces")
     full = made.where("sequence_id is not null").select(*_COLUMNS, "sequence_id", F.lit(0).cast("long").alias("offset"))
     rest = made.where("sequence_id is null")
     groups = parts(rest.count(), group_pieces)
