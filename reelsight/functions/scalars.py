@@ -75,6 +75,12 @@ def epoch_to_timestamp(col: Column | str, tz: str | None = "UTC") -> Column:
     return utc if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
+def epoch_seconds(col: Column | str) -> Column:
+    """X-02 backwards: seconds of a wall-clock ``timestamp_ntz`` since 1970, read as UTC in any session zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            _c(col).cast("timestamp_ntz"))
+
+
 def calendar_parts(df: DataFrame, ts: str = "date_time") -> DataFrame:
     """X-03: Year, Month, Day (of month), DayOfWeek (1 = Sunday) of the rating event."""
     t = F.col(ts)
@@ -162,13 +168,3 @@ def blend(als: Column | str, lr: Column | str, w_als: float | Column, w_lr: floa
 def mean_label(a: Column | str, b: Column | str) -> Column:
     """X-13: average of the two label columns."""
     return (_c(a) + _c(b)) / F.lit(2.0)
-
-
-def with_scalar(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate as a struct column ``name``.
-
-    ``one_row`` must produce exactly one row with one struct column.  The
-    aggregate runs once as a scalar subquery (partial + final aggregation,
-    nothing gathered beyond one row) instead of a cross join or a collect.
-    """
-    return df.withColumn(name, one_row.scalar())

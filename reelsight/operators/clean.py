@@ -22,15 +22,21 @@ def clean_ratings(df: DataFrame) -> DataFrame:
     """
     if "Rating" in df.columns and "UserRating" not in df.columns:
         df = df.withColumnRenamed("Rating", "UserRating")
-    changes: dict[str, Column] = {"UserRating": safe_int("UserRating")}
+    df = parse_numbers(df.withColumn("UserRating", safe_int("UserRating")))
+    if "Occupation" in df.columns:
+        df = df.withColumn("Occupation_Name", occupation_name("Occupation"))
+    df = df.drop("director", "avgRating")
+    return drop_missing_keys(df, [c for c in KEY_COLUMNS if c in df.columns])
+
+
+def parse_numbers(df: DataFrame) -> DataFrame:
+    """C-02 + C-04 for the title's numbers: ``rating_imdb`` and ``runtimes`` text to int, sentinels NULL."""
+    changes: dict[str, Column] = {}
     if "rating_imdb" in df.columns:
         changes["rating_imdb"] = safe_int(sentinel_null("rating_imdb"))
     if "runtimes" in df.columns:
         changes["runtimes"] = first_number(sentinel_null("runtimes")).try_cast("int")
-    if "Occupation" in df.columns:
-        changes["Occupation_Name"] = occupation_name("Occupation")
-    df = df.withColumns(changes).drop("director", "avgRating")
-    return drop_missing_keys(df, [c for c in KEY_COLUMNS if c in df.columns])
+    return df.withColumns(changes) if changes else df
 
 
 def drop_missing_keys(df: DataFrame, cols: Iterable[str] = KEY_COLUMNS) -> DataFrame:

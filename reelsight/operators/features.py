@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsight.functions.lookups import TF_FEATURES
+from reelsight.operators.ordering import global_positions
 
+# Feature column names.
 CATEGORICAL = ["Genres", "Occupation_Name", "Gender", "directedBy", "starring", "Age"]
 INDEX_NAMES = {"Genres": "GenresIndex", "Occupation_Name": "OccupationIndex", "Gender": "GenderIndex",
                "directedBy": "DirectorIndex", "starring": "StarringIndex", "Age": "AgeIndex"}
@@ -64,21 +66,22 @@ def text_stages(text_col: str = "plot_text", num_features: int = TF_FEATURES) ->
 
 
 PREPARE_SQL = """
-SELECT *, CAST(coalesce(Year, year(date_time)) AS DOUBLE) AS Year_d,
+SELECT *, CAST(year(date_time) AS DOUBLE) AS Year_d,
        CAST(rating_imdb AS DOUBLE) AS rating_imdb_d, CAST(runtimes AS DOUBLE) AS runtimes_d
 FROM __THIS__
 """
 
 
 # Columns the feature stages read, with their types; missing ones are added as NULL.
-FEATURE_INPUTS = {"Year": "int", "date_time": "timestamp_ntz", "rating_imdb": "int",
+FEATURE_INPUTS = {"date_time": "timestamp_ntz", "rating_imdb": "int",
                   "runtimes": "int", "Genres": "string", "Occupation_Name": "string", "Gender": "string",
                   "directedBy": "string", "starring": "string", "Age": "int"}
 
 
 def feature_input(df: DataFrame) -> DataFrame:
-    """Add any feature input column the frame lacks (as NULL), e.g. ``Year`` on ratings rows
-    or ``date_time`` on requests, so one fitted model serves both."""
+    """Add any feature input column the frame lacks (as NULL), e.g. ``date_time`` on
+    requests, so one fitted model serves both.  The year feature is the year of the
+    rating; a request has none and gets the training mean (its ``Year`` is the title's)."""
     missing = {c: F.lit(None).cast(t) for c, t in FEATURE_INPUTS.items() if c not in df.columns}
     return df.withColumns(missing) if missing else df
 
@@ -230,32 +233,21 @@ def prepare_features(df: DataFrame, train: DataFrame | None = None, items: DataF
     return out, fm
 
 
-def category_index_table(df: DataFrame, model, cols: Sequence[str] = CATEGORICAL) -> DataFrame:
+def category_index_table(df: DataFrame, cols: Sequence[str] = CATEGORICAL) -> DataFrame:
     """F-01 as a table: (column, value, index) for every distinct value of each column.
 
-    One pass: the columns are unpivoted to (column, value) pairs and made
-    distinct with a single shuffle; each column's slice then goes through its
-    fitted indexer (distributed), not through the model's label arrays on the
-    driver.  The slices share the distinct's shuffle output.
+    Index 0 is the most frequent value, ties alphabetical, as the indexer
+    counts.  One pass unpivots and counts the values; positions come from a
+    distributed sort, so no label list reaches the driver or one task.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                 for c in cols]))
-    distinct = df.select(pairs.alias("p")).select("p.column", "p.value").filter(F.col("value").isNotNull()).distinct()
-    out = None
-    for c in cols:
-        part = model_for(model, c).transform(distinct.filter(F.col("column") == c).withColumnRenamed("value", c))
-        part = part.select("column", F.col(c).alias("value"), F.col(INDEX_NAMES.get(c, f"{c}Index")).alias("index"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def model_for(model, col: str):
-    """A single-column copy of a fitted multi-column StringIndexerModel."""
-    from pyspark.ml.feature import StringIndexerModel
-    i = list(model.getInputCols()).index(col)
-    labels = model.labelsArray[i]
-    return StringIndexerModel.from_labels(labels, inputCol=col, outputCol=INDEX_NAMES.get(col, f"{col}Index"),
-                                          handleInvalid="keep")
+    counts = df.select(pairs.alias("p")).select("p.column", "p.value").filter(F.col("value").isNotNull()) \
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    placed = global_positions(counts, [F.col("column").asc(), F.col("_n").desc(), F.col("value").asc()], "_pos")
+    first = placed.groupBy("column").agg(F.min("_pos").alias("_first"))
+    return placed.join(first, "column").select("column", "value",
+                                               (F.col("_pos") - F.col("_first")).cast("double").alias("index"))
 
 
 def default_stop_words(language: str = "english") -> list[str]:

@@ -49,6 +49,11 @@ def join_metadata(ratings: DataFrame, meta: DataFrame, dedupe: bool = True) -> D
     return ratings.join(m, "Title", "inner")
 
 
+def unmatched_titles(titles: DataFrame, meta: DataFrame) -> DataFrame:
+    """J-03: the titles without a metadata row, which the inner join drops."""
+    return titles.join(meta.select(F.col("title").alias("Title")), "Title", "left_anti")
+
+
 def join_enrichment(ratings: DataFrame, details: DataFrame, how: str = "inner",
                     left_key: str = "imdbId", right_key: str = "imdbID") -> DataFrame:
     """J-04: details on the external id; int-like on the left, zero-padded text on the right.
@@ -62,15 +67,18 @@ def join_enrichment(ratings: DataFrame, details: DataFrame, how: str = "inner",
 
 
 def build_wide_ratings(ratings: DataFrame, titles: DataFrame, users: DataFrame,
-                       meta: DataFrame, details: DataFrame, how_details: str = "inner") -> DataFrame:
-    """J-05: the wide ratings table: ratings -> titles -> users -> metadata -> details.
-
-    Adds ``date_time`` from the epoch ``Timestamp`` (X-02).
+                       meta: DataFrame, details: DataFrame, how_details: str = "inner",
+                       dedupe: bool = True) -> DataFrame:
+    """J-05: the wide ratings table: titles, metadata and details, users, ratings.
+
+    Titles meet metadata and details first, so the ratings (the large side)
+    are shuffled on MovieID and on UserID only, never on title text.  Adds
+    ``date_time`` from the epoch ``Timestamp`` (X-02).  ``dedupe=False``
+    keeps every metadata match (J-03).
     """
+    items = join_enrichment(join_metadata(titles, meta, dedupe), details, how=how_details)
     r = ratings.withColumn("date_time", epoch_to_timestamp("Timestamp"))
-    wide = join_users(join_titles(r, titles), users)
-    wide = join_metadata(wide, meta)
-    return join_enrichment(wide, details, how=how_details)
+    return join_users(join_titles(r, items), users)
 
 
 def keep_top_groups(df: DataFrame, top: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelsight.session import checkpoint_dir
+
 
 def _order(cols: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -68,3 +70,22 @@ def latest_rating_per_pair(df: DataFrame, keys: Sequence[str] = ("UserID", "Movi
 def append_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """O-08: column-wise concat of computed columns on the same rows (no join)."""
     return df.select("*", *[c.alias(n) for n, c in columns.items()])
+
+
+def global_positions(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Positions 0, 1, 2, ... of the rows under ``order``, without a single-partition sort.
+
+    The rows are range-sorted and numbered within their partition; a
+    reliable checkpoint fixes those numbers (so this runs a job).  The
+    partitions' row counts, one row each, give the offsets.
+    """
+    checkpoint_dir(df.sparkSession)
+    mark = F.monotonically_increasing_id()   # partition number * 2^33 + row within it
+    placed = df.orderBy(*order).withColumn("_mark", mark).checkpoint()
+    part = F.shiftright("_mark", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    within = F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(offsets, "_part") \
+        .withColumn(out, F.col("_offset") + within).drop("_mark", "_part", "_offset")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsight.functions.scalars import calendar_parts, epoch_to_timestamp, normalize_rating, denormalize_rating, zip_region
+from reelsight.functions.scalars import calendar_parts, epoch_seconds, epoch_to_timestamp, normalize_rating, denormalize_rating, zip_region
 from reelsight.operators.aggregates import (density, global_stats, group_sizes, histogram, minmax_scale,
                                             rating_summary, zscore)
 from reelsight.operators.clean import between_inclusive, clean_ratings, null_profile
@@ -83,7 +83,7 @@ SELECT UserID, MovieID, CAST(epoch(date_time) AS BIGINT) AS epoch,
 FROM clean""", "clean"))
 def q_calendar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-02 + X-03: epoch seconds back to a timestamp, then its calendar parts."""
-    df = clean(spark, sf_dir).select("UserID", "MovieID", F.unix_timestamp("date_time").alias("epoch"))
+    df = clean(spark, sf_dir).select("UserID", "MovieID", epoch_seconds("date_time").alias("epoch"))
     df = df.withColumn("rated_at", epoch_to_timestamp("epoch"))
     return calendar_parts(df, "rated_at").select("UserID", "MovieID", "epoch", "Year", "Month", "Day", "DayOfWeek")
 

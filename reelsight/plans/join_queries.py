@@ -6,43 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsight.operators.joins import (annotate_items, build_wide_ratings, dedupe_metadata, exclude_seen,
-                                       join_enrichment, join_metadata, join_titles, join_users, known_pairs)
+                                       join_enrichment, join_metadata, join_titles, join_users, known_pairs,
+                                       unmatched_titles)
 from reelsight.operators.ordering import distinct_items, latest_rating_per_pair
 from reelsight.plans.eda_queries import clean
 from reelsight.plans.registry import register
-from reelsight.plans.sql import with_ctes
+from reelsight.plans.sql import RATING, TITLE, with_ctes
 from reelsight.plans.standin import (raw_details, raw_metadata, raw_ratings, raw_titles, raw_users,
                                      requests)
 from reelsight.sources.enrichment import pending_enrichment_ids
 from reelsight.sources.files import profile_shape
 
 RAW = {
-    "raw_ratings": """SELECT CAST(o.o_custkey AS INT) AS UserID, CAST(l.l_partkey AS INT) AS MovieID,
-                             1 + CAST(FLOOR((l.l_quantity - 1) / 10) AS INT) AS Rating,
+    "raw_ratings": f"""SELECT o.o_custkey AS UserID, l.l_partkey AS MovieID, {RATING} AS Rating,
                              CAST(epoch(l.l_shipdate) AS BIGINT) AS Timestamp
                       FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
-    "raw_titles": """SELECT CAST(p_partkey AS INT) AS MovieID, p_name AS Title, REPLACE(p_name, ' ', '|') AS Genres
+    "raw_titles": f"""SELECT p_partkey AS MovieID, {TITLE} AS Title, REPLACE(p_name, ' ', '|') AS Genres
                      FROM part""",
-    "raw_users": """SELECT CAST(c_custkey AS INT) AS UserID, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS Gender,
+    "raw_users": """SELECT c_custkey AS UserID, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS Gender,
                       CASE WHEN c_acctbal < 0 THEN 1 WHEN c_acctbal < 1500 THEN 18
                            WHEN c_acctbal < 3500 THEN 25 WHEN c_acctbal < 5500 THEN 35
                            WHEN c_acctbal < 7000 THEN 45 WHEN c_acctbal < 8500 THEN 50 ELSE 56 END AS Age,
                       CAST(c_nationkey % 21 AS INT) AS Occupation,
                       CONCAT(LPAD(CAST(c_custkey % 40 AS VARCHAR), 3, '0'), '00') AS Zip_Code
                     FROM customer""",
-    "raw_metadata": """SELECT p_name AS title, p_brand AS directedBy, p_type AS starring,
-                              p_retailprice / 400 AS avgRating, p_partkey AS imdbId FROM part""",
+    "raw_metadata": f"""SELECT {TITLE} AS title, p_brand AS directedBy, p_type AS starring,
+                              p_retailprice / 400 AS avgRating, p_partkey AS imdbId
+                       FROM part WHERE p_partkey % 37 <> 5""",
     "meta_one": """SELECT title AS Title, imdbId, directedBy, starring, avgRating FROM (
                      SELECT *, row_number() OVER (PARTITION BY title ORDER BY imdbId) AS rn FROM raw_metadata)
                    WHERE rn = 1""",
-    "raw_details": """SELECT p.p_name AS localized_title,
+    "raw_details": f"""SELECT {TITLE} AS localized_title,
                         CASE WHEN p.p_partkey % 23 = 0 THEN '90, 100' WHEN p.p_partkey % 29 = 0 THEN NULL
                              ELSE CAST(60 + p.p_size AS VARCHAR) END AS runtimes,
                         CASE WHEN p.p_partkey % 17 = 0 THEN 'N/A'
-                             ELSE CONCAT(CAST(p.p_size % 10 AS VARCHAR), '.5') END AS rating_imdb,
+                             ELSE CONCAT(CAST(p.p_partkey % 10 AS VARCHAR), '.5') END AS rating_imdb,
                         CASE WHEN p.p_partkey % 31 = 0 THEN NULL ELSE d.text END AS plot_outline,
                         p.p_brand AS director,
-                        LPAD(CAST(p.p_partkey AS VARCHAR), 7, '0') AS imdbID
+                        LPAD(CAST(p.p_partkey AS VARCHAR), 19, '0') AS imdbID
                       FROM part p LEFT JOIN documents d ON d.doc_id = p.p_partkey % (SELECT count(*) FROM documents)""",
 }
 
@@ -78,6 +79,23 @@ def q_join_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         "MovieID", "Title", "Genres", "imdbId", "directedBy", "starring", "avgRating")
 
 
+@register("join_metadata_all", _raw("""
+SELECT t.MovieID, t.Title, t.Genres, m.imdbId, m.directedBy, m.starring, m.avgRating
+FROM raw_titles t JOIN raw_metadata m ON t.Title = m.title""", "raw_titles", "raw_metadata"))
+def q_join_metadata_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-03 with every match kept: a title text that repeats yields a row per metadata row."""
+    return join_metadata(raw_titles(spark, sf_dir), raw_metadata(spark, sf_dir), dedupe=False).select(
+        "MovieID", "Title", "Genres", "imdbId", "directedBy", "starring", "avgRating")
+
+
+@register("unmatched_titles", _raw("""
+SELECT t.MovieID, t.Title FROM raw_titles t
+WHERE NOT EXISTS (SELECT 1 FROM raw_metadata m WHERE m.title = t.Title)""", "raw_titles", "raw_metadata"))
+def q_unmatched_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-03: titles that the inner title join loses, because no metadata row has their text."""
+    return unmatched_titles(raw_titles(spark, sf_dir), raw_metadata(spark, sf_dir)).select("MovieID", "Title")
+
+
 @register("join_enrichment", _raw("""
 SELECT m.Title, m.imdbId, m.directedBy, d.localized_title, d.runtimes, d.rating_imdb, d.plot_outline, d.director
 FROM meta_one m JOIN raw_details d ON TRY_CAST(CAST(m.imdbId AS VARCHAR) AS BIGINT) = TRY_CAST(d.imdbID AS BIGINT)""",
@@ -105,10 +123,11 @@ JOIN meta_one m ON t.Title = m.Title
 JOIN raw_details d ON TRY_CAST(CAST(m.imdbId AS VARCHAR) AS BIGINT) = TRY_CAST(d.imdbID AS BIGINT)""",
     "raw_ratings", "raw_titles", "raw_users", "raw_metadata", "meta_one", "raw_details"))
 def q_wide_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-05: ratings -> titles -> users -> metadata -> details; plot text reported by length."""
+    """J-05: ratings with titles, users, metadata and details; the plot enters by its length."""
+    details = raw_details(spark, sf_dir).withColumn("plot_chars", F.length("plot_outline").cast("bigint"))
     wide = build_wide_ratings(raw_ratings(spark, sf_dir), raw_titles(spark, sf_dir), raw_users(spark, sf_dir),
-                              raw_metadata(spark, sf_dir), raw_details(spark, sf_dir))
-    return wide.select(*WIDE_COLS, F.length("plot_outline").cast("bigint").alias("plot_chars"))
+                              raw_metadata(spark, sf_dir), details.drop("plot_outline"))
+    return wide.select(*WIDE_COLS, "plot_chars")
 
 
 @register("unseen_requests", with_ctes("""

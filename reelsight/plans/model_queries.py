@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from reelsight.functions.lookups import SERVING_WEIGHTS, SWEEP_WEIGHTS
 from reelsight.functions.scalars import blend, denormalize_rating, mean_label, normalize_rating
 from reelsight.operators.aggregates import rmse
-from reelsight.operators.features import CATEGORICAL, category_index_table, index_categories, prepare_features, \
+from reelsight.operators.features import CATEGORICAL, category_index_table, prepare_features, \
     term_weights
 from reelsight.operators.hybrid import choose_model, score_requests, sweep_weights
 from reelsight.operators.joins import combine_predictions
@@ -33,15 +33,16 @@ from reelsight.plans.eda_queries import clean
 from reelsight.plans.genre_queries import STANDIN_GENRES
 from reelsight.plans.registry import register
 from reelsight.plans.sql import with_ctes
-from reelsight.plans.standin import items_standin, requests, session_key
+from reelsight.plans.standin import (items_standin, raw_titles, requests, serving_items, serving_users,
+                                     session_key)
 from reelsight.session import checkpoint_dir
 
 # ------------------------------------------------------------------ shared inputs
 
 
-def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned ratings with the normalised label (X-10, min-max on 1..5) and the split flag (L-03)."""
-    df = clean(spark, sf_dir).withColumn("NormUserRating", normalize_rating("UserRating", "minmax"))
+def rated(spark: SparkSession, sf_dir: str, method: str = "minmax") -> DataFrame:
+    """Cleaned ratings with the normalised label (X-10; min-max: 1..5 onto 0..1) and the split flag (L-03)."""
+    df = clean(spark, sf_dir).withColumn("NormUserRating", normalize_rating("UserRating", method))
     return with_split(df)
 
 
@@ -169,16 +170,16 @@ def q_blend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT q.RequestID, q.UserID, q.MovieID,
        CASE WHEN q.UserID IN (SELECT UserID FROM split WHERE is_train)
              AND q.MovieID IN (SELECT MovieID FROM split WHERE is_train) THEN 'ALS'
-            WHEN q.MovieID IN (SELECT MovieID FROM clean) THEN 'LR'
+            WHEN q.MovieID IN (SELECT p_partkey FROM part) THEN 'LR'
             ELSE 'Fallback' END AS model_choice
 FROM requests q""", "split", "requests"))
 def q_request_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-02: per request, ALS if user and item are known to the factor model
-    (= present in its training split), else LR if the item has metadata, else Fallback."""
+    (= present in its training split), else LR if the item is in the title table, else Fallback."""
     df = labelled(spark, sf_dir)
     train = df.filter("is_train")
     r = choose_model(requests(spark, sf_dir).select("RequestID", "UserID", "MovieID"),
-                     train.select("UserID"), train.select("MovieID"), df.select("MovieID"))
+                     train.select("UserID"), train.select("MovieID"), raw_titles(spark, sf_dir))
     return r.select("RequestID", "UserID", "MovieID", "model_choice")
 
 
@@ -197,10 +198,7 @@ def _index_sql() -> str:
 @register("category_index", _index_sql())
 def q_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-01: frequency-descending index of each categorical value (ties alphabetical)."""
-    df = clean(spark, sf_dir)
-    cast = df.select(*[F.col(c).cast("string").alias(c) for c in CATEGORICAL])
-    model = index_categories(CATEGORICAL).fit(cast)
-    return category_index_table(cast, model, CATEGORICAL)
+    return category_index_table(clean(spark, sf_dir), CATEGORICAL)
 
 
 def _stop_words() -> list[str]:
@@ -234,13 +232,22 @@ def q_term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CACHE: dict = {}
 
 
-def trained(spark: SparkSession, sf_dir: str) -> dict:
-    """Fit once per session and scale factor: split, ALS, features, linear model."""
-    key = (session_key(spark), sf_dir)
+#: Label the models train on; "identity" (1..5 stars) keeps the documented penalties on their own scale.
+LABEL_METHOD = "identity"
+
+
+def trained(spark: SparkSession, sf_dir: str, method: str = LABEL_METHOD) -> dict:
+    """Fit once per session, scale factor and label method: split, ALS, features, linear model.
+
+    The penalties (ALS 0.1, linear 0.1) belong to a label in stars.  On the
+    0..1 label of ``method="minmax"`` the same numbers weigh more (the
+    linear one four times), and the elastic net keeps fewer coefficients.
+    """
+    key = (session_key(spark), sf_dir, method)
     if key in _CACHE:
         return _CACHE[key]
     checkpoint_dir(spark)
-    df = rated(spark, sf_dir).persist()
+    df = rated(spark, sf_dir, method).persist()
     train, test = df.filter("is_train"), df.filter(~F.col("is_train"))
     als = train_als(train.select("UserID", "MovieID", "NormUserRating"), rank=10, reg=0.1, iters=10)
     items = items_standin(spark, sf_dir)
@@ -248,7 +255,8 @@ def trained(spark: SparkSession, sf_dir: str) -> dict:
     feats = feats.select("UserID", "MovieID", "date_time", "UserRating", "NormUserRating", "is_train",
                          "content_features").persist()   # read by the LR fit and three queries
     lr = train_linear(feats.filter("is_train"), cache_input=False)   # feats is persisted above
-    out = {"df": df, "train": train, "test": test, "als": als, "features": feats, "feature_model": fm, "lr": lr}
+    out = {"df": df, "train": train, "test": test, "als": als, "features": feats, "feature_model": fm, "lr": lr,
+           "method": method}
     _CACHE[key] = out
     return out
 
@@ -256,12 +264,12 @@ def trained(spark: SparkSession, sf_dir: str) -> dict:
 @register("content_features")
 def q_content_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-08..F-11: content feature vector per rating row (size, non-zeros, L2 norm reported)."""
-    from pyspark.ml.functions import vector_to_array
     f = trained(spark, sf_dir)["features"]
-    arr = vector_to_array(F.col("content_features"))
-    return f.select("UserID", "MovieID", "NormUserRating", F.size(arr).alias("n_features"),
-                    F.size(F.filter(arr, lambda x: x != 0)).alias("n_nonzero"),
-                    F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x)), 6).alias("l2"))
+    v = F.unwrap_udt("content_features")   # type 0 sparse (size, indices, values), 1 dense (values)
+    size = F.coalesce(v["size"], F.size(v["values"]))
+    return f.select("UserID", "MovieID", "NormUserRating", size.alias("n_features"),
+                    F.size(F.filter(v["values"], lambda x: x != 0)).alias("n_nonzero"),
+                    F.round(F.sqrt(F.aggregate(v["values"], F.lit(0.0), lambda acc, x: acc + x * x)), 6).alias("l2"))
 
 
 @register("als_holdout")
@@ -313,18 +321,50 @@ def q_hybrid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-06: every request scored (blend, single model or none) with the model used."""
     t = trained(spark, sf_dir)
-    df = t["df"]
-    users = df.select("UserID", "Gender", "Occupation_Name", "Age").dropDuplicates(["UserID"])
-    items = df.select("MovieID", "Genres", "directedBy", "starring", "rating_imdb", "runtimes") \
-        .dropDuplicates(["MovieID"])
-    return score_requests(requests(spark, sf_dir), t["als"], t["lr"], t["feature_model"], users, items)
+    return score_requests(requests(spark, sf_dir), t["als"], t["lr"], t["feature_model"],
+                          serving_users(spark, sf_dir), serving_items(spark, sf_dir), method=t["method"])
+
+
+DECISIONS = with_ctes("""
+SELECT RequestID, UserID, MovieID, has_als, has_lr,
+       CASE WHEN has_als AND has_lr THEN 'Hybrid' WHEN has_als THEN 'ALS' WHEN has_lr THEN 'LR'
+            ELSE 'Fallback' END AS model_used
+FROM (SELECT q.RequestID, q.UserID, q.MovieID,
+             q.UserID IN (SELECT UserID FROM split WHERE is_train)
+               AND q.MovieID IN (SELECT MovieID FROM split WHERE is_train) AS has_als,
+             q.MovieID IN (SELECT p_partkey FROM part) AS has_lr
+      FROM requests q)""", "split", "requests")
+
+
+def decisions(scored: DataFrame) -> DataFrame:
+    """Which scores each scored request has, and the model used."""
+    return scored.select("RequestID", "UserID", "MovieID", F.col("als_prediction").isNotNull().alias("has_als"),
+                         F.col("lr_prediction").isNotNull().alias("has_lr"), "model_used")
+
+
+@register("score_decisions", DECISIONS)
+def q_score_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-06: which models scored each request, on the fitted models' output."""
+    return decisions(q_score_requests(spark, sf_dir))
+
+
+@register("als_holdout_pairs", _mp_sql("""
+SELECT t.UserID, t.MovieID, t.NormUserRating * 4.0 + 1.0 AS NormUserRating FROM test_latest t
+WHERE t.UserID IN (SELECT UserID FROM base WHERE is_train)
+  AND t.MovieID IN (SELECT MovieID FROM base WHERE is_train)"""))
+def q_als_holdout_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-04: the test pairs that the factor model predicts (cold-start rows dropped), with their label."""
+    t = trained(spark, sf_dir)
+    return predict_als(t["als"], latest_rating_per_pair(t["test"].select(
+        "UserID", "MovieID", "date_time", "UserRating", "NormUserRating"))).select(
+        "UserID", "MovieID", "NormUserRating")
 
 
 @register("recommend_all")
 def q_recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-05: per user, the 10 best unseen titles predicted in the 4..5 band."""
     t = trained(spark, sf_dir)
-    return recommend_for_all(t["als"], t["df"], n=10)
+    return recommend_for_all(t["als"], t["df"], n=10, method=t["method"])
 
 
 @register("user_projection")
@@ -340,16 +380,19 @@ def q_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelsight.schemas import REQUEST_SCHEMA
     from reelsight.streaming.requests import read_scored, request_stream, score_request_stream
     t = trained(spark, sf_dir)
-    df = t["df"]
-    users = df.select("UserID", "Gender", "Occupation_Name", "Age").dropDuplicates(["UserID"])
-    items = df.select("MovieID", "Genres", "directedBy", "starring", "rating_imdb", "runtimes") \
-        .dropDuplicates(["MovieID"])
+    users, items = serving_users(spark, sf_dir), serving_items(spark, sf_dir)
     base = checkpoint_dir(spark).rstrip("/") + f"/request-stream-{uuid.uuid4().hex}"
     reqs = requests(spark, sf_dir).select(*[f.name for f in REQUEST_SCHEMA.fields])
     reqs.write.mode("overwrite").json(f"{base}/source")
     q = score_request_stream(
         request_stream(spark, f"{base}/source", max_files_per_trigger=4),
-        lambda b: score_requests(b, t["als"], t["lr"], t["feature_model"], users, items),
+        lambda b: score_requests(b, t["als"], t["lr"], t["feature_model"], users, items, method=t["method"]),
         f"{base}/sink", f"{base}/checkpoint")
     q.awaitTermination()
     return read_scored(spark, f"{base}/sink").drop("batch_id")
+
+
+@register("stream_decisions", DECISIONS)
+def q_stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-01: the decisions of the streamed requests; the same as of the batch."""
+    return decisions(q_request_stream(spark, sf_dir))

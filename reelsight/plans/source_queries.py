@@ -31,7 +31,7 @@ def _scratch(spark: SparkSession, what: str) -> str:
 
 
 @register("parse_ratings_text", with_ctes("""
-SELECT CAST(split_part(value, '::', 1) AS INT) AS UserID, CAST(split_part(value, '::', 2) AS INT) AS MovieID,
+SELECT CAST(split_part(value, '::', 1) AS BIGINT) AS UserID, CAST(split_part(value, '::', 2) AS BIGINT) AS MovieID,
        CAST(split_part(value, '::', 3) AS INT) AS Rating, CAST(split_part(value, '::', 4) AS BIGINT) AS Timestamp,
        false AS _corrupt
 FROM (SELECT concat_ws('::', UserID, MovieID, Rating, Timestamp) AS value FROM raw_ratings)""",
@@ -44,7 +44,7 @@ def q_parse_ratings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("parse_titles_text", with_ctes("""
-SELECT CAST(split_part(value, '::', 1) AS INT) AS MovieID, split_part(value, '::', 2) AS Title,
+SELECT CAST(split_part(value, '::', 1) AS BIGINT) AS MovieID, split_part(value, '::', 2) AS Title,
        split_part(value, '::', 3) AS Genres, false AS _corrupt
 FROM (SELECT concat_ws('::', MovieID, Title, Genres) AS value FROM raw_titles)""",
     extra={"raw_titles": RAW["raw_titles"]}))

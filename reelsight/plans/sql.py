@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from reelsight.functions.lookups import OCCUPATION_NAMES, UNKNOWN_OCCUPATION
 
-RATINGS = """
+TITLE = """CASE WHEN p_partkey % 50 = 0 THEN 'special ' || CAST(p_partkey // 100 AS VARCHAR)
+       ELSE p_name || ' ' || CAST(p_partkey AS VARCHAR) END"""
+
+RATING = """1 + CAST(FLOOR(((l.l_quantity - 1) * 4 + (l.l_partkey % 10) * 20 + (o.o_custkey % 2) * 64
+                        + (o.o_custkey % 5) * 12) / 98) AS INT)"""
+
+RATINGS = f"""
 SELECT
-  CAST(o.o_custkey AS INT)                              AS UserID,
-  CAST(l.l_partkey AS INT)                              AS MovieID,
-  1 + CAST(FLOOR((l.l_quantity - 1) / 10) AS INT)       AS UserRating,
+  o.o_custkey                                           AS UserID,
+  l.l_partkey                                           AS MovieID,
+  {RATING}                                              AS UserRating,
   l.l_shipdate                                          AS date_time,
   CASE WHEN c.c_custkey % 2 = 0 THEN 'M' ELSE 'F' END   AS Gender,
   CAST(c.c_nationkey % 21 AS INT)                       AS Occupation,
@@ -22,12 +28,12 @@ SELECT
        WHEN c.c_acctbal < 7000 THEN 45 WHEN c.c_acctbal < 8500 THEN 50
        ELSE 56 END                                      AS Age,
   CONCAT(LPAD(CAST(c.c_custkey % 40 AS VARCHAR), 3, '0'), '00') AS Zip_Code,
-  p.p_name                                              AS Title,
+  {TITLE}                                               AS Title,
   REPLACE(p.p_name, ' ', '|')                           AS Genres,
   p.p_brand                                             AS directedBy,
   p.p_type                                              AS starring,
   CASE WHEN p.p_partkey % 17 = 0 THEN 'N/A'
-       ELSE CONCAT(CAST(p.p_size % 10 AS VARCHAR), '.5') END AS rating_imdb,
+       ELSE CONCAT(CAST(p.p_partkey % 10 AS VARCHAR), '.5') END AS rating_imdb,
   CASE WHEN p.p_partkey % 23 = 0 THEN '90, 100'
        WHEN p.p_partkey % 29 = 0 THEN NULL
        ELSE CAST(60 + p.p_size AS VARCHAR) END           AS runtimes,
@@ -68,8 +74,8 @@ WHERE UserID IS NOT NULL AND MovieID IS NOT NULL AND UserRating IS NOT NULL
 # Requests: one per event (see plans.standin.requests).
 REQUESTS = """
 SELECT e.event_id AS RequestID,
-       CAST(CASE WHEN e.event_id % 10 = 0 THEN -1 - e.user_id ELSE e.user_id END AS INT) AS UserID,
-       CAST(e.event_id % ((SELECT count(*) FROM part) + (SELECT count(*) FROM part) // 2) AS INT) AS MovieID
+       CASE WHEN e.event_id % 10 = 0 THEN -1 - e.user_id ELSE e.user_id END AS UserID,
+       e.event_id % ((SELECT count(*) FROM part) + (SELECT count(*) FROM part) // 2) AS MovieID
 FROM events e
 """
 

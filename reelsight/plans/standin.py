@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelsight.functions.scalars import epoch_seconds, occupation_name
+from reelsight.operators.clean import parse_numbers
 from reelsight.schemas import REQUEST_SCHEMA
 
 
@@ -61,15 +63,24 @@ def zip_of(custkey: Column) -> Column:
     return F.concat(F.lpad((custkey % 40).cast("string"), 3, "0"), F.lit("00"))
 
 
-def rating_of(quantity: Column) -> Column:
-    return (F.lit(1) + F.floor((quantity - 1) / 10).cast("int")).cast("int")
+def rating_of(quantity: Column, custkey: Column, partkey: Column) -> Column:
+    """1..5 with a planted signal: the title's rating_imdb, the user's gender and a user
+    habit move the rating, the line's quantity is the noise."""
+    points = (quantity - 1) * 4 + (partkey % 10) * 20 + (custkey % 2) * 64 + (custkey % 5) * 12
+    return (F.lit(1) + F.floor(points / 98)).cast("int")
 
 
 # ------------------------------------------------------------ title attributes
 
-def rating_imdb_of(partkey: Column, size: Column) -> Column:
+def title_of(partkey: Column, name: Column) -> Column:
+    """Unique by its key, except every 50th title, which shares its text with one other."""
+    return (F.when(partkey % 50 == 0, F.concat(F.lit("special "), F.floor(partkey / 100).cast("string")))
+            .otherwise(F.concat(name, F.lit(" "), partkey.cast("string"))))
+
+
+def rating_imdb_of(partkey: Column) -> Column:
     return (F.when(partkey % 17 == 0, F.lit("N/A"))
-            .otherwise(F.concat((size % 10).cast("string"), F.lit(".5"))))
+            .otherwise(F.concat((partkey % 10).cast("string"), F.lit(".5"))))
 
 
 def runtimes_of(partkey: Column, size: Column) -> Column:
@@ -81,7 +92,7 @@ def runtimes_of(partkey: Column, size: Column) -> Column:
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(
-        F.col("c_custkey").cast("int").alias("UserID"),
+        F.col("c_custkey").alias("UserID"),
         gender_of(F.col("c_custkey")).alias("Gender"),
         age_of(F.col("c_acctbal")).alias("Age"),
         occupation_of(F.col("c_nationkey")).alias("Occupation"),
@@ -89,10 +100,13 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _plots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plot texts: all documents, keyed by doc_id (the documents key)."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("_plot_doc"), F.col("text").alias("_plot_text"))
+def _plots(spark: SparkSession, sf_dir: str, as_flag: bool = False) -> DataFrame:
+    """Plot texts: all documents, keyed by doc_id (the documents key).
+
+    ``as_flag``: TRUE where there is a text, else NULL, taken before any join.
+    """
+    text = F.when(F.col("text").isNotNull(), F.lit(True)) if as_flag else F.col("text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_plot_doc"), text.alias("_plot_text"))
 
 
 def _plot_doc(spark: SparkSession, sf_dir: str) -> Column:
@@ -101,21 +115,21 @@ def _plot_doc(spark: SparkSession, sf_dir: str) -> Column:
     return (F.col("p_partkey") % n_docs).alias("_plot_doc")
 
 
-def _titles_wide(spark: SparkSession, sf_dir: str, with_plot: bool) -> DataFrame:
+def _titles_wide(spark: SparkSession, sf_dir: str, with_plot: bool, plot_flag: bool = False) -> DataFrame:
     p = table(spark, sf_dir, "part")
     t = p.select(
-        F.col("p_partkey").cast("int").alias("MovieID"),
-        F.col("p_name").alias("Title"),
+        F.col("p_partkey").alias("MovieID"),
+        title_of(F.col("p_partkey"), F.col("p_name")).alias("Title"),
         F.regexp_replace(F.col("p_name"), " ", "|").alias("Genres"),
         F.col("p_brand").alias("directedBy"),
         F.col("p_type").alias("starring"),
-        rating_imdb_of(F.col("p_partkey"), F.col("p_size")).alias("rating_imdb"),
+        rating_imdb_of(F.col("p_partkey")).alias("rating_imdb"),
         runtimes_of(F.col("p_partkey"), F.col("p_size")).alias("runtimes"),
         _plot_doc(spark, sf_dir),
         F.col("p_partkey").alias("_partkey"),
     )
     if with_plot:
-        t = (t.join(_plots(spark, sf_dir), "_plot_doc", "left")
+        t = (t.join(_plots(spark, sf_dir, plot_flag), "_plot_doc", "left")
              .withColumn("plot_outline", F.when(F.col("_partkey") % 31 == 0, F.lit(None))
                          .otherwise(F.col("_plot_text"))))
         t = t.drop("_plot_text")
@@ -125,18 +139,19 @@ def _titles_wide(spark: SparkSession, sf_dir: str, with_plot: bool) -> DataFrame
 def ratings_standin(spark: SparkSession, sf_dir: str, with_plot: bool = False) -> DataFrame:
     """The wide ratings table (one row per lineitem), FIXTURES.md section 2.
 
-    ``with_plot`` adds ``plot_outline`` (document text); leave it off unless
-    the text features need it, so the other jobs never carry long texts.
+    ``with_plot`` adds ``plot_outline`` as a flag (TRUE or NULL): rating rows
+    never carry the text itself.
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     r = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
-        F.col("o_custkey").cast("int").alias("UserID"),
-        F.col("l_partkey").cast("int").alias("MovieID"),
-        rating_of(F.col("l_quantity")).alias("UserRating"),
+        F.col("o_custkey").alias("UserID"),
+        F.col("l_partkey").alias("MovieID"),
+        rating_of(F.col("l_quantity"), F.col("o_custkey"), F.col("l_partkey")).alias("UserRating"),
         F.col("l_shipdate").alias("date_time"),
     )
-    wide = r.join(_users(spark, sf_dir), "UserID").join(_titles_wide(spark, sf_dir, with_plot), "MovieID")
+    wide = r.join(_users(spark, sf_dir), "UserID").join(
+        _titles_wide(spark, sf_dir, with_plot, plot_flag=True), "MovieID")
     cols = ["UserID", "MovieID", "UserRating", "date_time", "Gender", "Occupation", "Age", "Zip_Code",
             "Title", "Genres", "directedBy", "starring", "rating_imdb", "runtimes"]
     if with_plot:
@@ -149,6 +164,18 @@ def items_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titles_wide(spark, sf_dir, with_plot=True).select("MovieID", "plot_outline")
 
 
+def serving_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user table as scoring reads it: UserID, Gender, Occupation_Name, Age."""
+    return _users(spark, sf_dir).select("UserID", "Gender", occupation_name("Occupation").alias("Occupation_Name"),
+                                        "Age")
+
+
+def serving_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title table as scoring reads it, numbers cleaned as in the wide table (C-02, C-04)."""
+    return parse_numbers(_titles_wide(spark, sf_dir, with_plot=False)).select(
+        "MovieID", "Genres", "directedBy", "starring", "rating_imdb", "runtimes")
+
+
 # ------------------------------------------------------------ raw inputs of the ingest joins
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,17 +183,17 @@ def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
-        F.col("o_custkey").cast("int").alias("UserID"),
-        F.col("l_partkey").cast("int").alias("MovieID"),
-        rating_of(F.col("l_quantity")).alias("Rating"),
-        F.unix_timestamp(F.col("l_shipdate")).alias("Timestamp"),
+        F.col("o_custkey").alias("UserID"),
+        F.col("l_partkey").alias("MovieID"),
+        rating_of(F.col("l_quantity"), F.col("o_custkey"), F.col("l_partkey")).alias("Rating"),
+        epoch_seconds(F.col("l_shipdate")).alias("Timestamp"),
     )
 
 
 def raw_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles as ingested: MovieID, Title, Genres ('|'-joined)."""
     p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").cast("int").alias("MovieID"), F.col("p_name").alias("Title"),
+    return p.select(F.col("p_partkey").alias("MovieID"), title_of(F.col("p_partkey"), F.col("p_name")).alias("Title"),
                     F.regexp_replace(F.col("p_name"), " ", "|").alias("Genres"))
 
 
@@ -178,11 +205,12 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title metadata as ingested from JSON lines: title, directedBy, starring, avgRating, imdbId.
 
-    Titles repeat across parts, exactly the case the title join must dedupe.
+    Every 50th title repeats, the case the title join must dedupe; every 37th
+    title (key mod 37 = 5) has no metadata.
     """
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 37 != 5)
     return p.select(
-        F.col("p_name").alias("title"),
+        title_of(F.col("p_partkey"), F.col("p_name")).alias("title"),
         F.col("p_brand").alias("directedBy"),
         F.col("p_type").alias("starring"),
         (F.col("p_retailprice") / 400).alias("avgRating"),
@@ -194,12 +222,12 @@ def raw_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed title details (all strings), keyed by a zero-padded text id ``imdbID``."""
     p = table(spark, sf_dir, "part")
     t = p.select(
-        F.col("p_name").alias("localized_title"),
+        title_of(F.col("p_partkey"), F.col("p_name")).alias("localized_title"),
         runtimes_of(F.col("p_partkey"), F.col("p_size")).alias("runtimes"),
-        rating_imdb_of(F.col("p_partkey"), F.col("p_size")).alias("rating_imdb"),
+        rating_imdb_of(F.col("p_partkey")).alias("rating_imdb"),
         _plot_doc(spark, sf_dir),
         F.col("p_brand").alias("director"),
-        F.lpad(F.col("p_partkey").cast("string"), 7, "0").alias("imdbID"),
+        F.lpad(F.col("p_partkey").cast("string"), 19, "0").alias("imdbID"),
         F.col("p_partkey").alias("_partkey"),
     )
     t = t.join(_plots(spark, sf_dir), "_plot_doc", "left").withColumn(
@@ -222,8 +250,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = e.select(
         F.col("event_id").alias("RequestID"),
         F.when(F.col("event_id") % 10 == 0, -1 - F.col("user_id"))
-        .otherwise(F.col("user_id")).cast("int").alias("UserID"),
-        (F.col("event_id") % modulus).cast("int").alias("MovieID"),
+        .otherwise(F.col("user_id")).alias("UserID"),
+        (F.col("event_id") % modulus).alias("MovieID"),
     )
     typed = [F.col(f.name) if f.name in base.columns else F.lit(None).cast(f.dataType).alias(f.name)
              for f in REQUEST_SCHEMA.fields]

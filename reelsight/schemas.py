@@ -1,25 +1,29 @@
-"""Declared schemas for every input the library reads (no inference)."""
+"""Declared schemas for every input the library reads (no inference).
+
+Fixed values: field names and types are those of the input files and of the
+request record.  Ids are BIGINT.
+"""
 
 from pyspark.sql import types as T
 
 # Ratings text file, '::'-separated: UserID::MovieID::Rating::Timestamp
 RATINGS_TEXT = T.StructType([
-    T.StructField("UserID", T.IntegerType(), False),
-    T.StructField("MovieID", T.IntegerType(), False),
+    T.StructField("UserID", T.LongType(), False),
+    T.StructField("MovieID", T.LongType(), False),
     T.StructField("Rating", T.IntegerType(), True),
     T.StructField("Timestamp", T.LongType(), True),
 ])
 
 # Titles text file: MovieID::Title::Genres
 TITLES_TEXT = T.StructType([
-    T.StructField("MovieID", T.IntegerType(), False),
+    T.StructField("MovieID", T.LongType(), False),
     T.StructField("Title", T.StringType(), True),
     T.StructField("Genres", T.StringType(), True),
 ])
 
 # Users text file: UserID::Gender::Age::Occupation::Zip_Code (zip stays text)
 USERS_TEXT = T.StructType([
-    T.StructField("UserID", T.IntegerType(), False),
+    T.StructField("UserID", T.LongType(), False),
     T.StructField("Gender", T.StringType(), True),
     T.StructField("Age", T.IntegerType(), True),
     T.StructField("Occupation", T.IntegerType(), True),
@@ -59,8 +63,8 @@ DETAILS_RAW_JSON = T.StructType([
 # A scoring request: every field but the item optional
 REQUEST_SCHEMA = T.StructType([
     T.StructField("RequestID", T.LongType(), True),
-    T.StructField("UserID", T.IntegerType(), True),
-    T.StructField("MovieID", T.IntegerType(), False),
+    T.StructField("UserID", T.LongType(), True),
+    T.StructField("MovieID", T.LongType(), False),
     T.StructField("Gender", T.StringType(), True),
     T.StructField("Occupation", T.StringType(), True),
     T.StructField("Age", T.IntegerType(), True),
@@ -69,13 +73,3 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("Runtime", T.IntegerType(), True),
     T.StructField("IMDBRating", T.DoubleType(), True),
 ])
-
-# Two models' predictions on the same (user, item) pairs
-PREDICTIONS = T.StructType([
-    T.StructField("UserID", T.IntegerType(), False),
-    T.StructField("MovieID", T.IntegerType(), False),
-    T.StructField("als_prediction", T.DoubleType(), True),
-    T.StructField("NormUserRating_als", T.DoubleType(), True),
-    T.StructField("lr_prediction", T.DoubleType(), True),
-    T.StructField("NormUserRating_lr", T.DoubleType(), True),
-])

@@ -104,7 +104,7 @@ def test_recommend_for_all_equals_brute_force(spark):
     model = train_als(df, rank=3, iters=10)
     rows = [(r.UserID, r.MovieID) for r in df.select("UserID", "MovieID").collect()]
     for lo, hi in [(4.0, 5.0), (2.0, 3.5)]:
-        got = recommend_for_all(model, df, n=5, lo=lo, hi=hi, start_k=2)   # small k forces extra rounds
+        got = recommend_for_all(model, df, n=5, lo=lo, hi=hi, user_block=7, item_block=9)   # many blocks
         g = {}
         for r in got.orderBy("UserID", "rank").collect():
             g.setdefault(r.UserID, []).append(r.MovieID)
@@ -183,7 +183,9 @@ def test_score_requests_decisions(spark):
     assert abs(out[1].PredictedScore - (0.7 * out[1].als_prediction + 0.3 * out[1].lr_prediction)) < 1e-12
     assert abs(out[1].PredictedRating - (out[1].PredictedScore * 4 + 1)) < 1e-12
     assert out[2].model_used == "LR" and out[2].als_prediction is None      # unknown user
-    assert out[3].model_used == "LR" and out[3].als_prediction is None      # unknown item
+    assert out[3].model_used == "Fallback" and out[3].PredictedScore is None   # unknown item, no metadata
+    told = req.filter("RequestID = 3").withColumn("Genres", F.lit("Drama"))
+    assert score_requests(told, als, lr, fm, users, dims).first().model_used == "LR"   # the request brings it
     gated = {r.RequestID: r for r in score_requests(req, als, lr, fm, users, dims, gate="seen_pair",
                                                      ratings=df).collect()}
     seen = {(r.UserID, r.MovieID) for r in df.collect()}
