@@ -15,19 +15,20 @@ from __future__ import annotations
 
 import os
 
+from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsight.functions.lookups import SERVING_WEIGHTS, SWEEP_WEIGHTS
 from reelsight.functions.scalars import blend, denormalize_rating, mean_label, normalize_rating
 from reelsight.operators.aggregates import rmse
-from reelsight.operators.features import CATEGORICAL, category_index_table, prepare_features, \
-    term_weights
-from reelsight.operators.hybrid import choose_model, score_requests, sweep_weights
+from reelsight.operators.features import CATEGORICAL, VECTOR_NAMES, category_index_table, prepare_features, \
+    term_weights, text_stages
+from reelsight.operators.hybrid import choose_model, predict_by_choice, score_requests, sweep_weights
 from reelsight.operators.joins import combine_predictions
 from reelsight.operators.models import predict_als, predict_linear, train_als, train_linear, tune_als
 from reelsight.operators.ordering import latest_rating_per_pair
-from reelsight.operators.recommend import recommend_for_all, user_projection
+from reelsight.operators.recommend import candidate_items, recommend_for_all, recommend_for_user, user_projection
 from reelsight.operators.sampling import with_split
 from reelsight.plans.eda_queries import clean
 from reelsight.plans.genre_queries import STANDIN_GENRES
@@ -183,7 +184,26 @@ def q_request_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("RequestID", "UserID", "MovieID", "model_choice")
 
 
-# ------------------------------------------------------------------ features (F-01 and F-07 SQL-checked)
+@register("routed_predictions", with_ctes("""
+SELECT q.RequestID, q.UserID, q.MovieID, model_choice,
+       round(CASE model_choice WHEN 'ALS' THEN um.als_prediction WHEN 'LR' THEN im.lr_prediction END, 9) AS prediction
+FROM (SELECT *, CASE WHEN UserID IN (SELECT UserID FROM um) AND MovieID IN (SELECT MovieID FROM im) THEN 'ALS'
+                     WHEN MovieID IN (SELECT p_partkey FROM part) THEN 'LR' ELSE 'Fallback' END AS model_choice
+      FROM requests) q
+LEFT JOIN um ON um.UserID = q.UserID LEFT JOIN im ON im.MovieID = q.MovieID""", "split", "requests",
+    extra=MEAN_PRED_CTES))
+def q_routed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-02 + R-03: each request routed, then the chosen model's score (user and title means as the models)."""
+    train = labelled(spark, sf_dir).filter("is_train")
+    um = train.groupBy("UserID").agg(F.avg("NormUserRating").alias("als_prediction"))
+    im = train.groupBy("MovieID").agg(F.avg("NormUserRating").alias("lr_prediction"))
+    routed = choose_model(requests(spark, sf_dir).select("RequestID", "UserID", "MovieID"), um, im,
+                          raw_titles(spark, sf_dir))
+    scored = predict_by_choice(routed.join(um, "UserID", "left").join(im, "MovieID", "left"))
+    return scored.select("RequestID", "UserID", "MovieID", "model_choice", F.round("prediction", 9).alias("prediction"))
+
+
+# ------------------------------------------------------------------ features (F-01 to F-05 and F-07 SQL-checked)
 
 def _index_sql() -> str:
     parts = []
@@ -227,6 +247,51 @@ def q_term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tw.withColumn("weight", F.round("weight", 9))
 
 
+def _token_sql() -> str:
+    sw = ", ".join("'" + w.replace("'", "''") + "'" for w in _stop_words())
+    return f"""
+WITH texts AS (SELECT p_partkey AS MovieID, lower(CASE WHEN p_partkey % 31 = 0 THEN '' ELSE coalesce(d.text, '') END) AS t
+               FROM part LEFT JOIN documents d ON d.doc_id = p_partkey % (SELECT count(*) FROM documents)),
+tok AS (SELECT MovieID, CASE WHEN t <> '' AND regexp_full_match(t, '[ \t\n\x0B\f\r]+') THEN []
+                        ELSE regexp_split_to_array(regexp_replace(t, '[ \t\n\x0B\f\r]+$', ''), '[ \t\n\x0B\f\r]')
+                        END AS tokens FROM texts),
+kept AS (SELECT MovieID, tokens, list_filter(tokens, lambda x: x NOT IN ({sw})) AS filtered FROM tok)
+SELECT MovieID, CAST(len(tokens) AS INT) AS n_tokens, CAST(len(filtered) AS INT) AS n_filtered,
+       CAST(len(filtered) AS DOUBLE) AS n_hashed FROM kept"""
+
+
+@register("plot_tokens", _token_sql())
+def q_plot_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-03 to F-05 per title: tokens, tokens without stop words, and the sum of the hashed counts (the same)."""
+    df = items_standin(spark, sf_dir)
+    for stage in text_stages()[:-1]:   # all but the fitted IDF
+        df = stage.transform(df)
+    counts = F.unwrap_udt("plot_tf")["values"]
+    return df.select("MovieID", F.size("plot_tokens").alias("n_tokens"), F.size("plot_filtered").alias("n_filtered"),
+                     F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x).alias("n_hashed"))
+
+
+def _slot_sql() -> str:
+    index = {f"ix_{c}": f"""SELECT {c} AS v, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) - 1
+                              AS INT) AS slot FROM split WHERE is_train AND {c} IS NOT NULL GROUP BY {c}"""
+             for c in CATEGORICAL}
+    cols = ", ".join(f"ix_{c}.slot AS {VECTOR_NAMES[c]}" for c in CATEGORICAL)
+    joins = " ".join(f"LEFT JOIN ix_{c} ON s.{c} = ix_{c}.v" for c in CATEGORICAL)
+    return with_ctes(f"SELECT s.UserID, s.MovieID, s.date_time, {cols} FROM split s {joins}", "split", extra=index)
+
+
+@register("one_hot_slots", _slot_sql())
+def q_one_hot_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-02 per rating row: the active slot of each one-hot vector (NULL: a value the fit has not seen)."""
+    t = trained(spark, sf_dir)
+    encoded = t["df"].select("UserID", "MovieID", "date_time", *CATEGORICAL)
+    for stage in t["feature_model"].row_model.stages:
+        if isinstance(stage, (StringIndexerModel, OneHotEncoderModel)):
+            encoded = stage.transform(encoded)
+    return encoded.select("UserID", "MovieID", "date_time", *[
+        F.get(F.unwrap_udt(VECTOR_NAMES[c])["indices"], F.lit(0)).alias(VECTOR_NAMES[c]) for c in CATEGORICAL])
+
+
 # ------------------------------------------------------------------ fitted models (checked by tests)
 
 _CACHE: dict = {}
@@ -367,6 +432,25 @@ def q_recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend_for_all(t["als"], t["df"], n=10, method=t["method"])
 
 
+#: The user whose lists the one-user queries show.
+SHOWN_USER = 1
+
+
+@register("user_candidates", with_ctes(f"""
+SELECT DISTINCT c.MovieID, CAST({SHOWN_USER} AS BIGINT) AS UserID FROM clean c
+WHERE c.MovieID NOT IN (SELECT MovieID FROM clean WHERE UserID = {SHOWN_USER})""", "clean"))
+def q_user_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-04's candidates: every rated title that the user has not rated."""
+    return candidate_items(clean(spark, sf_dir), SHOWN_USER)
+
+
+@register("recommend_user")
+def q_recommend_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-04 + O-05 + J-09: the user's 10 best candidates in the 4..5 band, with title and genres."""
+    t = trained(spark, sf_dir)
+    return recommend_for_user(t["als"], t["df"], SHOWN_USER, n=10, method=t["method"])[0]
+
+
 @register("user_projection")
 def q_user_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-08: 2-D PCA coordinates of each user's genre-share vector, with the dominant genre."""

@@ -24,6 +24,75 @@ def test_no_all_pairs_joins_or_python_rows(spark, name):
         assert bad not in plan, f"{name}: {bad}"
 
 
+@pytest.mark.parametrize("name", ["content_features", "score_requests", "recommend_all", "recommend_user",
+                                  "hybrid_sweep", "wide_ratings"])
+def test_no_all_pairs_joins_without_broadcast(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert bad not in plan, f"{name}: {bad}"
+
+
+def test_wide_table_never_shuffles_on_text(spark):
+    """Ratings are exchanged on MovieID and UserID; title text and external ids move titles only."""
+    from reelsight.operators.joins import build_wide_ratings
+    from reelsight.plans.standin import raw_details, raw_metadata, raw_titles, raw_users
+    ratings = spark.range(10).selectExpr("id AS UserID", "id AS MovieID", "1 AS Rating", "id AS Timestamp")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = build_wide_ratings(ratings, raw_titles(spark, SF), raw_users(spark, SF), raw_metadata(spark, SF),
+                                  raw_details(spark, SF))
+        lines = wide._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = [len(re.match(r"[\s:|+-]*", x)[0]) for x in lines]
+    at = next(i for i, x in enumerate(lines) if "Range (" in x)
+    above, limit = [], depth[at]
+    for i in range(at, -1, -1):           # the operators from the ratings scan up to the root
+        if depth[i] < limit or i == at:
+            above.append(lines[i])
+            limit = depth[i]
+    keys = [re.search(r"hashpartitioning\((\w+)#", x)[1] for x in above if "hashpartitioning" in x]
+    assert sorted(keys) == ["MovieID", "UserID"]
+
+
+def test_ids_beyond_an_int(spark):
+    from reelsight.operators.joins import join_titles
+    from reelsight.plans.standin import raw_ratings, requests
+    from reelsight.schemas import RATINGS_TEXT, TITLES_TEXT
+    big = 2 ** 31 + 5
+    r = spark.createDataFrame([(big, big, 3, 0)], RATINGS_TEXT)
+    t = spark.createDataFrame([(big, "a", "b")], TITLES_TEXT)
+    assert join_titles(r, t).first().MovieID == big
+    for df in (raw_ratings(spark, SF), requests(spark, SF)):
+        assert dict(df.dtypes)["UserID"] == dict(df.dtypes)["MovieID"] == "bigint"
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    import __spark_entry__ as e
+    q = e.queries()["calendar_parts"]
+    want = sorted(map(tuple, q(spark, SF).collect()))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert sorted(map(tuple, q(spark, SF).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_content_model_learns_the_planted_signal(spark):
+    from reelsight.plans.model_queries import q_linear_holdout, q_score_requests, trained
+    t = trained(spark, SF)
+    assert (t["lr"].coefficients.toArray() != 0).sum() > 0
+    mean = t["train"].agg({"UserRating": "avg"}).first()[0]
+    spread = t["test"].selectExpr(f"sqrt(avg(pow(UserRating - {mean}, 2)))").first()[0]
+    assert q_linear_holdout(spark, SF).first().rmse < 0.95 * spread
+    assert q_score_requests(spark, SF).select("lr_prediction").distinct().count() > 10
+
+
 @pytest.mark.parametrize("name", ["watched_items", "top_genres_per_occupation"])
 def test_top_k_is_limited_before_the_shuffle(spark, name):
     plan = _plan(spark, name)
