@@ -40,14 +40,15 @@ def in_small_batches(df: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts the lineage like a reliable checkpoint: a lost executor costs a
     reread, not a recomputation, and row-order dependent values stay fixed.
+    ``options`` go to the writer.
     """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,9 @@ capacities, run independently in randomised groups of documents.
 A document's full-length pieces are sequences by themselves and are numbered
 where they are made; only its remainder, shorter than a sequence, enters a
 group.  Groups are drawn at random per piece, so a hot source or a group of
-copies spreads over all of them, and each is packed by one task call.
+copies spreads over all of them, and each is packed by one task call, which
+joins the ids of its pieces to sequences.  All sequences stand in the shared
+folder; lengths, offsets and checksums of pieces are taken from there.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ MAX_TOKENS = 4096
 END_ID = 2
 MEMO_WORDS = 300_000            # encoded words a task holds, and as many older ones
 GROUP_PIECES = 32_768           # remainders packed together
+GROUP_BYTES = 48 << 20          # ids packed together
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 #: White space at which a text can be cut without changing its ids: the
@@ -86,12 +90,12 @@ class WordTokenizer:
         return out
 
 
-_PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, "
-          "sequence_id long, draw long")
-_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+_PIECE = "doc_id long, start long, doc_tokens long, ids binary, sequence_id long, draw long"
+_PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()),
+                          ("ids", pa.binary()), ("sequence_id", pa.int64()), ("draw", pa.int64())])
 
 
-def _pieces(path: str, max_tokens: int, end_id: int, seed: int, keep_ids: bool, memo_words: int):
+def _pieces(path: str, max_tokens: int, end_id: int, seed: int, memo_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = per_process(("words", path, memo_words), lambda: WordTokenizer(path, memo_words))
         part, made = TaskContext.get().partitionId(), 0
@@ -104,15 +108,13 @@ def _pieces(path: str, max_tokens: int, end_id: int, seed: int, keep_ids: bool,
                 ids = np.concatenate([tokenizer.ids(texts[i].as_py() or ""), end])
                 for start in range(0, len(ids), max_tokens):
                     piece = ids[start:start + max_tokens]
-                    raw = piece.tobytes()
                     full = len(piece) == max_tokens
                     made += full
-                    rows.append((doc_id, start, len(piece), zlib.crc32(raw), len(ids), raw if keep_ids else None,
+                    rows.append((doc_id, start, len(ids), piece.tobytes(),
                                  (1 << 62) + (part << 38) + made if full else None, draw.getrandbits(62)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.binary()] + [pa.int64()] * 2)]
-                if rows else [pa.array([], t) for t in [pa.int64()] * 5 + [pa.binary()] + [pa.int64()] * 2],
-                names=_COLUMNS + ["sequence_id", "draw"])
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_PIECE_ARROW), _PIECE_ARROW.types)],
+                schema=_PIECE_ARROW)
     return run
 
 
@@ -151,38 +153,109 @@ def first_fit_decreasing(lengths: np.ndarray, max_tokens: int) -> tuple[np.ndarr
     return bins, offsets
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text",
+_SEQUENCE = "sequence_id long, ids binary, doc_ids array<long>, starts array<long>, offsets array<long>, doc_tokens array<long>"
+_SEQUENCE_ARROW = pa.schema([("sequence_id", pa.int64()), ("ids", pa.binary())] + [
+    (c, pa.list_(pa.int64())) for c in ("doc_ids", "starts", "offsets", "doc_tokens")])
+
+
+def _assemble(max_tokens: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The sequences of one group: the ids of its pieces, joined."""
+        per_process(("sequences",), dict)       # gives back the memory of the memo of words
+        # The order of arrival may differ between attempts of a task; the packing must not.
+        order = pc.sort_indices(table.select(["draw", "doc_id", "start"]), sort_keys=[
+            ("draw", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).to_numpy()
+        pieces = table.column("ids").combine_chunks()
+        lengths = pc.binary_length(pieces).to_numpy(zero_copy_only=False)[order] // 4
+        bins, offsets = first_fit_decreasing(lengths, max_tokens)
+        place = np.lexsort((offsets, bins))
+        pieces = pieces.take(pa.array(order[place]))
+        # Pieces now lie side by side, so a sequence is the bytes between two of their borders.
+        first = np.flatnonzero(np.diff(bins[place], prepend=-1))
+        borders = np.concatenate([first, [len(place)]]).astype(np.int32)
+        _, ends, data = pieces.buffers()
+        ids = pa.Array.from_buffers(pa.binary(), len(first), [
+            None, pa.py_buffer(np.frombuffer(ends, np.int32)[pieces.offset + borders].tobytes()), data])
+
+        def listed(column: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(borders), column)
+
+        doc_ids, starts, doc_tokens = (table.column(c).combine_chunks().take(pa.array(order[place]))
+                                       for c in ("doc_id", "start", "doc_tokens"))
+        group = table.column("group")[0].as_py()
+        return pa.Table.from_arrays(
+            [pa.array(bins[place][first] + (group << 24)), ids, listed(doc_ids), listed(starts),
+             listed(pa.array(offsets[place])), listed(doc_tokens)], schema=_SEQUENCE_ARROW)
+    return run
+
+
+def pack_sequences(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text",
                    max_tokens: int = MAX_TOKENS, end_id: int = END_ID, group_pieces: int = GROUP_PIECES,
-                   seed: int = 7, keep_ids: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
-    """Pack all documents into sequences of at most ``max_tokens`` ids.
-
-    One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids
-    (little-endian unsigned 32-bit; null without ``keep_ids``), sequence_id,
-    offset (gapless from 0 within the sequence).  A document is its ids and
-    ``end_id``; a null or empty text is ``end_id`` alone; a longer document is
-    cut every ``max_tokens`` ids.  ``memo_words`` bounds a worker's memory of
-    encoded words and changes no result.  Repeated rows are packed once each; null ids
-    stay null.  Other columns are ignored; an empty table gives an empty result.
+                   seed: int = 7, memo_words: int = MEMO_WORDS) -> DataFrame:
+    """Pack all documents into sequences of at most ``max_tokens`` ids, stored in the shared folder.
+
+    One row per sequence: sequence_id, ids (little-endian unsigned 32-bit) and,
+    for each piece in order, doc_ids, starts (in the document), offsets (in the
+    sequence) and doc_tokens.  A piece ends where the next one, or else the
+    sequence, does.  A document is its ids and ``end_id``; a null or empty text is
+    ``end_id`` alone; a longer document is cut every ``max_tokens`` ids.  At most
+    about ``group_pieces`` remainders, and ``GROUP_BYTES`` of ids, are packed
+    together.  ``memo_words`` bounds a worker's memory of encoded words and
+    changes no result.  Repeated rows are packed once each; null ids stay null.
+    Other columns are ignored; an empty table gives an empty result.
     """
     texts = in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                          F.col(text_col).cast("string").alias("text")))
-    made = materialise(texts.mapInArrow(_pieces(tokenizer, max_tokens, end_id, seed, keep_ids, memo_words), _PIECE), "token-pieces")
-    full = made.where("sequence_id is not null").select(*_COLUMNS, "sequence_id", F.lit(0).cast("long").alias("offset"))
+    made = materialise(texts.mapInArrow(_pieces(tokenizer, max_tokens, end_id, seed, memo_words), _PIECE),
+                       "token-pieces", compression="zstd")
+    # A full piece is a sequence, and stands in the shared folder already.
+    full = made.where("sequence_id is not null").select("sequence_id", "ids", *(
+        F.array(c).alias(name) for c, name in (("doc_id", "doc_ids"), ("start", "starts"),
+                                               (F.lit(0).cast("long"), "offsets"), ("doc_tokens", "doc_tokens"))))
     rest = made.where("sequence_id is null")
-    groups = parts(rest.count(), group_pieces)
+    pieces, tokens = rest.agg(F.count("*"), F.sum(F.col("doc_tokens") - F.col("start"))).first()
+    groups = max(parts(pieces, group_pieces), parts(4 * (tokens or 0), GROUP_BYTES))
+    packed = rest.drop("sequence_id").withColumn("group", F.expr(f"pmod(draw, {groups})")).groupBy("group").applyInArrow(
+        _assemble(max_tokens), _SEQUENCE)
+    return full.unionAll(materialise(packed, "sequences", compression="zstd"))
 
-    def pack(table: pa.Table) -> pa.Table:
-        # The order of arrival may differ between attempts of a task; the packing must not.
-        table = table.sort_by([("draw", "ascending"), ("doc_id", "ascending"), ("ids_crc32", "ascending")])
-        bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), max_tokens)
-        group = table.column("group")[0].as_py()
-        return table.select(_COLUMNS).append_column("sequence_id", pa.array(bins + (group << 24))) \
-            .append_column("offset", pa.array(offsets))
 
-    packed = rest.drop("sequence_id").withColumn("group", F.expr(f"pmod(draw, {groups})")).groupBy("group").applyInArrow(
-        pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, "
-              "sequence_id long, offset long")
-    return full.unionAll(packed)
+def _read_back(keep_ids: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, (sequence, doc_ids, starts, offsets, doc_tokens) in enumerate(
+                    zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)))):
+                ids = batch.column(1)[i].as_py()
+                for doc_id, start, at, end, whole in zip(
+                        doc_ids, starts, offsets, [*offsets[1:], len(ids) // 4], doc_tokens):
+                    piece = ids[4 * at:4 * end]
+                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), whole, piece if keep_ids else None,
+                                 sequence, at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_PACKED_ARROW), _PACKED_ARROW.types)],
+                schema=_PACKED_ARROW)
+    return run
+
+
+_PACKED = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, "
+           "sequence_id long, offset long")
+_PACKED_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [
+    ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
+def pieces_of(sequences: DataFrame, keep_ids: bool = True) -> DataFrame:
+    """One row per piece of ``sequences``, cut out of the sequence's ids.
+
+    doc_id, start, length, ids_crc32, doc_tokens, ids (null without
+    ``keep_ids``), sequence_id, offset (gapless from 0 within the sequence).
+    """
+    return in_small_batches(sequences).mapInArrow(_read_back(keep_ids), _PACKED)
+
+
+def pack_documents(docs: DataFrame, *args, keep_ids: bool = True, **options) -> DataFrame:
+    """The pieces (``pieces_of``) of the documents, packed and stored by ``pack_sequences``."""
+    return pieces_of(pack_sequences(docs, *args, **options), keep_ids)
 
 
 def assemble_sequences(pieces: DataFrame) -> DataFrame:

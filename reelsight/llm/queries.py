@@ -28,7 +28,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"),
-                                  keep_ids=False, memo_words=600_000).drop("ids")
+                                  memo_words=600_000).drop("ids")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

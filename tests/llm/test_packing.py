@@ -1,11 +1,15 @@
+import glob
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelsight.llm import packing
-from reelsight.llm.queries import tokenizer_file
+from reelsight.llm.queries import QUERIES, tokenizer_file
+from reelsight.session import checkpoint_dir
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +85,43 @@ def test_first_fit_decreasing_equals_plain_search():
         want[i] = (k, 100 - room[k])
         room[k] -= lengths[i]
     assert [(int(b), int(o)) for b, o in zip(bins, offsets)] == [want[i] for i in range(len(lengths))]
+
+
+def test_digests_come_from_the_stored_sequences(spark, odd_docs):
+    sequences = packing.pack_sequences(odd_docs, tokenizer_file("word_bpe_49k.json"))
+    good = {(r.sequence_id, r.offset): r for r in packing.pieces_of(sequences).collect()}
+    for r in sequences.collect():
+        at = 0
+        for offset in r.offsets:
+            piece = good[r.sequence_id, offset]
+            assert offset == at and piece.ids == r.ids[4 * at:4 * (at + piece.length)]
+            at += piece.length
+        assert 4 * at == len(r.ids) <= 4 * 4096
+    # Another last id in every sequence shows in the checksum of its last piece, and of no other.
+    spoilt = sequences.withColumn("ids", F.expr("substring(ids, 1, length(ids) - 4) || X'07000000'"))
+    wrong = [r for r in packing.pieces_of(spoilt, keep_ids=False).collect()
+             if r.ids_crc32 != good[r.sequence_id, r.offset].ids_crc32]
+    assert len(wrong) == len({r.sequence_id for r in wrong}) == sequences.count()
+    short = packing.pieces_of(sequences.withColumn("ids", F.expr("substring(ids, 1, length(ids) - 4)"))).collect()
+    assert sum(r.length for r in short) == sum(r.length for r in good.values()) - sequences.count()
+
+
+def test_stage_and_query_pack_whole_sequences(spark, odd_docs, tokenizer):
+    rows = corpus_pipeline.STAGES[-1][1](spark, odd_docs, "/root/testdata/sf0.001").collect()
+    check(rows, [(r.doc_id, r.text) for r in odd_docs.collect()], tokenizer)
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    before = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/sequences-*"))
+    digests = QUERIES["op2_packing"](spark, "/root/testdata/sf0.001").collect()
+    stored, = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/sequences-*")) - before
+    stored = {r.sequence_id: r.ids for r in spark.read.parquet(stored).collect()}
+    packed = [r for r in digests if r.sequence_id < 1 << 62]
+    assert {r.sequence_id for r in packed} == set(stored)
+    for r in packed:
+        assert zlib.crc32(stored[r.sequence_id][4 * r.offset:4 * (r.offset + r.length)]) == r.ids_crc32
+
+
+def test_groups_are_bounded_by_bytes(spark, some_docs, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 100_000)
+    rows = packing.pack_documents(some_docs, tokenizer_file("word_bpe_49k.json")).collect()
+    check(rows, [(r.doc_id, r.text) for r in some_docs.collect()], tokenizer)
+    assert len({r.sequence_id >> 24 for r in rows if r.sequence_id < 1 << 62}) > 1
