@@ -31,6 +31,12 @@ GRAMS_PER_LANGUAGE = 5_000      # of each order
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
+COMMON_SHARE = 5e-6             # a 3-gram is evidence of a language if it has this share of its 3-grams,
+COMMON_COUNT = 4                # and was seen so often
+LIMIT_ROWS = 5_000              # held-out documents that set the limit of evidence, at most about this many
+LIMIT_LEAST = 20                # with fewer no limit is set
+MARGIN = 0.25                   # the limit lies at least so far below the median
+BENEFIT = 1                     # tokens of median evidence that every text gets, as short ones vary
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -170,11 +176,16 @@ class _Scorer(dict):
         self[token] = at
         return at
 
-    def score(self, text: str | None) -> tuple[str, float, float]:
+    def places(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
         if len(self) > MEMO_TOKENS:
             self.clear()
-        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+    def score(self, text: str | None) -> tuple[str, float, float]:
+        return self.judge(self.places(text))
+
+    def judge(self, at: np.ndarray) -> tuple[str, float, float]:
         sums = self.rows[at].sum(axis=0) if len(at) else np.zeros(self.width + 2)
         if not sums[-1] or not self.width:
             return UNKNOWN, 0.0, 0.0
@@ -183,6 +194,39 @@ class _Scorer(dict):
         return self.model.langs[best], float(1 / odds.sum()), float(sums[-2] / sums[-1])
 
 
+class _Evidence(_Scorer):
+    """Token to the largest share of its 3-grams that one language has as common ones, and 1 if it has a letter.
+
+    A 3-gram is common where it makes up ``COMMON_SHARE`` of all, and was seen
+    ``COMMON_COUNT`` times, so a text cannot vouch for itself by being learned.
+    """
+
+    def __init__(self, model: LanguageModel):
+        super().__init__(model)
+        self.index3 = model.index.get(3, {})
+        rows = model.rows.get(3, np.zeros((0, self.width)))
+        # The least entry of a language is that of a 3-gram it lacks.
+        least = rows.min(axis=0, initial=0.0) + math.log((COMMON_COUNT + SMOOTHING) / SMOOTHING)
+        self.common = (rows >= math.log(COMMON_SHARE)) & (rows >= least - 1e-9)
+        self.rows = np.zeros((1024, 2))
+
+    def __missing__(self, token: str) -> int:
+        at = len(self)
+        if at >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        grams = [g for word in words_of(token) for g in grams_of(word, 3)]
+        self.rows[at] = (self.common[[self.index3[g] for g in grams if g in self.index3]].sum(axis=0).max() / len(grams), 1) \
+            if grams else (0, 0)
+        self[token] = at
+        return at
+
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """Sum over the tokens with a letter, and how many there are."""
+        at = self.places(text)
+        share, tokens = self.rows[at].sum(axis=0)
+        return float(share), float(tokens)
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score, known)`` per row.
 
@@ -219,25 +263,60 @@ def identify(docs: DataFrame) -> DataFrame:
         F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "known")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known; all columns stay.
+def evidence_limit(docs: DataFrame, model: LanguageModel, scorer) -> tuple[float, float]:
+    """``(limit, median)`` of the evidence of held-out rows in a learned language; 0, 0 if they are too few.
+
+    Set by the quartile and the median, so that texts with a wrong label, up to
+    a quarter of the rows, don't move it far.
+    """
+    rows = in_small_batches(docs).where(held_out() & F.col("lang").cast("string").isin(model.langs) & F.col("text").isNotNull())
+    n = rows.count()
+    share = min(1.0, LIMIT_ROWS / n) if n else 0.0
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [scorer().evidence(x.as_py()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"evidence": pa.array([e / n for e, n in got if n], pa.float64())})
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < round(share * 1_000_000))
+    n, at = some.select(F.col("text").cast("string")).mapInArrow(run, "evidence double").agg(
+        F.count("*"), F.expr("percentile(evidence, array(0.25, 0.5))")).first()
+    if n < LIMIT_LEAST:
+        return 0.0, 0.0
+    return at[1] - max(MARGIN, 4 * (at[1] - at[0])), at[1]
 
-    Rejected: texts that are null or have no letter, and texts of which no word
-    and no n-gram occurs in any learned language.  Where no language could be
-    learned, only texts without a letter go.  Decided in the scan, without a shuffle.
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in a learned language; all columns stay.
+
+    Decided by the share of a token's 3-grams that are common in a learned
+    language, as a mean over the text's tokens; its limit comes from the held-out
+    rows (``evidence_limit``).  Rejected: texts below it, such as random letters,
+    encoded bytes and prose in a language that was never learned, and texts that
+    are null or have no letter.  With fewer than ``LIMIT_LEAST`` held-out rows
+    only texts without any known n-gram go, and where no language could be
+    learned only those without a letter.  The rows go through a scan, without a shuffle.
     """
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     shared, name = docs.sparkSession.sparkContext.broadcast(model.packed()), uuid.uuid4().hex
     place = docs.columns.index("text")
 
+    def scorer(kind: type = _Evidence) -> _Scorer:
+        return per_process((kind.__name__, name), lambda: kind(LanguageModel.unpacked(shared.value)))
+
+    known = bool(model.langs)
+    limit, median = evidence_limit(docs, model, scorer) if known else (0.0, 0.0)
+
+    def kept(text: str | None) -> bool:
+        if limit <= 0:
+            return scorer(_Scorer).score(text)[2] > 0
+        evidence, tokens = scorer().evidence(text)
+        return tokens > 0 and evidence + median * BENEFIT >= limit * (tokens + BENEFIT)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_process(("language", name), lambda: _Scorer(LanguageModel.unpacked(shared.value)))
         for batch in batches:
             texts = (x.as_py() for x in batch.column(place))
-            if scorer.width:
-                keep = [scorer.score(t)[2] > 0 for t in texts]
-            else:
-                keep = [bool(_LETTERS.search(t or "")) for t in texts]
+            keep = [kept(t) if known else bool(_LETTERS.search(t or "")) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,4 +1,9 @@
+import base64
+import random
+import string
+
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -31,3 +36,29 @@ def test_odd_rows_pass_through(spark, odd_docs):
 def test_five_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "packing"]
+
+
+#: Prose in languages that the documents do not have.
+FOREIGN = [
+    "Ali okula gitmek için sabah erkenden kalktı ve kahvaltısını yaptıktan sonra otobüse binerek şehre doğru yola çıktı.",
+    "Suomen kesä on lyhyt mutta kaunis ja ihmiset viettävät paljon aikaa mökillä järven rannalla.",
+    "Wczoraj wieczorem poszliśmy do kina na nowy film, który bardzo nam się podobał.",
+    "Watoto wanapenda kucheza mpira shuleni baada ya masomo yao ya asubuhi.",
+    "Tegnap este moziba mentünk a barátainkkal, utána pedig vacsoráztunk egy hangulatos étteremben."]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_language_stage_drops_gibberish_and_unlearned_languages(spark, sf):
+    sf_dir = f"/root/testdata/{sf}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    draw = random.Random(5)
+    letters = [" ".join("".join(draw.choices(string.ascii_lowercase, k=draw.randint(2, 10))) for _ in range(n))
+               for n in [6, 20, 100, 500] * 5]
+    encoded = [base64.b64encode(draw.randbytes(n)).decode() for n in (30, 300, 3000)]
+    odd = letters + encoded + FOREIGN
+    # Some carry the label of a learned language, so that they take part in learning.
+    planted = spark.createDataFrame([(10_000_000 + i, t, "en" if i % 2 else None, "src0", len(t)) for i, t in enumerate(odd)],
+                                    "doc_id long, text string, lang string, source string, n_chars int")
+    planted = planted.select(*(F.col(f.name).cast(f.dataType) for f in docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs.unionByName(planted), sf_dir).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
