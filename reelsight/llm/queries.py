@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelsight.llm import (chat_format, decontamination, fingerprints, language_id, line_dedup, ngram_join, packing,
-                           sharding, token_counts, warc)
+from reelsight.llm import (centroid_clustering, chat_format, decontamination, fingerprints, language_id, line_dedup,
+                           ngram_join, packing, sharding, token_counts, warc)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -64,9 +64,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_warc, op2_packing, op3_line_dedup, op4_chat_format, op5_language_id, op6_sharding, op7_fingerprints,
-    op8_decontamination, op9_token_counts, op10_ngram_join)}
+    op8_decontamination, op9_token_counts, op10_ngram_join, op11_centroid_clustering)}
 
 # ------------------------------------------------------------------ oracle SQL
 
@@ -136,6 +140,49 @@ select n.doc_id, n.n::bigint as n_shingles, min(r.other) as component_id
 from n join reach r on r.doc_id = n.doc_id group by n.doc_id, n.n
 """
 
+_ROUNDS, _CLUSTERS = centroid_clustering.ROUNDS, centroid_clustering.CLUSTERS
+_FLOOR_MEAN = "((sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*)) // count(*))::bigint"
+
+
+def _nearest_sql(round_: int) -> str:
+    return f"""a{round_} as materialized (
+    select r, cluster, d from (
+        select x.r, c.cluster, sum((x.v - c.v) * (x.v - c.v))::bigint as d,
+            row_number() over (partition by x.r order by sum((x.v - c.v) * (x.v - c.v)), c.cluster) as place
+        from x join c{round_} c using (j) group by x.r, c.cluster) where place = 1
+)"""
+
+
+def _means_sql(round_: int) -> str:
+    return f"""c{round_ + 1} as materialized (
+    select c.cluster, c.j, coalesce(m.v, c.v) as v from c{round_} c left join (
+        select a.cluster, x.j, {_FLOOR_MEAN} as v from a{round_} a join x using (r) group by a.cluster, x.j) m
+    on m.cluster = c.cluster and m.j = c.j
+)"""
+
+
+_OP11 = f"""
+with kept as materialized (
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda y: floor(1024 * y::double)::bigint) as v
+    from embeddings where len(embedding) = {centroid_clustering.DIMENSIONS}
+        and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0
+), x as materialized (
+    select r, unnest(v) as v, generate_subscripts(v, 1) as j from kept
+), c0 as materialized (
+    select cluster, unnest(v) as v, generate_subscripts(v, 1) as j from (
+        select (row_number() over (order by sha256('3:' || vec_id), v) - 1)::int as cluster, v from kept
+        where vec_id is not null) where cluster < {_CLUSTERS}
+), {", ".join(f"{_nearest_sql(i)}, {_means_sql(i)}" for i in range(_ROUNDS))}, {_nearest_sql(_ROUNDS)}, inertia as (
+    select cluster, sum(d)::bigint as own from a{_ROUNDS} group by cluster
+), said as (
+    select cluster, sha256(string_agg(v::varchar, ',' order by j)) as hex from c{_ROUNDS} group by cluster
+)
+select k.vec_id, a.cluster, a.d as distance, i.own as cluster_inertia,
+    (select sum(own)::bigint from inertia) as inertia, s.hex as centroid_sha256
+from a{_ROUNDS} a join kept k using (r) join inertia i using (cluster) join said s using (cluster)
+"""
+
 #: The other operators rest on tokenizers, hashes, models or random draws that
 #: SQL cannot express; the tests compare them with brute force.
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_chat_format": _OP4, "op10_ngram_join": _OP10}
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_chat_format": _OP4, "op10_ngram_join": _OP10,
+                           "op11_centroid_clustering": _OP11}

@@ -11,7 +11,7 @@ from reelsight.llm.queries import ORACLES, QUERIES
 def test_query_equals_sql(spark, name, sf):
     sf_dir = f"/root/testdata/{sf}"
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, sf_dir)
