@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reelsight.llm import (centroid_clustering, chat_format, decontamination, fingerprints, language_id, line_dedup,
-                           ngram_join, packing, sharding, token_counts, warc)
+                           ngram_join, packing, sharding, spelling_variants, token_counts, warc)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -68,9 +68,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.cluster_report(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_warc, op2_packing, op3_line_dedup, op4_chat_format, op5_language_id, op6_sharding, op7_fingerprints,
-    op8_decontamination, op9_token_counts, op10_ngram_join, op11_centroid_clustering)}
+    op8_decontamination, op9_token_counts, op10_ngram_join, op11_centroid_clustering,
+    op12_spelling_variants)}
 
 # ------------------------------------------------------------------ oracle SQL
 
@@ -182,7 +187,42 @@ select k.vec_id, a.cluster, a.d as distance, i.own as cluster_inertia,
 from a{_ROUNDS} a join kept k using (r) join inertia i using (cluster) join said s using (cluster)
 """
 
+_OP12 = """
+with recursive t as (
+    select list_transform(range(256), lambda i: list_reduce(range(8),
+        lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as crc
+), r as (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z\\x{00C0}-\\x{00FF}]+')) as run from documents
+), d as (
+    select doc_id, run, count(*) as k, list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda x: ord(x)) as codes
+    from r where length(run) >= 7 group by doc_id, run
+), h as (
+    select run, k, xor(list_reduce(flatten(list_transform(codes, lambda o: case when o < 128 then [o] else [195, o - 64] end)),
+        lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as h from d, t
+), v as materialized (
+    select word, sum(k)::bigint as n from (
+        select case when h % 31 <> 0 then run else left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) end as word, k
+        from h) where length(word) >= 7 group by word having sum(k) >= 2
+), cut as materialized (
+    select word, n, i, left(word, i - 1) as a, substr(word, i + 1) as b from (
+        select word, n, unnest(range(1, length(word) + 1))::int as i from v)
+), near as materialized (
+    select x.word, y.word as other, y.n as m from cut x join cut y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+    union select x.word, y.word, y.n from cut x join v y on y.word = x.a || x.b
+    union select y.word, x.word, x.n from cut x join v y on y.word = x.a || x.b
+), f as materialized (
+    select v.word, v.n, coalesce(c.n_near, 0)::bigint as n_near, case when c.m >= 10 * v.n then c.other end as form,
+        case when c.m >= 10 * v.n then c.m end as form_n
+    from v left join (select word, count(*) as n_near, max(m) as m, arg_min(other, (-m, other)) as other from near group by word) c using (word)
+), up(word, root, form) as (
+    select word, word, form from f
+    union all select up.word, f.word, f.form from up join f on f.word = up.form
+)
+select f.word, f.form, up.root, f.n, f.n_near, f.form_n from f join up using (word) where up.form is null
+"""
+
 #: The other operators rest on tokenizers, hashes, models or random draws that
 #: SQL cannot express; the tests compare them with brute force.
 ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_chat_format": _OP4, "op10_ngram_join": _OP10,
-                           "op11_centroid_clustering": _OP11}
+                           "op11_centroid_clustering": _OP11, "op12_spelling_variants": _OP12}
