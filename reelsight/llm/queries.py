@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelsight.llm import (centroid_clustering, chat_format, decontamination, fingerprints, language_id, line_dedup,
-                           ngram_join, packing, sharding, spelling_variants, token_counts, warc)
+from reelsight.llm import (centroid_clustering, chat_format, decontamination, fingerprints, html_extraction, language_id,
+                           line_dedup, ngram_join, packing, sharding, spelling_variants, token_counts, warc)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -72,10 +72,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.group_variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_warc, op2_packing, op3_line_dedup, op4_chat_format, op5_language_id, op6_sharding, op7_fingerprints,
     op8_decontamination, op9_token_counts, op10_ngram_join, op11_centroid_clustering,
-    op12_spelling_variants)}
+    op12_spelling_variants, op13_html_extraction)}
 
 # ------------------------------------------------------------------ oracle SQL
 
