@@ -14,6 +14,7 @@ checks them (planted data, brute force, stream = batch).
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,11 @@ from reelsight.operators.features import CATEGORICAL, VECTOR_NAMES, category_ind
     term_weights, text_stages
 from reelsight.operators.hybrid import choose_model, predict_by_choice, score_requests, sweep_weights
 from reelsight.operators.joins import combine_predictions
+from reelsight.operators.id_dictionary import IdDictionary, train_als_by_ids
+from reelsight.operators.model_store import ServingModels, load_models, publish_models
 from reelsight.operators.models import predict_als, predict_linear, train_als, train_linear, tune_als
 from reelsight.operators.ordering import latest_rating_per_pair
+from reelsight.operators.pruned_recommend import recommend_for_all_pruned
 from reelsight.operators.recommend import candidate_items, recommend_for_all, recommend_for_user, user_projection
 from reelsight.operators.sampling import with_split
 from reelsight.plans.eda_queries import clean
@@ -432,6 +436,64 @@ def q_recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend_for_all(t["als"], t["df"], n=10, method=t["method"])
 
 
+@register("recommend_all_pruned")
+def q_recommend_all_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-05, fast mode: the same lists from norm-ordered blocks, without those that cannot reach them."""
+    t = trained(spark, sf_dir)
+    return recommend_for_all_pruned(t["als"], t["df"], n=10, method=t["method"]).recommendations
+
+
+#: Stands for ids beyond INT: users above 2^33, titles above 2^31.
+WIDE_USER, WIDE_ITEM = 1 << 33, 1 << 31
+
+
+def _wide_ids(df: DataFrame) -> DataFrame:
+    return df.withColumns({"UserID": F.col("UserID").cast("long") * 3 + WIDE_USER,
+                           "MovieID": F.col("MovieID").cast("long") + WIDE_ITEM})
+
+
+@register("id_numbers", with_ctes(f"""
+SELECT id, CAST(CASE WHEN early THEN row_number() OVER (PARTITION BY early ORDER BY id) - 1
+                     ELSE (SELECT count(*) FROM ids WHERE early) + row_number() OVER (PARTITION BY early ORDER BY id) - 1
+                     END AS INT) AS number
+FROM ids""", "clean", extra={"ids": f"""
+SELECT UserID * 3 + {WIDE_USER} AS id, min(date_time) < TIMESTAMP '1993-01-01' AS early FROM clean GROUP BY UserID"""}))
+def q_id_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-01's dictionary, built from the users of the first time slice and extended by all others."""
+    df = _wide_ids(clean(spark, sf_dir).select("UserID", "MovieID", "date_time"))
+    numbers = IdDictionary(spark, f"{checkpoint_dir(spark).rstrip('/')}/user-numbers-{uuid.uuid4().hex}")
+    numbers.extend(df.where(F.col("date_time") < F.lit("1993-01-01").cast("timestamp_ntz")).select("UserID"))
+    numbers.extend(df.select("UserID"))
+    return numbers.table()
+
+
+@register("wide_id_holdout_pairs", _mp_sql(f"""
+SELECT t.UserID * 3 + {WIDE_USER} AS UserID, t.MovieID + {WIDE_ITEM} AS MovieID, t.NormUserRating FROM test_latest t
+WHERE t.UserID IN (SELECT UserID FROM base WHERE is_train)
+  AND t.MovieID IN (SELECT MovieID FROM base WHERE is_train)"""))
+def q_wide_id_holdout_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-01 + L-04 on ids beyond INT: the test pairs that the model trained through the dictionaries predicts."""
+    df = labelled(spark, sf_dir)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/wide-ids-{uuid.uuid4().hex}"
+    model = train_als_by_ids(_wide_ids(df.filter("is_train").select("UserID", "MovieID", "NormUserRating")),
+                             IdDictionary(spark, f"{base}/users"), IdDictionary(spark, f"{base}/items"), rank=5, iters=5)
+    test = latest_rating_per_pair(df.filter(~F.col("is_train")).select(
+        "UserID", "MovieID", "date_time", "UserRating", "NormUserRating"))
+    scored = model.transform(_wide_ids(test.select("UserID", "MovieID", "NormUserRating")))
+    return scored.where(~F.isnan("prediction")).select("UserID", "MovieID", "NormUserRating")
+
+
+@register("saved_model_decisions", DECISIONS)
+def q_saved_model_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-10: the fitted models published as one version, loaded again, and used to score every request (R-06)."""
+    t = trained(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    publish_models(spark, path, ServingModels(t["als"], t["lr"], t["feature_model"]), {"method": t["method"]})
+    m = load_models(spark, path)
+    return decisions(score_requests(requests(spark, sf_dir), m.als, m.linear, m.features, serving_users(spark, sf_dir),
+                                    serving_items(spark, sf_dir), method=t["method"]))
+
+
 #: The user whose lists the one-user queries show.
 SHOWN_USER = 1
 
@@ -460,7 +522,6 @@ def q_user_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("request_stream")
 def q_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-01: the requests landed as files, scored by a file-source stream (foreachBatch R-06)."""
-    import uuid
     from reelsight.schemas import REQUEST_SCHEMA
     from reelsight.streaming.requests import read_scored, request_stream, score_request_stream
     t = trained(spark, sf_dir)
