@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsight.functions.scalars import minmax
-from reelsight.session import checkpoint_dir
 
 
 def _cols(by: str | Sequence[str]) -> list[str]:
@@ -109,22 +108,19 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """G-11: equal-width bins from min to max; the last bin is closed on the right.
 
     Output: bin, lo, hi, count, one row per bin (empty bins included).  A
-    constant column puts every value in bin 0.  The input is read once:
-    values are counted first and the range and bins come from those counts.
+    constant column puts every value in bin 0.  Two passes, of one partial
+    aggregate each: the range, then the counts, so that a task passes on at most
+    ``bins`` rows whether the column holds five values or as many as rows.
     """
-    checkpoint_dir(df.sparkSession)
     c = F.col(col).cast("double")
-    # one pass over the input: (value, count) pairs, written once; range and bins come from them
-    values = (df.select(c.alias("x")).filter(F.col("x").isNotNull())
-              .groupBy("x").agg(F.count(F.lit(1)).alias("w"))).checkpoint()
-    stats = values.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("s"))
-    counted = (values
+    stats = df.select(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias("s"))
+    counted = (df.select(c.alias("x")).filter(F.col("x").isNotNull())
                .withColumn("_s", stats.scalar())
                .withColumn("_w", (F.col("_s.hi") - F.col("_s.lo")) / bins)
                .withColumn("bin", F.when(F.col("_w") == 0, F.lit(0)).otherwise(
                    F.least(F.floor((F.col("x") - F.col("_s.lo")) / F.col("_w")), F.lit(bins - 1))
                ).cast("int"))
-               .groupBy("bin").agg(F.sum("w").alias("count")))
+               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     spark = df.sparkSession
     grid = (spark.range(bins).select(F.col("id").cast("int").alias("bin"))
             .withColumn("_s", stats.scalar())
@@ -137,47 +133,50 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
             .select("bin", "lo", "hi", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
-def density(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, scale: str | None = None) -> DataFrame:
+#: Width of a fine bin of ``density``, as a share of the bandwidth.
+FINE_BIN = 1 / 64
+
+
+def density(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, scale: str | None = None,
+            fine: float | None = None) -> DataFrame:
     """G-12: Gaussian kernel density estimate of one column on an even grid.
 
     Scott's rule: bandwidth = n^(-1/5) * sample stddev; the grid runs from
     min - cut*bw to max + cut*bw in ``grid`` points (the plotting library's
-    defaults).  Work is (distinct values) x grid: values are first counted
-    (the only pass over the input), the statistics come from those counts
-    (two-pass mean and variance), then each distinct value spreads its
-    weight over the grid points with a bounded ``posexplode``; the sum per
-    grid point is an ordinary partial-then-final aggregate.
-    ``scale="minmax"`` estimates the density of the min-max scaled column
-    (X-08): scaling is monotone, so it is applied to the distinct values,
-    not to the rows, and the input is still read once.
+    defaults).  Two passes of one partial aggregate each: count, range, mean and
+    deviation; then number and mean of the values in fine bins of ``fine``
+    bandwidths.  Each fine bin spreads its weight, from its mean, over the grid
+    points with a bounded ``posexplode``.  Without ``fine`` each distinct value is a
+    bin of its own, which is exact, but as many bins as distinct values; with it the
+    number of bins follows the range over the bandwidth.  Where the values of a fine
+    bin are equal, as ratings are, it is exact too; otherwise the density is off by
+    at most 0.05 * fine^2 / bandwidth (0.000012 / bandwidth for ``FINE_BIN``), as the
+    first-order terms cancel about the mean.  Nothing is stored in between.
+    ``scale="minmax"`` estimates the density of the min-max scaled column (X-08).
+    A column without two different values has no bandwidth and gives no rows.
     Output: point (0..grid-1), x, density.
     """
-    checkpoint_dir(df.sparkSession)
     c = F.col(col).cast("double")
-    # one pass over the input: the (value, count) table holds everything the
-    # statistics need; it is written once (reliable checkpoint in the shared
-    # folder) and both the statistics and the grid spread read it
-    weights = (df.select(c.alias("v")).filter(F.col("v").isNotNull())
-               .groupBy("v").agg(F.count(F.lit(1)).alias("w"))).checkpoint()
+    stats = df.select(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n"),
+                               F.stddev_samp(c).alias("std")).alias("s"))
+    rows = df.select(c.alias("v")).filter(F.col("v").isNotNull()).withColumn("_s", stats.scalar()).filter("_s.hi > _s.lo")
+    width = F.col("_s.hi") - F.col("_s.lo")
     if scale == "minmax":
-        rng = weights.select(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("r")).scalar()
-        weights = weights.withColumn("_r", rng).select(
-            minmax("v", F.col("_r.lo"), F.col("_r.hi")).alias("v"), "w")
-    elif scale is not None:
+        value, low, high, std = (F.col("v") - F.col("_s.lo")) / width, F.lit(0.0), F.lit(1.0), F.col("_s.std") / width
+    elif scale is None:
+        value, low, high, std = F.col("v"), F.col("_s.lo"), F.col("_s.hi"), F.col("_s.std")
+    else:
         raise ValueError(f"unknown scale {scale!r}")
-    wv = F.col("w") * F.col("v")
-    mean = weights.select((F.sum(wv) / F.sum("w")).alias("m")).scalar()
-    stats = weights.withColumn("_m", mean).select(
-        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"),
-                 F.sqrt(F.sum(F.col("w") * F.pow(F.col("v") - F.col("_m"), 2)) / (F.sum("w") - 1)).alias("std"))
-        .alias("s"))
-    bw = F.pow(F.col("_s.n").cast("double"), F.lit(-0.2)) * F.col("_s.std")
-    lo = F.col("_s.lo") - F.lit(cut) * bw
-    hi = F.col("_s.hi") + F.lit(cut) * bw
-    spread = (weights.withColumn("_s", stats.scalar())
-              .select("v", "w", bw.alias("bw"), lo.alias("g0"), ((hi - lo) / (grid - 1)).alias("step"),
-                      F.col("_s.n").alias("n"),
-                      F.posexplode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point", "_i"))
+    n = F.col("_s.n")
+    bw = F.pow(n.cast("double"), F.lit(-0.2)) * std
+    binned = (rows.select(value.alias("v"), F.struct(low.alias("lo"), high.alias("hi"), n.alias("n"), bw.alias("bw")).alias("k"))
+              .groupBy(F.col("v").alias("bin") if fine is None else
+                       F.floor((F.col("v") - F.col("k.lo")) / (F.col("k.bw") * fine)).alias("bin"), "k")
+              .agg(F.count(F.lit(1)).alias("w"), F.avg("v").alias("v")))
+    g0 = F.col("k.lo") - F.lit(cut) * F.col("k.bw")
+    step = (F.col("k.hi") + F.lit(cut) * F.col("k.bw") - g0) / (grid - 1)
+    spread = (binned.select("v", "w", F.col("k.n").alias("n"), F.col("k.bw").alias("bw"), g0.alias("g0"), step.alias("step"),
+                            F.posexplode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point", "_i"))
               .withColumn("x", F.col("g0") + F.col("point") * F.col("step"))
               .withColumn("k", F.col("w") * F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("bw"), 2))
                           / (F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5) * F.col("n"))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsight.functions.scalars import calendar_parts, epoch_seconds, epoch_to_timestamp, normalize_rating, denormalize_rating, zip_region
-from reelsight.operators.aggregates import (density, global_stats, group_sizes, histogram, minmax_scale,
+from reelsight.operators.aggregates import (FINE_BIN, density, global_stats, group_sizes, histogram, minmax_scale,
                                             rating_summary, zscore)
 from reelsight.operators.clean import between_inclusive, clean_ratings, null_profile
 from reelsight.operators.ordering import top_groups
@@ -223,7 +223,7 @@ GROUP BY g.point, st.g0, st.step""", "clean", extra={
 
 
 def _density_query(spark: SparkSession, sf_dir: str, col: str) -> DataFrame:
-    d = density(clean(spark, sf_dir), col, grid=200, cut=3.0, scale="minmax")
+    d = density(clean(spark, sf_dir), col, grid=200, cut=3.0, scale="minmax", fine=FINE_BIN)
     return d.select(F.col("point").cast("bigint").alias("point"), F.round("x", 6).alias("x"),
                     F.round("density", 6).alias("density"))
 

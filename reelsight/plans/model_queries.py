@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from reelsight.functions.lookups import SERVING_WEIGHTS, SWEEP_WEIGHTS
 from reelsight.functions.scalars import blend, denormalize_rating, mean_label, normalize_rating
 from reelsight.operators.aggregates import rmse
-from reelsight.operators.features import CATEGORICAL, VECTOR_NAMES, category_index_table, prepare_features, \
-    term_weights, text_stages
+from reelsight.operators.category_slots import category_slots, encode_slots
+from reelsight.operators.factorised import train_factorised
+from reelsight.operators.features import CATEGORICAL, VECTOR_NAMES, category_index_table, fit_text_model, \
+    item_text_features, prepare_features, term_weights, text_stages
 from reelsight.operators.hybrid import choose_model, predict_by_choice, score_requests, sweep_weights
 from reelsight.operators.joins import combine_predictions
 from reelsight.operators.id_dictionary import IdDictionary, train_als_by_ids
@@ -367,6 +369,51 @@ def q_linear_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rmse(pred, "NormUserRating", "lr_prediction")
 
 
+def _dimensions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per title and one per user of the wide table, without its texts."""
+    def one(key: str, cols: list[str]) -> DataFrame:
+        # the same for every rating of the id, so any aggregate that skips nothing will do
+        return df.groupBy(key).agg(F.max(F.struct(*cols)).alias("_d")).select(key, "_d.*")
+    return (one("MovieID", ["Genres", "directedBy", "starring", "rating_imdb", "runtimes"]),
+            one("UserID", ["Gender", "Occupation_Name", "Age"]))
+
+
+@register("joined_slots", _slot_sql())
+def q_joined_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-01 + F-02 by joins: the slots of titles and of users, looked up in a distributed index, per rating row."""
+    df = rated(spark, sf_dir)
+    slots = category_slots(df.filter("is_train")).checkpoint()
+    titles, users = _dimensions(df)
+    t = encode_slots(titles, slots, {c: VECTOR_NAMES[c] for c in ("Genres", "directedBy", "starring")})
+    u = encode_slots(users, slots, {c: VECTOR_NAMES[c] for c in ("Occupation_Name", "Gender", "Age")})
+    return df.select("UserID", "MovieID", "date_time").join(t, "MovieID").join(u, "UserID").select(
+        "UserID", "MovieID", "date_time", *[VECTOR_NAMES[c] for c in CATEGORICAL])
+
+
+_SHARE = 0.01
+
+
+@register("frequent_categories", with_ctes("\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", value, CAST(row_number() OVER (ORDER BY cnt DESC, value) - 1 AS INT) AS slot
+        FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS cnt FROM clean WHERE {c} IS NOT NULL GROUP BY 1)
+        WHERE cnt >= {_SHARE} * (SELECT count({c}) FROM clean)""" for c in CATEGORICAL), "clean"))
+def q_frequent_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-01 with a cut-off: only values that at least one rating row in a hundred has get a slot."""
+    return category_slots(clean(spark, sf_dir), min_share=_SHARE)
+
+
+@register("factorised_holdout")
+def q_factorised_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-06 + L-07 over the un-joined tables: the content model without a vector per rating row, RMSE on test."""
+    df = rated(spark, sf_dir, LABEL_METHOD)
+    titles, users = _dimensions(df)
+    items = items_standin(spark, sf_dir)
+    train = df.filter("is_train")
+    text = fit_text_model(items.join(train.select("MovieID").distinct(), "MovieID", "left_semi"))
+    model = train_factorised(train, titles, users, item_text_features(text, items))
+    return rmse(model.predict(df.filter(~F.col("is_train"))), "NormUserRating", "lr_prediction")
+
+
 def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-10 on the fitted models: ALS and LR predictions for the latest test rating of each pair."""
     t = trained(spark, sf_dir)

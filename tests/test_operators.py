@@ -199,3 +199,27 @@ def test_density_minmax_equals_density_of_scaled_rows(spark):
     a = density(df, "x", scale="minmax").orderBy("point").collect()
     b = density(minmax_scale(df, ["x"]), "x_scaled").orderBy("point").collect()
     assert all(abs(p.x - q.x) < 1e-12 and abs(p.density - q.density) < 1e-12 for p, q in zip(a, b))
+
+
+def test_fine_bins_keep_the_stated_error_and_nothing_is_stored(spark):
+    import numpy as np
+    from reelsight.operators.aggregates import FINE_BIN
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(0, 1, 3000), rng.gamma(2, 3, 2000), [40.0]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
+    for fine in (FINE_BIN, 0.5):
+        binned = density(df, "x", fine=fine)
+        bandwidth = len(v) ** -0.2 * v.std(ddof=1)
+        exact = {r.point: r for r in density(df, "x").collect()}
+        got = binned.collect()
+        assert len(got) == 200 and all(abs(r.x - exact[r.point].x) < 1e-9 for r in got)
+        assert max(abs(r.density - exact[r.point].density) for r in got) <= 0.05 * fine**2 / bandwidth
+        assert "LogicalRDD [x#" in binned._jdf.queryExecution().optimizedPlan().toString()     # down to the input itself
+    counts, edges = np.histogram(v, 10)
+    h = histogram(df, "x", 10).orderBy("bin").collect()
+    assert [r["count"] for r in h] == counts.tolist() and np.allclose([r.lo for r in h], edges[:-1])
+
+
+def test_density_without_bandwidth(spark):
+    for rows in ([], [(None,)], [(2.0,)], [(2.0,), (2.0,)]):
+        assert density(spark.createDataFrame(rows, "x double"), "x", scale="minmax").count() == 0
