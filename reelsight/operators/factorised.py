@@ -31,6 +31,8 @@ from reelsight.operators.features import CATEGORICAL, VECTOR_NAMES
 from reelsight.session import checkpoint_dir
 
 MAX_FEATURES = 4096
+GROUPS_PER_TASK = 2048
+_GROUPS_AT_ONCE = 256
 _TITLE, _USER = ["Genres", "directedBy", "starring"], ["Gender", "Occupation_Name", "Age"]
 
 
@@ -108,7 +110,7 @@ def encode_dimensions(train: DataFrame, titles: DataFrame, users: DataFrame, ite
         "UserID", F.array_sort(_positions(layout, _USER)).alias("index"))
     u = u.withColumn("weight", F.when(F.size("index") > 0, 1 / F.sqrt(F.size("index").cast("double"))).otherwise(0.0))
     # one row per title and per user, read by the training and by every prediction
-    return Dimensions(layout, t.checkpoint(), texts, u.checkpoint(), float(means[0] or 0.0))
+    return Dimensions(layout, t.checkpoint(), texts and texts.checkpoint(), u.checkpoint(), float(means[0] or 0.0))
 
 
 def grouped(ratings: DataFrame, dims: Dimensions, label: str) -> tuple[DataFrame, DataFrame]:
@@ -136,22 +138,27 @@ def _products(layout: Layout):
     The last two columns of a row are the products with the label and with 1.
     """
     year_at, size = layout.begin["Year"], layout.size
+    users = slice(layout.begin["Gender"], layout.begin["text"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size + 2))
         for batch in batches:
-            for r in batch.to_pylist():
-                scale = np.sqrt(r["squares"] + r["year"] ** 2) or 1.0
-                at = np.array([*r["index"], year_at, *r["text_index"]])
-                v = np.array([*(x / scale for x in r["value"]), r["year"] / scale, *r["text_value"]])
-                total[np.ix_(at, at)] += r["n"] * np.outer(v, v)
-                total[at, size] += r["y"] * v
-                total[at, size + 1] += r["n"] * v
-                if r["users"]:
-                    slot = np.array([x["slot"] for x in r["users"]])
-                    cross = np.outer(v, [x["w"] for x in r["users"]])
-                    total[np.ix_(at, slot)] += cross
-                    total[np.ix_(slot, at)] += cross.T
+            for begin in range(0, batch.num_rows, _GROUPS_AT_ONCE):
+                rows = batch.slice(begin, _GROUPS_AT_ONCE).to_pylist()
+                title, user = np.zeros((len(rows), size)), np.zeros((len(rows), users.stop - users.start))
+                for k, r in enumerate(rows):
+                    scale = np.sqrt(r["squares"] + r["year"] ** 2) or 1.0
+                    title[k, r["index"]] = np.array(r["value"]) / scale
+                    title[k, year_at] = r["year"] / scale
+                    title[k, r["text_index"]] = r["text_value"]
+                    user[k, [x["slot"] - users.start for x in r["users"]]] = [x["w"] for x in r["users"]]
+                n = np.array([r["n"] for r in rows])
+                total[:, :size] += title.T @ (title * n[:, None])
+                met = title.T @ user
+                total[:, users] += met
+                total[users, :size] += met.T
+                total[:, size] += np.array([r["y"] for r in rows]) @ title
+                total[:, size + 1] += n @ title
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([total[i].tobytes() for i in some], pa.binary())],
                                          names=["feature", "row"])
@@ -250,7 +257,10 @@ def train_factorised(train: DataFrame, titles: DataFrame, users: DataFrame, item
     if size > MAX_FEATURES:
         raise ValueError(f"{size} features; the matrix of products is kept to {MAX_FEATURES}: raise min_share")
     per_title, per_user = grouped(train, dims, label)
-    rows = dims.with_texts(per_title.join(dims.titles, "MovieID")).mapInArrow(_products(dims.layout), "feature int, row binary").groupBy(
+    # Each task sends one matrix, so it should have many groups; but their number, not their bytes, is its work.
+    per_title = per_title.checkpoint()
+    tasks = max(1, -(-per_title.count() // GROUPS_PER_TASK))
+    rows = dims.with_texts(per_title.repartition(tasks, "MovieID").join(dims.titles, "MovieID")).mapInArrow(_products(dims.layout), "feature int, row binary").groupBy(
         "feature").applyInArrow(_add_rows, "feature int, row binary").collect()         # at most MAX_FEATURES rows
     total = np.zeros((size, size + 2))
     for r in rows:

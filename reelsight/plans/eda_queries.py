@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from reelsight.functions.scalars import calendar_parts, epoch_seconds, epoch_to_timestamp, normalize_rating, denormalize_rating, zip_region
 from reelsight.operators.aggregates import (FINE_BIN, density, global_stats, group_sizes, histogram, minmax_scale,
                                             rating_summary, zscore)
-from reelsight.operators.clean import between_inclusive, clean_ratings, null_profile
+from reelsight.operators.clean import (between_inclusive, clean_ratings, constant_column, fill_constant, fill_mean,
+                                       null_profile, optional_columns, project_prediction, select_pair, select_pairs)
 from reelsight.operators.ordering import top_groups
 from reelsight.operators.sampling import sample_fraction, with_split
 from reelsight.plans.registry import register
 from reelsight.plans.sql import with_ctes
-from reelsight.plans.standin import ratings_standin, session_key
+from reelsight.plans.standin import ratings_standin, requests, session_key
 from reelsight.session import checkpoint_dir
 from reelsight.sources.files import read_ratings, write_parquet
 
@@ -238,3 +239,60 @@ def q_rating_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_imdb_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-12: Gaussian KDE of the min-max scaled external rating."""
     return _density_query(spark, sf_dir, "rating_imdb")
+
+
+# ------------------------------------------------------------------ fills, pairs and projections
+
+_FILLED = ["rating_imdb", "runtimes"]
+
+
+@register("mean_filled", with_ctes("SELECT UserID, MovieID, date_time, " + ", ".join(
+    f"coalesce({c}, CAST(trunc((SELECT avg({c}) FROM clean)) AS INT)) AS {c}" for c in _FILLED) + " FROM clean", "clean"))
+def q_mean_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-06: missing external ratings and runtimes as the truncated mean of their column."""
+    df = clean(spark, sf_dir).select("UserID", "MovieID", "date_time", *_FILLED)
+    return fill_mean(df, _FILLED)
+
+
+@register("constant_filled", with_ctes("""
+SELECT UserID, MovieID, date_time, coalesce(rating_imdb, 0) AS rating_imdb, coalesce(runtimes, 90) AS runtimes,
+       coalesce(directedBy, '') AS directedBy, CAST(0.5 AS DOUBLE) AS weight FROM clean""", "clean"))
+def q_constant_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-05 + C-12: missing values as constants per column, and one constant column beside them."""
+    df = clean(spark, sf_dir).select("UserID", "MovieID", "date_time", "rating_imdb", "runtimes", "directedBy")
+    return constant_column(fill_constant(df, {"rating_imdb": 0, "runtimes": 90, "directedBy": ""}), "weight", 0.5)
+
+
+@register("requested_pairs", with_ctes("""
+SELECT c.UserID, c.MovieID, c.date_time, c.UserRating FROM clean c
+WHERE EXISTS (SELECT 1 FROM requests q WHERE q.UserID = c.UserID AND q.MovieID = c.MovieID)""", "clean", "requests"))
+def q_requested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-08: all ratings of the (user, title) pairs that are asked for."""
+    df = clean(spark, sf_dir).select("UserID", "MovieID", "date_time", "UserRating")
+    return select_pairs(df, requests(spark, sf_dir))
+
+
+@register("first_pair", with_ctes("""
+SELECT c.UserID, c.MovieID, c.date_time, c.UserRating FROM clean c,
+     (SELECT UserID, MovieID FROM clean ORDER BY UserID, MovieID LIMIT 1) f
+WHERE c.UserID = f.UserID AND c.MovieID = f.MovieID""", "clean"))
+def q_first_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-08 for one pair, the smallest: a predicate that reaches the scan."""
+    df = clean(spark, sf_dir).select("UserID", "MovieID", "date_time", "UserRating")
+    first = df.agg(F.min(F.struct("UserID", "MovieID")).alias("p")).first().p
+    return df.limit(0) if first is None else select_pair(df, first.UserID, first.MovieID)
+
+
+@register("projected_predictions", with_ctes("""
+SELECT UserID AS user, MovieID AS item, avg(UserRating) AS als_prediction FROM clean GROUP BY UserID, MovieID""", "clean"))
+def q_projected_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-11: a prediction table (here the pair's mean rating) under the columns of its readers."""
+    df = clean(spark, sf_dir).groupBy("UserID", "MovieID").agg(F.avg("UserRating").alias("prediction"))
+    return project_prediction(df, {"UserID": "user", "MovieID": "item", "prediction": "als_prediction"}, alias="p")
+
+
+@register("feature_columns", with_ctes("SELECT UserID, MovieID, Genres, rating_imdb FROM clean", "clean"))
+def q_feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-13: of the wanted feature columns those that the table has."""
+    df = clean(spark, sf_dir)
+    return df.select("UserID", "MovieID", *optional_columns(df, ["Genres", "rating_imdb", "plot_tfidf", "DirectorVec"]))
