@@ -80,7 +80,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     lo, hi = (ends.lo or 0), (ends.hi or 0)
     width = max(1, -(-(hi - lo + 1) // CELLS))
     # Cells are numbered by falling id; null ids share a cell after all others.
-    cell = F.coalesce(F.floor((F.lit(hi) - F.col("doc_id")) / F.lit(width)), F.lit(CELLS)).cast("int")
+    below = F.lit(hi) - F.col("doc_id")
+    if hi - lo >= 1 << 63:                      # a distance that does not fit 64 bits
+        below = F.lit(hi).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)")
+    cell = F.coalesce(F.floor(below / F.lit(width)), F.lit(CELLS)).cast("int")
     each = parts(text_bytes(docs, text_col), BUCKET_BYTES)
     weights = rows.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
     upto = F.sum("bytes").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -285,17 +285,21 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
                            percent: int = 75) -> DataFrame:
     """The rows of ``docs``, one for each component: that with the smallest id.
 
-    All columns stay.  Rows that repeat an id count as one document (the row
-    with the smallest text stays).  Rows with a null id cannot be told apart
-    and stay.
+    All columns stay.  Every row is a document of its own, also where rows repeat an
+    id: of rows with one id and texts that don't link, each stays, and rows without
+    words link with nothing and stay.  Rows with a null id stay too.
     """
-    found = ngram_components(docs, id_col, text_col, percent)
-    keep = materialise(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep"))
-                       .agg(F.count("*").alias("__rows")), "keep")
-    own = docs.join(keep, docs[id_col] == keep["__keep"])
-    once = own.where("__rows = 1").select(*docs.columns)
-    more = own.where("__rows > 1")
-    if not more.isEmpty():
-        more = more.groupBy("__keep").agg(F.min_by(F.struct(*docs.columns), F.col(text_col)).alias("__row"))
-        once = once.unionByName(more.select("__row.*"))
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull())
+    alone = docs.where(F.col(id_col).isNull())
+    if named.groupBy(id_col).count().where("count > 1").isEmpty():
+        found = ngram_components(docs, id_col, text_col, percent)
+        keep = materialise(found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")), "keep")
+        return docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").unionByName(alone)
+    # Ids don't tell the rows apart, so the rows are numbered, once and for all, in a stored table.
+    row = next(name for name in ("__row", "__row_number", "__number_of_row") if name not in docs.columns)
+    rows = materialise(named.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = ngram_components(rows, row, text_col, percent).select(F.col("doc_id").alias("__at"), "component_id")
+    first = found.join(rows.select(F.col(row).alias("__at"), F.col(id_col).alias("__id")), "__at").groupBy(
+        "component_id").agg(F.min(F.struct("__id", "__at")).alias("__first"))
+    keep = materialise(first.select(F.col("__first.__at").alias("__keep")), "keep")
+    return rows.join(keep, rows[row] == keep["__keep"], "left_semi").drop(row).unionByName(alone)

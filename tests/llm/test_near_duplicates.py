@@ -93,6 +93,15 @@ def test_one_document_of_each_group_stays(odd_docs):
     assert ids == [1, 4, 5, 6, 7, 9, 11, 12, 13, 14, 15]
 
 
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, base), (1, "something else entirely is written in this row of the table"), (2, base), (3, None), (3, None),
+            (4, ""), (4, base + " thirteen"), (None, base), (5, "a text that stands alone among all of these others")]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, size int")
+    kept = sorted(map(tuple, ngram_join.keep_one_per_component(docs).collect()), key=str)
+    assert kept == sorted([(*r, 7) for r in rows if r not in ((2, base), (4, base + " thirteen"))], key=str)
+
+
 def test_empty_tables(no_docs):
     assert ngram_join.ngram_components(no_docs).count() == 0
     assert line_dedup.line_components(no_docs).count() == 0

@@ -283,3 +283,11 @@ def test_vocabulary_pattern_is_the_published_one():
     import public_tokenizers
     assert token_counts.PATTERN == public_tokenizers.PATTERN
     assert re.sub(r"\s", "", base64.b64encode(b"a").decode()) == "YQ=="
+
+
+def test_fingerprints_of_ids_far_apart(spark):
+    ids = [-2**63, -5, 0, 7, 2**62, 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"the text of number {i} and some more words of it") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.with_next(docs).collect()}
+    order = sorted(ids, reverse=True)
+    assert [got[i].next_text.split()[4] for i in order] == [str(i) for i in [*order[1:], order[0]]]
