@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelsight.plans.eda_queries import CLEAN_COLS, clean
 from reelsight.plans.join_queries import RAW
@@ -22,8 +23,8 @@ from reelsight.plans.sql import with_ctes
 from reelsight.plans.standin import raw_ratings, raw_titles
 from reelsight.schemas import RATINGS_TEXT, TITLES_TEXT
 from reelsight.session import checkpoint_dir
-from reelsight.sources.files import read_csv, read_ratings, write_csv, write_parquet
-from reelsight.sources.text import parse_delimited
+from reelsight.sources.files import read_csv, read_ratings, rows_with_schema, write_csv, write_parquet
+from reelsight.sources.text import land_delimited, landed_rows, parse_delimited, rejected_lines
 
 
 def _scratch(spark: SparkSession, what: str) -> str:
@@ -43,6 +44,55 @@ def q_parse_ratings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_delimited(lines, RATINGS_TEXT)
 
 
+_DIRTY = """SELECT *, CASE WHEN MovieID % 13 = 0 THEN 'short' WHEN UserID % 11 = 0 THEN 'bad_key' END AS reason FROM raw_ratings"""
+
+
+def _dirty_files(spark: SparkSession, sf_dir: str) -> str:
+    """Ratings as text files; some lines lack fields, some have a user that is no number, some are empty."""
+    r = raw_ratings(spark, sf_dir)
+    whole = F.concat_ws("::", *[F.col(c).cast("string") for c in r.columns])
+    line = (F.when(F.col("MovieID") % 13 == 0, F.concat_ws("::", F.col("UserID").cast("string"), F.col("MovieID").cast("string")))
+            .when(F.col("UserID") % 11 == 0, F.concat(F.lit("u"), whole)).otherwise(whole))
+    blank = F.when(F.col("MovieID") % 17 == 0, F.array(line, F.lit("  "))).otherwise(F.array(line))
+    path = _scratch(spark, "ratings-text")
+    r.select(F.explode(blank).alias("value")).write.text(path)
+    return path
+
+
+@register("landing_counts", with_ctes("""
+SELECT count(*) + count(*) FILTER (WHERE MovieID % 17 = 0) AS lines, count(*) FILTER (WHERE MovieID % 17 = 0) AS empty,
+       count(*) FILTER (WHERE reason = 'short') AS short, count(*) FILTER (WHERE reason = 'bad_key') AS bad_key,
+       count(*) FILTER (WHERE reason IS NULL) AS loaded FROM dirty""",
+    extra={"raw_ratings": RAW["raw_ratings"], "dirty": _DIRTY}))
+def q_landing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-01 + S-07: text files landed as a table; what became of their lines, counted in the same pass, as a typed row."""
+    counts = land_delimited(spark, _dirty_files(spark, sf_dir), RATINGS_TEXT, _scratch(spark, "landed-ratings"))
+    names = ["lines", "empty", "short", "bad_key", "loaded"]
+    return rows_with_schema(spark, [counts], T.StructType([T.StructField(n, T.LongType()) for n in names]))
+
+
+@register("landed_ratings", with_ctes("""
+SELECT CAST(UserID AS BIGINT) AS UserID, CAST(MovieID AS BIGINT) AS MovieID, CAST(Rating AS INT) AS Rating,
+       CAST(Timestamp AS BIGINT) AS Timestamp FROM dirty WHERE reason IS NULL""",
+    extra={"raw_ratings": RAW["raw_ratings"], "dirty": _DIRTY}))
+def q_landed_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-01: the rows that came through the landing."""
+    target = _scratch(spark, "landed-ratings")
+    land_delimited(spark, _dirty_files(spark, sf_dir), RATINGS_TEXT, target)
+    return landed_rows(spark, target, RATINGS_TEXT)
+
+
+@register("rejected_ratings", with_ctes("""
+SELECT CASE reason WHEN 'short' THEN concat_ws('::', UserID, MovieID)
+            ELSE 'u' || concat_ws('::', UserID, MovieID, Rating, Timestamp) END AS line, reason
+FROM dirty WHERE reason IS NOT NULL""", extra={"raw_ratings": RAW["raw_ratings"], "dirty": _DIRTY}))
+def q_rejected_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-01: the lines that the landing set aside, as they were, with the reason."""
+    target = _scratch(spark, "landed-ratings")
+    land_delimited(spark, _dirty_files(spark, sf_dir), RATINGS_TEXT, target)
+    return rejected_lines(spark, target, RATINGS_TEXT)
+
+
 @register("parse_titles_text", with_ctes("""
 SELECT CAST(split_part(value, '::', 1) AS BIGINT) AS MovieID, split_part(value, '::', 2) AS Title,
        split_part(value, '::', 3) AS Genres, false AS _corrupt

@@ -91,3 +91,17 @@ def test_profile_shape(spark):
     r = profile_shape(df).collect()[0]
     assert (r.row_count, r.column_count) == (2, 2)
     assert schema_table(df) == [("a", "int", True), ("b", "string", True)]
+
+
+def test_landing_counts_every_line_once(spark, tmp_out):
+    from reelsight.schemas import RATINGS_TEXT
+    from reelsight.sources.text import land_delimited, landed_rows, rejected_lines
+    lines = ["1::2::5::978300760", "", "  ", "1::2", "x::2::5::978300760", "3::4::1::978300761", "3::4::1::978300761"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{tmp_out}/in")
+    counts = land_delimited(spark, f"{tmp_out}/in", RATINGS_TEXT, f"{tmp_out}/out")
+    assert counts == {"lines": 7, "empty": 2, "short": 1, "bad_key": 1, "loaded": 3}
+    assert sorted(r.UserID for r in landed_rows(spark, f"{tmp_out}/out", RATINGS_TEXT).collect()) == [1, 3, 3]
+    assert sorted(map(tuple, rejected_lines(spark, f"{tmp_out}/out", RATINGS_TEXT).collect())) == [
+        ("1::2", "short"), ("x::2::5::978300760", "bad_key")]
+    spark.createDataFrame([], "value string").write.text(f"{tmp_out}/none")
+    assert set(land_delimited(spark, f"{tmp_out}/none", RATINGS_TEXT, f"{tmp_out}/out").values()) == {0}
