@@ -151,6 +151,24 @@ def q_landed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_enrichment(spark, path)
 
 
+@register("merged_details", with_ctes("""
+SELECT CASE WHEN CAST(imdbID AS BIGINT) % 7 = 0 THEN localized_title ELSE 'old ' || localized_title END AS localized_title,
+       runtimes, rating_imdb, plot_outline, director, imdbID FROM raw_details""", extra={"raw_details": RAW["raw_details"]}))
+def q_merged_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-08 as a table that grows: all details landed, then every seventh again, newer; the second landing twice."""
+    from reelsight.plans.standin import raw_details
+    from reelsight.sources.enrichment import DetailsTable
+    d = raw_details(spark, sf_dir).withColumns({
+        "runtimes": F.split("runtimes", ", "), "director": F.array("director")}).withColumnRenamed("rating_imdb", "rating")
+    old = d.withColumns({"localized_title": F.concat(F.lit("old "), "localized_title"),
+                         "fetched_at": F.lit("2024-01-01 00:00:00").cast("timestamp")})
+    new = d.where(F.col("imdbID").cast("bigint") % 7 == 0).withColumn("fetched_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    details = DetailsTable(spark, _scratch(spark, "details"), buckets=8)
+    for landing in (old, new, new):
+        details.land(landing)
+    return details.table()
+
+
 @register("metadata_json_round_trip", with_ctes("""
 SELECT title, directedBy, starring, avgRating, CAST(imdbId AS VARCHAR) AS imdbId FROM raw_metadata""",
     extra={"raw_metadata": RAW["raw_metadata"]}))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reelsight.functions.scalars import join_list
 from reelsight.schemas import DETAILS_RAW_JSON
+from reelsight.sources.versions import VersionedFolder
 
 
 def read_enrichment(spark: SparkSession, path: str) -> DataFrame:
@@ -28,8 +29,17 @@ def read_enrichment(spark: SparkSession, path: str) -> DataFrame:
 
 def landed_details(raw: DataFrame) -> DataFrame:
     """S-08 on an already-read frame of raw detail records."""
+    return latest_details(shaped_details(raw)).select(*DETAIL_COLUMNS, "imdbID")
+
+
+#: The details of a title, without its id.
+DETAIL_COLUMNS = ["localized_title", "runtimes", "rating_imdb", "plot_outline", "director"]
+
+
+def shaped_details(raw: DataFrame) -> DataFrame:
+    """``(imdbID, _at, details)`` of the raw records that have an id; ``_at`` is the fetch time."""
     ok = raw.filter(F.col("imdbID").isNotNull() & (F.trim(F.col("imdbID")) != ""))
-    shaped = ok.select(
+    return ok.select(
         F.col("imdbID"),
         F.coalesce(F.col("fetched_at"), F.lit(0).cast("timestamp")).alias("_at"),
         F.col("localized_title"),
@@ -38,16 +48,63 @@ def landed_details(raw: DataFrame) -> DataFrame:
         F.col("plot_outline"),
         join_list("director").alias("director"),
     )
-    latest = shaped.groupBy("imdbID").agg(
-        F.max(F.struct("_at", "localized_title", "runtimes", "rating_imdb", "plot_outline", "director")).alias("_r"))
-    return latest.select(
-        F.col("_r.localized_title").alias("localized_title"),
-        F.col("_r.runtimes").alias("runtimes"),
-        F.col("_r.rating_imdb").alias("rating_imdb"),
-        F.col("_r.plot_outline").alias("plot_outline"),
-        F.col("_r.director").alias("director"),
-        F.col("imdbID"),
-    )
+
+
+def latest_details(shaped: DataFrame) -> DataFrame:
+    """The latest of the shaped records of each id.  Latest of latest is latest, so results can be merged."""
+    return shaped.groupBy("imdbID").agg(F.max(F.struct("_at", *DETAIL_COLUMNS)).alias("_r")).select(
+        "imdbID", F.col("_r._at").alias("_at"), *[F.col(f"_r.{c}").alias(c) for c in DETAIL_COLUMNS])
+
+
+class DetailsTable:
+    """S-08 and S-09 as a table that grows by landings.
+
+    Details are kept by buckets of their id, and the manifest names the folder of
+    each bucket.  A landing reads and rewrites only the buckets that its ids fall
+    into, and becomes visible as a whole when the next manifest is published.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, VersionedFolder(spark, path), buckets
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        shape = "imdbID string, _at timestamp, " + ", ".join(f"{c} string" for c in DETAIL_COLUMNS)
+        if not folders:
+            return self.spark.createDataFrame([], shape)
+        return self.spark.read.schema(shape).parquet(*folders)
+
+    def table(self) -> DataFrame:
+        """The details table, as ``read_enrichment`` over everything landed would give it."""
+        return self._read(list(self.folder.content().get("folders", {}).values())).select(*DETAIL_COLUMNS, "imdbID")
+
+    def high_water(self):
+        """The latest fetch time landed so far; None before the first landing."""
+        folders = list(self.folder.content().get("folders", {}).values())
+        return self._read(folders).agg(F.max("_at")).first()[0] if folders else None
+
+    def land(self, raw: DataFrame) -> int:
+        """Merge raw records into the table; returns how many buckets were rewritten.
+
+        Records may repeat earlier ones or be older than them: the latest of each id
+        stays, so landings can be replayed and come in any order.
+        """
+        version, content = self.folder.version(), self.folder.content()
+        buckets = content.get("buckets", self.buckets)      # those of the first landing hold for good
+        folders = content.get("folders", {})
+        new = latest_details(shaped_details(raw)).withColumn("bucket", F.pmod(F.xxhash64("imdbID"), F.lit(buckets)))
+        part = self.folder.new_folder("landing")
+        new.write.parquet(f"{part}/new")
+        new = self.spark.read.parquet(f"{part}/new")
+        touched = [str(r.bucket) for r in new.select("bucket").distinct().collect()]     # at most ``buckets``
+        if not touched:
+            return 0
+        old = self._read([folders[b] for b in touched if b in folders])
+        merged = latest_details(old.unionByName(new.drop("bucket"))).withColumn(
+            "bucket", F.pmod(F.xxhash64("imdbID"), F.lit(buckets)))
+        merged.repartition("bucket", F.pmod(F.xxhash64("imdbID", F.lit(1)), F.lit(8))).write.partitionBy("bucket").parquet(f"{part}/merged")
+        self.folder.publish({"buckets": buckets, "folders": folders | {
+            b: f"{part}/merged/bucket={b}" for b in touched}}, after=version)
+        return len(touched)
 
 
 def pending_enrichment_ids(ratings: DataFrame, details: DataFrame, left_key: str = "imdbId",

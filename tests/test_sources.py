@@ -105,3 +105,28 @@ def test_landing_counts_every_line_once(spark, tmp_out):
         ("1::2", "short"), ("x::2::5::978300760", "bad_key")]
     spark.createDataFrame([], "value string").write.text(f"{tmp_out}/none")
     assert set(land_delimited(spark, f"{tmp_out}/none", RATINGS_TEXT, f"{tmp_out}/out").values()) == {0}
+
+
+def test_landings_equal_one_rebuild_and_touch_only_their_buckets(spark, tmp_out):
+    from reelsight.schemas import DETAILS_RAW_JSON
+    from reelsight.sources.enrichment import DetailsTable, landed_details
+    def records(rows):  # noqa: E306
+        df = spark.createDataFrame([(i, t, at) for i, t, at in rows], "imdbID string, localized_title string, at string")
+        return df.select("imdbID", "localized_title", F.array(F.lit("90")).alias("runtimes"), F.lit("7").alias("rating"),
+                         F.lit(None).cast("string").alias("plot_outline"), F.array(F.lit("d")).alias("director"),
+                         F.col("at").cast("timestamp").alias("fetched_at")).select(*DETAILS_RAW_JSON.names)
+    first = records([(f"{i:03d}", f"t{i}", "2024-01-01") for i in range(200)] + [(None, "failed", "2024-01-01"), ("", "no id", None)])
+    second = records([("007", "newer", "2024-02-01"), ("007", "older", "2023-01-01"), ("500", "added", None), ("008", "late", "2023-06-01")])
+    table = DetailsTable(spark, f"{tmp_out}/details", buckets=16)
+    assert table.table().count() == 0 and table.high_water() is None
+    assert table.land(first) == 16
+    before = table.folder.content()["folders"]
+    second.write.parquet(table.folder.new_folder("landing"))        # what a broken landing leaves
+    assert 1 <= table.land(second) <= 3
+    after = DetailsTable(spark, f"{tmp_out}/details", buckets=99).folder.content()["folders"]
+    assert sum(before[b] != after[b] for b in before) <= 3
+    want = sorted(map(tuple, landed_details(first.unionByName(second)).collect()), key=str)
+    assert sorted(map(tuple, table.table().collect()), key=str) == want and len(want) == 201
+    table.land(second)
+    assert sorted(map(tuple, table.table().collect()), key=str) == want
+    assert str(table.high_water()) == "2024-02-01 00:00:00" and table.land(records([])) == 0
