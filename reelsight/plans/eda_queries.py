@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsight.functions.scalars import calendar_parts, epoch_seconds, epoch_to_timestamp, normalize_rating, denormalize_rating, zip_region
-from reelsight.operators.aggregates import (FINE_BIN, density, global_stats, group_sizes, histogram, minmax_scale,
-                                            rating_summary, zscore)
+from reelsight.operators.aggregates import (FINE_BIN, density, global_stats, group_sizes, histogram, merge_sketches, minmax_scale,
+                                            rating_summary, user_sketches, zscore)
 from reelsight.operators.clean import (between_inclusive, clean_ratings, constant_column, fill_constant, fill_mean,
                                        null_profile, optional_columns, project_prediction, select_pair, select_pairs)
 from reelsight.operators.ordering import top_groups
@@ -296,3 +296,19 @@ def q_feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C-13: of the wanted feature columns those that the table has."""
     df = clean(spark, sf_dir)
     return df.select("UserID", "MovieID", *optional_columns(df, ["Genres", "rating_imdb", "plot_tfidf", "DirectorVec"]))
+
+
+@register("sliced_summary", with_ctes("""
+SELECT Occupation_Name, avg(UserRating) AS avg_rating, count(*) AS rating_count, true AS users_within_bound
+FROM clean GROUP BY Occupation_Name""", "clean"))
+def q_sliced_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-01 from stored slices: one row per occupation and year with a sketch of its users, written, read and merged;
+    the estimate is held against the exact number of users (five standard errors)."""
+    df = clean(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/user-sketches-{uuid.uuid4().hex}"
+    write_parquet(user_sketches(df, "Occupation_Name", F.year("date_time")), path)
+    merged = merge_sketches(spark.read.parquet(path), "Occupation_Name")
+    exact = rating_summary(df, "Occupation_Name").select("Occupation_Name", "user_count")
+    off = F.abs(F.col("user_estimate") - F.col("user_count"))
+    return merged.join(exact, "Occupation_Name").select(
+        "Occupation_Name", "avg_rating", "rating_count", (off <= 5 * 0.01625 * F.col("user_count")).alias("users_within_bound"))

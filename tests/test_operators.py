@@ -223,3 +223,18 @@ def test_fine_bins_keep_the_stated_error_and_nothing_is_stored(spark):
 def test_density_without_bandwidth(spark):
     for rows in ([], [(None,)], [(2.0,)], [(2.0,), (2.0,)]):
         assert density(spark.createDataFrame(rows, "x double"), "x", scale="minmax").count() == 0
+
+
+def test_sketches_of_slices_merge_to_the_sketch_of_all(spark):
+    from reelsight.operators.aggregates import merge_sketches, user_sketches
+    rows = spark.range(30_000).select(
+        (F.col("id") * 7 % 9000).alias("UserID"), (F.col("id") % 3).alias("g"), (F.col("id") % 5 + 1).alias("UserRating"),
+        (F.col("id") % 11).alias("day"))
+    sliced = merge_sketches(user_sketches(rows, "g", F.col("day")), "g")
+    whole = merge_sketches(user_sketches(rows, "g", F.lit(0)), "g")
+    want = {r.g: r for r in rows.groupBy("g").agg(F.countDistinct("UserID").alias("u"), F.avg("UserRating").alias("a")).collect()}
+    got = {r.g: r for r in sliced.collect()}
+    assert {g: r.user_estimate for g, r in got.items()} == {r.g: r.user_estimate for r in whole.collect()}
+    for g, r in got.items():
+        assert abs(r.user_estimate - want[g].u) <= 5 * 0.01625 * want[g].u and abs(r.avg_rating - want[g].a) < 1e-12
+    assert merge_sketches(user_sketches(rows.where("false"), "g", F.col("day")), "g").count() == 0
