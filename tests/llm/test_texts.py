@@ -277,7 +277,8 @@ def test_bounds_and_failed_windows_lose_no_leak(data):
     items = decontamination.Items([(1, " ".join(own))])
     said = decontamination.words_of(" ".join(text))
     near = [(s, min(len(said), s + 8 * k), float(data.draw(st.integers(0, 9)))) for s in range(0, max(1, len(said)), 8) for k in (3, 7)]
-    got = decontamination.first_leak(items, 0, said, items.places(said), near)
+    near.sort(key=lambda x: -x[2])
+    got = decontamination.first_leak(items, 0, said, items.places(said), *(np.array(x) for x in zip(*near)))
     held = [c for s, e, c in near if items.verify(0, said, s, e)]
     assert (got is None) == (not held) and (got is None or got[0] == max(held))
 
