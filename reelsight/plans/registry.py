@@ -33,4 +33,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from reelsight.plans import (eda_queries, join_queries, genre_queries,  # noqa: F401
-                                 source_queries, model_queries)
+                                 source_queries, model_queries, serving_queries)
