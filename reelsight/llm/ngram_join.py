@@ -15,7 +15,10 @@ shingles reaches 75 percent.  All links count, not a sample:
    links are closed by distributed union-find.
 
 A hot shingle costs one entry per batch, not one per document; a component that
-outgrows a task is cut into chunk pairs.  Shingles are compared by 64-bit hash.
+outgrows a task is cut into chunk pairs.  Shingles are compared by the bucket, which
+the top of their 64-bit hash gives, and the low 48 bits.  Entries travel as steps
+between sorted hashes, and a shared shingle returns as a number within its bucket;
+numbers are laid out byte by byte, so that their empty bytes compress to nothing.
 """
 
 from __future__ import annotations
@@ -46,6 +49,33 @@ _SENT_ARROW = pa.schema([
     ("class_key", pa.list_(pa.binary())), ("class_size", pa.list_(pa.int32())),
     ("shared_at", pa.list_(pa.int32())), ("shared_class", pa.list_(pa.int32()))])
 _LOW48 = np.uint64((1 << 48) - 1)
+_BITS16, _BITS24 = np.uint64(16), np.uint64(24)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes: the lowest byte of all, then the next one."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def _steps(entries: np.ndarray) -> bytes:
+    """Entries (48 bits of a hash, sorted, and 16 bits) with each hash as the step from the one before."""
+    hashes = entries >> _BITS16
+    return planes(np.diff(hashes, prepend=np.uint64(0)) << _BITS16 | entries & np.uint64(0xFFFF))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    entries = from_planes(data, np.uint64)
+    return np.cumsum(entries >> _BITS16, dtype=np.uint64) << _BITS16 | entries & np.uint64(0xFFFF)
+
+
+def _rarity(sets: np.ndarray) -> np.ndarray:
+    """How many sets hold a shingle, on a scale of 8 steps to a doubling that fits a byte."""
+    return np.minimum(8 * np.log2(sets), 255).astype(np.uint64)
 
 
 class _Batch:
@@ -99,8 +129,8 @@ class _Batch:
                 s0, s1 = np.searchsorted(single_bucket, [b, b + np.uint64(1)])
                 m0, m1 = np.searchsorted(shared_bucket, [b, b + np.uint64(1)])
                 # A shared entry names its place among the batch's shared shingles through the offset.
-                yield {"bucket": int(b), "batch": self.name, "single": single[s0:s1].tobytes(),
-                       "shared": shared[m0:m1].tobytes(), "counts": counts[m0:m1].tobytes(),
+                yield {"bucket": int(b), "batch": self.name, "single": _steps(single[s0:s1]),
+                       "shared": _steps(shared[m0:m1]), "counts": planes(counts[m0:m1]),
                        "shared_at": [int(m0)]}
         yield info
 
@@ -127,17 +157,20 @@ def _send(buckets: int):
     return run
 
 
-_BACK = ("batch string, refs binary, ids binary, dfs binary, shared_ids binary, shared_dfs binary, shared_places binary, "
+_BACK = ("batch string, bucket int, refs binary, ids binary, shared_ids binary, shared_first int, "
          "doc_ids array<long>, doc_class array<int>, class_key array<binary>, class_size array<int>, "
          "shared_at array<int>, shared_class array<int>")
-_BACK_ARROW = pa.schema([("batch", pa.string())] + [(c, pa.binary()) for c in (
-    "refs", "ids", "dfs", "shared_ids", "shared_dfs", "shared_places")] + [
+_BACK_ARROW = pa.schema([("batch", pa.string()), ("bucket", pa.int32())] + [
+    (c, pa.binary()) for c in ("refs", "ids", "shared_ids")] + [("shared_first", pa.int32())] + [
     _SENT_ARROW.field(c) for c in ("doc_ids", "doc_class", "class_key", "class_size", "shared_at", "shared_class")])
 _INFO = ["doc_ids", "doc_class", "class_key", "class_size", "shared_at", "shared_class"]
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
-    """In one bucket: how many sets hold each shingle; rows back to the batches for those in several."""
+    """In one bucket: how many sets hold each shingle; rows back to the batches for those in several.
+
+    Such a shingle returns as 8 bits of rarity over 24 bits that number it in its bucket.
+    """
     bucket, out = table.column("bucket")[0].as_py(), []
     words, weights, sources, names, shared_from = [], [], [], [], []
     kept = []
@@ -145,9 +178,9 @@ def _frequencies(table: pa.Table) -> pa.Table:
         if table.column("doc_ids")[row].as_py() is not None:
             kept.append({c: table.column(c)[row].as_py() for c in ["batch", *_INFO]})
             continue
-        single = np.frombuffer(table.column("single")[row].as_py(), np.uint64)
-        shared = np.frombuffer(table.column("shared")[row].as_py(), np.uint64)
-        count = np.frombuffer(table.column("counts")[row].as_py(), np.uint32)
+        single = _from_steps(table.column("single")[row].as_py())
+        shared = _from_steps(table.column("shared")[row].as_py())
+        count = from_planes(table.column("counts")[row].as_py(), np.uint32)
         words += [single, shared]
         weights += [np.ones(len(single), np.int64), count.astype(np.int64)]
         sources += [np.full(len(single) + len(shared), len(names), np.int64)]
@@ -156,24 +189,28 @@ def _frequencies(table: pa.Table) -> pa.Table:
     if words:
         word, weight, source = np.concatenate(words), np.concatenate(weights), np.concatenate(sources)
         del words, weights, sources
-        low = word >> np.uint64(16)
+        low = word >> _BITS16
         order = np.argsort(low)
         new = np.ones(len(low), bool)
         new[1:] = np.diff(low[order]) != 0
         total = np.add.reduceat(weight[order], np.flatnonzero(new))
-        df = np.empty(len(low), np.uint32)
-        df[order] = np.minimum(total, 2**32 - 1).astype(np.uint32)[np.cumsum(new) - 1]
-        del order, new, weight
-        low += np.uint64(bucket) << np.uint64(48)
+        several = total > 1
+        number = np.cumsum(several) - 1
+        if several.sum() > 1 << 24:
+            raise ValueError("a bucket numbers its shared shingles by 24 bits: lower BUCKET_TEXT_BYTES")
+        code = np.where(several, (_rarity(total) << _BITS24) | number.astype(np.uint64), np.uint64(0)).astype(np.uint32)
+        at = np.cumsum(new) - 1
+        back, often = np.empty(len(low), np.uint32), np.empty(len(low), bool)
+        back[order], often[order] = code[at], several[at]
+        del order, new, weight, at, low
         begin = np.searchsorted(source, np.arange(len(names) + 1))
         for k, name in enumerate(names):
             lo, hi = begin[k], begin[k + 1]
-            mid, first = lo + shared_from[k][0], shared_from[k][1]
-            pick = lo + np.flatnonzero(df[lo:mid] > 1)
-            out.append({"batch": name, "refs": (word[pick] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
-                        "ids": low[pick].tobytes(), "dfs": df[pick].tobytes(), "shared_ids": low[mid:hi].tobytes(),
-                        "shared_dfs": df[mid:hi].tobytes(),
-                        "shared_places": np.arange(first, first + hi - mid, dtype=np.uint32).tobytes()})
+            mid = lo + shared_from[k][0]
+            pick = lo + np.flatnonzero(often[lo:mid])
+            out.append({"batch": name, "bucket": bucket,
+                        "refs": planes((word[pick] & np.uint64(0xFFFF)).astype(np.uint16)), "ids": planes(back[pick]),
+                        "shared_ids": planes(back[mid:hi]), "shared_first": shared_from[k][1]})
     return pa.Table.from_pylist(out + kept, schema=_BACK_ARROW)
 
 
@@ -182,24 +219,28 @@ _PROFILE_ARROW = pa.schema([("key", pa.binary()), ("size", pa.int32()), ("tokens
                             ("doc_ids", pa.list_(pa.int64()))])
 
 
+def _numbered(codes: np.ndarray, bucket: int) -> np.ndarray:
+    """64 bits for a shingle: its rarity, so that the rarest sort first, its bucket and its number there."""
+    codes = codes.astype(np.uint64)
+    return (codes >> _BITS24) << np.uint64(56) | np.uint64(bucket) << _BITS24 | codes & np.uint64((1 << 24) - 1)
+
+
 def _profiles(table: pa.Table) -> pa.Table:
     """In one batch: each set's shared shingles, rarest first, with its documents."""
-    info, ref, ids, dfs = None, [], [], []
+    ref, ids = [], []
     rows = table.to_pylist()
     info = next(r for r in rows if r["doc_ids"] is not None)
     at, of = np.array(info["shared_at"], np.int64), np.array(info["shared_class"], np.int64)
     for r in rows:
         if r["doc_ids"] is not None:
             continue
-        ref.append(np.frombuffer(r["refs"], np.uint16).astype(np.int64))
-        ids.append(np.frombuffer(r["ids"], np.uint64))
-        dfs.append(np.frombuffer(r["dfs"], np.uint32))
-        place = np.frombuffer(r["shared_places"], np.uint32).astype(np.int64)
-        if len(place):
-            size = at[place + 1] - at[place]
-            ref.append(of[at[place[0]]:at[place[-1] + 1]])
-            ids.append(np.repeat(np.frombuffer(r["shared_ids"], np.uint64), size))
-            dfs.append(np.repeat(np.frombuffer(r["shared_dfs"], np.uint32), size))
+        ref.append(from_planes(r["refs"], np.uint16).astype(np.int64))
+        ids.append(_numbered(from_planes(r["ids"], np.uint32), r["bucket"]))
+        shared, first = from_planes(r["shared_ids"], np.uint32), r["shared_first"]
+        if len(shared):
+            size = np.diff(at[first:first + len(shared) + 1])
+            ref.append(of[at[first]:at[first + len(shared)]])
+            ids.append(np.repeat(_numbered(shared, r["bucket"]), size))
     classes = len(info["class_key"])
     docs: list = [[] for _ in range(classes)]
     bare = []
@@ -207,11 +248,11 @@ def _profiles(table: pa.Table) -> pa.Table:
         (docs[c] if c >= 0 else bare).append(doc_id)
     tokens = [b""] * classes
     if ref and classes:
-        ref_, ids_, dfs_ = np.concatenate(ref), np.concatenate(ids), np.concatenate(dfs)
-        order = np.lexsort((ids_, dfs_, ref_))
+        ref_, ids_ = np.concatenate(ref), np.concatenate(ids)
+        order = np.lexsort((ids_, ref_))
         cut = np.searchsorted(ref_[order], np.arange(classes + 1))
         ids_ = ids_[order]
-        tokens = [ids_[cut[i]:cut[i + 1]].tobytes() for i in range(classes)]
+        tokens = [planes(ids_[cut[i]:cut[i + 1]]) for i in range(classes)]
     out = [{"key": info["class_key"][i], "size": info["class_size"][i], "tokens": tokens[i], "doc_ids": docs[i]}
            for i in range(classes)]
     if bare:
@@ -225,7 +266,7 @@ def _prefix(percent: int):
         for batch in batches:
             token, node = [], []
             for key, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = np.frombuffer(blob, np.int64)
+                ids = from_planes(blob, np.int64)
                 # The size - len(ids) unshared shingles come first in the order.
                 take = n - -(-percent * n // 100) + 1 - (n - len(ids))
                 if take > 0:
@@ -238,7 +279,7 @@ def _prefix(percent: int):
 
 
 def _elements(payload: bytes) -> np.ndarray:
-    return np.sort(np.frombuffer(payload, np.uint64))
+    return from_planes(payload, np.uint64)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -256,20 +297,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = parts(text_bytes(docs, text_col), BUCKET_TEXT_BYTES)
     sent = texts.mapInArrow(_send(buckets), _SENT)
     back = sent.groupBy("bucket").applyInArrow(_frequencies, _BACK)
-    profiles = materialise(back.groupBy("batch").applyInArrow(_profiles, _PROFILE), "profiles")
+    profiles = materialise(back.groupBy("batch").applyInArrow(_profiles, _PROFILE), "profiles", compression="zstd")
 
     classes = materialise(profiles.where("key is not null").select(
         "key", "size", "tokens", F.array_min("doc_ids").alias("first")).groupBy("key").agg(
-        F.max("size").alias("size"), F.max("tokens").alias("tokens"), F.min("first").alias("first")), "classes")
+        F.max("size").alias("size"), F.max("tokens").alias("tokens"), F.min("first").alias("first")), "classes", compression="zstd")
     entries = materialise(classes.select("key", "size", "tokens").mapInArrow(
-        _prefix(percent), "token long, node binary"), "prefixes")
+        _prefix(percent), "token long, node binary"), "prefixes", compression="zstd")
     meet = entries.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     edges = entries.join(meet.select("token", "a"), "token").where("node != a").select("a", F.col("node").alias("b"))
     candidates = connected_components(edges)
 
     members = classes.join(candidates, classes["key"] == candidates["node"]).select(
         "node", "component", "size", F.col("tokens").alias("payload"))
-    labels = connected_components(linked(materialise(members, "members"), _elements, percent))
+    labels = connected_components(linked(materialise(members, "members", compression="zstd"), _elements, percent))
 
     named = classes.select("key", "first").join(labels, classes["key"] == labels["node"], "left").select(
         "key", "first", F.coalesce("component", "key").alias("component"))
