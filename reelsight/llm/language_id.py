@@ -25,7 +25,8 @@ from reelsight.llm.common import in_small_batches, materialise, per_process
 
 COUNT_TOKENS = 100_000          # tokens counted before a task passes them on
 MEMO_TOKENS = 150_000           # tokens whose scores a task holds
-SAMPLE_ROWS = 20_000            # labelled documents counted, at most about this many
+NEW_TOKENS = 8_192              # new tokens rated together
+SAMPLE_ROWS = 5_000             # labelled documents counted of each language, at most about this many
 WORDS_PER_LANGUAGE = 20_000
 GRAMS_PER_LANGUAGE = 5_000      # of each order
 ORDERS = (4, 3, 2, 1)
@@ -41,6 +42,8 @@ _LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(token: str) -> list[str]:
+    if token.isascii() and token.isalpha():
+        return [token.lower()]
     return _LETTERS.findall(unicodedata.normalize("NFC", token).lower())
 
 
@@ -101,31 +104,38 @@ class LanguageModel:
         model.rows = packed[2]
         return model
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Log frequencies of a word, by backoff; None if no order knows any of it."""
+    def found(self, word: str) -> tuple[int, list[int]] | None:
+        """The order that knows the word, by backoff, and its rows there; None if no order knows any of it."""
         known = self.index.get(0, {}).get(word)
         if known is not None:
-            return self.rows[0][known]
+            return 0, [known]
         for n in ORDERS:
-            index = self.index.get(n, {})
-            found = [index[g] for g in grams_of(word, n) if g in index]
-            if found:
-                return self.rows[n][found].sum(axis=0) / len(found)
+            if index := self.index.get(n):
+                found = [index[g] for g in grams_of(word, n) if g in index]
+                if found:
+                    return n, found
         return None
 
+    def word(self, word: str) -> np.ndarray | None:
+        """Log frequencies of a word: the mean of its rows; None if no order knows any of it."""
+        got = self.found(word)
+        return None if got is None else self.rows[got[0]][got[1]].sum(axis=0) / len(got[1])
+
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learn from the rows of ``labelled`` with a language and a text (a sample of ``sample_rows``).
+    """Learn from the rows of ``labelled`` with a language and a text (a sample of ``sample_rows`` for each language).
 
-    Without such rows the model knows no language.
+    Every language with such a row is learned, however rare.  Without any the model knows no language.
     """
     rows = in_small_batches(labelled).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
                            F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw")).where(
         "lang is not null and text is not null")
-    n = rows.count()
-    share = min(1.0, sample_rows / n) if n else 0.0
-    counts = rows.where(F.expr(f"pmod(draw, 1000000) < {round(share * 1_000_000)}")).select("lang", "text") \
+    # One number per language reaches the driver; the share is taken as a limit on the hash, so a rare language stays whole.
+    shares = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), sample_rows / F.col("count")).alias("share"))
+    limits = {r.lang: round(r.share * 1_000_000_000) for r in shares.collect()}
+    limit = F.element_at(F.create_map(*(F.lit(x) for item in limits.items() for x in item)), F.col("lang")) if limits else F.lit(0)
+    counts = rows.where(F.pmod("draw", F.lit(1_000_000_000)) < limit).select("lang", "text") \
         .mapInArrow(_count, "lang string, ord int, gram string, n long").groupBy("lang", "ord", "gram").agg(
         F.sum("n").alias("n"))
     counts = materialise(counts, "gram-counts")
@@ -154,32 +164,55 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 class _Scorer(dict):
-    """Token to a row of sums: log frequencies, words with evidence, words."""
+    """Token to a row of sums: log frequencies, words with evidence, words.
+
+    The new tokens of a text are rated together, by a few sums over all of them.
+    """
 
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model, self.width = model, len(model.langs)
         self.rows = np.zeros((1024, self.width + 2))
 
-    def __missing__(self, token: str) -> int:
-        at = len(self)
-        if at >= len(self.rows):
+    def rated(self, tokens: list[str]) -> np.ndarray:
+        """One row per token."""
+        out = np.zeros((len(tokens), self.width + 2))
+        # By order: the token of each word, where its rows begin, and its rows.
+        by_order: dict[int, tuple[list[int], list[int], list[int]]] = {n: ([], [], []) for n in (0, *ORDERS)}
+        words = []
+        found = self.model.found
+        for i, token in enumerate(tokens):
+            some = words_of(token)
+            words.append(len(some))
+            for word in some:
+                got = found(word)
+                if got is not None:
+                    of, begins, places = by_order[got[0]]
+                    of.append(i)
+                    begins.append(len(places))
+                    places += got[1]
+        out[:, -1] = words
+        for n, (of, begins, places) in by_order.items():
+            if of:
+                sums = np.add.reduceat(self.model.rows[n][places], begins, axis=0)
+                sums /= np.diff(begins, append=len(places))[:, None]
+                np.add.at(out, of, np.concatenate([sums, np.ones((len(of), 1)), np.zeros((len(of), 1))], axis=1))
+        return out
+
+    def learn(self, tokens: list[str]) -> None:
+        at, rows = len(self), self.rated(tokens)
+        while at + len(tokens) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = self.rows[at]
-        row[:] = 0
-        for word in words_of(token):
-            row[-1] += 1
-            scores = self.model.word(word)
-            if scores is not None:
-                row[:-2] += scores
-                row[-2] += 1
-        self[token] = at
-        return at
+        self.rows[at:at + len(tokens)] = rows
+        self.update(zip(tokens, range(at, at + len(tokens))))
 
     def places(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
         if len(self) > MEMO_TOKENS:
             self.clear()
+        new = [t for t in dict.fromkeys(tokens) if t not in self]
+        for i in range(0, len(new), NEW_TOKENS):
+            self.learn(new[i:i + NEW_TOKENS])
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
     def score(self, text: str | None) -> tuple[str, float, float]:
@@ -210,15 +243,26 @@ class _Evidence(_Scorer):
         self.common = (rows >= math.log(COMMON_SHARE)) & (rows >= least - 1e-9)
         self.rows = np.zeros((1024, 2))
 
-    def __missing__(self, token: str) -> int:
-        at = len(self)
-        if at >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        grams = [g for word in words_of(token) for g in grams_of(word, 3)]
-        self.rows[at] = (self.common[[self.index3[g] for g in grams if g in self.index3]].sum(axis=0).max() / len(grams), 1) \
-            if grams else (0, 0)
-        self[token] = at
-        return at
+    def rated(self, tokens: list[str]) -> np.ndarray:
+        index, kinds, begins, places, of = self.index3, [], [], [], []
+        for i, token in enumerate(tokens):
+            n = 0
+            begin = len(places)
+            for word in words_of(token):
+                grams = grams_of(word, 3)
+                n += len(grams)
+                places += [index[g] for g in grams if g in index]
+            kinds.append(n)
+            if len(places) > begin:
+                begins.append(begin)
+                of.append(i)
+        kinds = np.array(kinds)
+        out = np.zeros((len(tokens), 2))
+        out[:, 1] = kinds > 0
+        if of:
+            most = np.add.reduceat(self.common[places], begins, axis=0, dtype=np.int64).max(axis=1, initial=0)
+            out[of, 0] = most / kinds[of]
+        return out
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Sum over the tokens with a letter, and how many there are."""

@@ -57,6 +57,41 @@ def test_model_counts_equal_plain_counts(spark):
     assert model.tables[2]["^a"][0] == pytest.approx(np.log(2.5 / (7 + 0.5 * 11)))   # x: ^a a$ twice, ^b bb b$
 
 
+def test_predictions_equal_a_plain_scorer(odd_docs):
+    model = language_id.fit(odd_docs.where(~language_id.held_out()))
+    want = []
+    for r in odd_docs.select("doc_id", "text").collect():
+        sums, words = np.zeros(len(model.langs)), 0
+        for token in (r.text or "").split():
+            for word in language_id.words_of(token):
+                words += 1
+                got = model.word(word)
+                sums += 0 if got is None else got
+        odds = np.exp(sums - sums.max())
+        want.append((r.doc_id, model.langs[int(sums.argmax())] if words else "und", odds.max() / odds.sum() if words else 0.0))
+    got = [(r.id, r.lang_pred, r.score) for r in language_id.predict(odd_docs, model).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], round(x[2], 6))
+    got, want = sorted(got, key=key), sorted(want, key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-9)
+
+
+def test_evidence_of_many_tokens_equals_that_of_each(some_docs):
+    model = language_id.fit(some_docs)
+    together, alone = language_id._Evidence(model), language_id._Evidence(model)
+    for text in ["12 --", "ab 1 x-y ünï", *(r.text for r in some_docs.limit(20).collect())]:
+        each = [alone.evidence(token) for token in (text or "").split()]
+        assert together.evidence(text) == pytest.approx((sum(e for e, _ in each), sum(n for _, n in each)))
+
+
+def test_a_rare_language_is_learned(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 1000 = 0, 'zu', 'en') as lang",
+                                        "if(id % 1000 = 0, 'ngiyabonga kakhulu', concat('thank you ', id)) as text")
+    model = language_id.fit(docs, sample_rows=20)
+    assert model.langs == ["en", "zu"]
+    assert "kakhulu" in model.tables[0]
+
+
 # ------------------------------------------------------------------ shards
 
 def check_shards(rows, docs, shards=16):
