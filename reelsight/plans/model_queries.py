@@ -34,7 +34,8 @@ from reelsight.operators.model_store import ServingModels, load_models, publish_
 from reelsight.operators.models import predict_als, predict_linear, train_als, train_linear, tune_als
 from reelsight.operators.ordering import latest_rating_per_pair
 from reelsight.operators.pruned_recommend import recommend_for_all_pruned
-from reelsight.operators.recommend import candidate_items, recommend_for_all, recommend_for_user, user_projection
+from reelsight.operators.recommend import (axis_variances, candidate_items, genre_coordinates, recommend_for_all,
+                                           recommend_for_user, user_projection)
 from reelsight.operators.sampling import with_split
 from reelsight.plans.eda_queries import clean
 from reelsight.plans.genre_queries import STANDIN_GENRES
@@ -566,6 +567,48 @@ def q_user_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_projection(clean(spark, sf_dir), STANDIN_GENRES)
 
 
+def _shares_sql(body: str) -> str:
+    """``body`` over ``shares``: one row per user, one column per genre."""
+    cells = ", ".join(f"avg(CAST(coalesce(list_contains(string_split(Genres, '|'), '{g}'), false) AS INT)) AS \"{g}\""
+                      for g in STANDIN_GENRES)
+    return with_ctes(body, "clean", extra={"shares": f"SELECT UserID, {cells} FROM clean GROUP BY UserID"})
+
+
+_SQUARES = " + ".join(f'"{g}" * "{g}"' for g in STANDIN_GENRES)
+_TRACE = " + ".join(f'var_samp("{g}")' for g in STANDIN_GENRES)
+_FROBENIUS = " + ".join(f'{1 if g == h else 2} * pow(covar_samp("{g}", "{h}"), 2)'
+                        for i, g in enumerate(STANDIN_GENRES) for h in STANDIN_GENRES[i:])
+
+
+@register("projection_lengths", _shares_sql(f"SELECT UserID, round({_SQUARES}, 9) AS squared_length FROM shares"))
+def q_projection_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-08 along all axes: a rotation, so a user's squared length is that of the genre shares."""
+    c = genre_coordinates(clean(spark, sf_dir), STANDIN_GENRES, len(STANDIN_GENRES))
+    return c.select("UserID", F.round(F.aggregate("coordinates", F.lit(0.0), lambda s, x: s + x * x), 9)
+                    .alias("squared_length"))
+
+
+@register("projection_variances", _shares_sql(f"""
+SELECT round({_TRACE}, 9) AS total_variance, round({_FROBENIUS}, 9) AS squared_variances,
+       CAST(0 AS DOUBLE) AS correlation, true AS falling FROM shares"""))
+def q_projection_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-08: the axes keep the shares' variance and the sum of squares of its matrix, don't correlate, and fall.
+
+    A matrix and its eigenvalues agree in both sums, and only the covariance's own
+    axes leave coordinates without correlation.
+    """
+    d = len(STANDIN_GENRES)
+    v = axis_variances(genre_coordinates(clean(spark, sf_dir), STANDIN_GENRES, d), d)
+    own = F.when(F.col("axis_a") == F.col("axis_b"), F.col("covariance"))
+    other = F.when(F.col("axis_a") != F.col("axis_b"), F.abs("covariance"))
+    falling = F.sort_array(F.collect_list(F.when(own.isNotNull(), F.struct(F.col("axis_a"), own.alias("variance")))))
+    return v.agg(F.round(F.sum(own), 9).alias("total_variance"), F.round(F.sum(own * own), 9).alias("squared_variances"),
+                 F.abs(F.round(F.max(other), 9)).alias("correlation"), falling.alias("by_axis")).select(
+        "total_variance", "squared_variances", "correlation",
+        F.forall(F.sequence(F.lit(0), F.lit(d - 2)), lambda i: F.col("by_axis")[i]["variance"] + 1e-12
+                 >= F.col("by_axis")[i + 1]["variance"]).alias("falling"))
+
+
 @register("request_stream")
 def q_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-01: the requests landed as files, scored by a file-source stream (foreachBatch R-06)."""

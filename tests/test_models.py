@@ -4,12 +4,15 @@ import math
 import os
 
 import numpy as np
+import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from reelsight.operators.genres import user_genre_matrix
 from reelsight.operators.models import (evaluate_rmse, load_als, predict_als, predict_linear, save_model,
                                         train_als, train_linear, tune_als)
-from reelsight.operators.recommend import recommend_for_all, recommend_for_user, user_projection
+from reelsight.operators.recommend import (axis_variances, genre_coordinates, recommend_for_all, recommend_for_user,
+                                           user_projection)
 from reelsight.operators.sampling import split_train_test
 
 
@@ -133,6 +136,23 @@ def test_user_projection_shape(spark):
     assert len(out) == 20 and all(r.x is not None and r.y is not None for r in out)
 
 
+def test_projection_equals_eigenvectors(spark):
+    genres = ["A", "B", "C", "D"]
+    df = spark.createDataFrame([(u, g) for u in range(30) for g in ["A|B", "C", "B|C", "A", "D|A"][: 1 + (u * u) % 5]],
+                               "UserID int, Genres string")
+    shares = user_genre_matrix(df, genres, "UserID").toPandas().sort_values("UserID")
+    x = shares[[c for c in shares.columns if c != "UserID"]].to_numpy(float)
+    values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    got = genre_coordinates(df, genres, 4)
+    cov = {(r.axis_a, r.axis_b): r.covariance for r in axis_variances(got, 4).collect()}
+    assert [cov[i, i] for i in range(4)] == pytest.approx(values.tolist(), abs=1e-9)
+    assert all(abs(c) < 1e-9 for (a, b), c in cov.items() if a != b)
+    at = np.array([r.coordinates for r in got.orderBy("UserID").collect()])
+    assert (at ** 2).sum(axis=1) == pytest.approx((x ** 2).sum(axis=1))
+    two = np.array([(r.x, r.y) for r in user_projection(df, genres).orderBy("UserID").collect()])
+    assert two == pytest.approx(at[:, :2])
+
+
 def _feature_rows(spark):
     rows = []
     for u in range(12):
