@@ -63,7 +63,10 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
 
 
 def _steps(entries: np.ndarray) -> bytes:
-    """Entries (48 bits of a hash, sorted, and 16 bits) with each hash as the step from the one before."""
+    """Entries (48 bits of a hash and 16 bits) with each hash as the step from the one before, modulo 2^48.
+
+    They come sorted by the whole hash; steps are small where a bucket owns less than 2^48 hashes.
+    """
     hashes = entries >> _BITS16
     return planes(np.diff(hashes, prepend=np.uint64(0)) << _BITS16 | entries & np.uint64(0xFFFF))
 

@@ -102,6 +102,27 @@ def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
     assert kept == sorted([(*r, 7) for r in rows if r not in ((2, base), (4, base + " thirteen"))], key=str)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_packed_entries_come_back(n):
+    rng = np.random.default_rng(n)
+    hashes = np.sort(rng.integers(0, 2**64, n, np.uint64))      # the low 48 bits wrap around
+    entries = (hashes << np.uint64(16)) | rng.integers(0, 2**16, n, np.uint64)
+    assert ngram_join._from_steps(ngram_join._steps(entries)).tolist() == entries.tolist()
+    for kind in (np.uint16, np.uint32, np.uint64):
+        numbers = rng.integers(0, np.iinfo(kind).max, n, kind, endpoint=True)
+        assert ngram_join.from_planes(ngram_join.planes(numbers), kind).tolist() == numbers.tolist()
+
+
+def test_shared_shingles_sort_by_rarity():
+    rare = ngram_join._rarity(np.array([2, 3, 5, 1000, 2**32]))
+    assert rare.tolist() == sorted(rare.tolist()) and rare[0] < rare[1] < rare[2] and rare[-1] == 255
+    codes = (rare << np.uint64(24) | np.uint64(7)).astype(np.uint32)
+    far = ngram_join._numbered(codes, 2**31 - 1)
+    near = ngram_join._numbered(codes, 0)
+    assert (np.diff(far.astype(object)) > 0).all() and len(set(far.tolist()) | set(near.tolist())) == 10
+    assert near.max() > far[0]           # rarity goes before the bucket
+
+
 def test_empty_tables(no_docs):
     assert ngram_join.ngram_components(no_docs).count() == 0
     assert line_dedup.line_components(no_docs).count() == 0
