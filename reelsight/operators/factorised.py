@@ -8,8 +8,8 @@ net needs come from groups:
   which have a few dozen columns;
 * per user profile: number and sum of labels.
 
-The title's vector is built once per title and joined to its groups, where the
-products are taken.  Rating rows carry ids, year, label and the user's slots.  The
+The title's vector is built once per title and joined to its groups, all in one
+row, where the products are taken: those of the text once per title, not per year.  Rating rows carry ids, year, label and the user's slots.  The
 driver receives the matrix of products (features x features, bounded by
 ``MAX_FEATURES`` like Spark's normal solver) and solves the same problem as
 ``LinearRegression`` does, to the end.
@@ -31,8 +31,8 @@ from reelsight.operators.features import CATEGORICAL, VECTOR_NAMES
 from reelsight.session import checkpoint_dir
 
 MAX_FEATURES = 4096
-GROUPS_PER_TASK = 2048
-_GROUPS_AT_ONCE = 256
+TITLES_PER_TASK = 2048
+_TITLES_AT_ONCE = 256
 _TITLE, _USER = ["Genres", "directedBy", "starring"], ["Gender", "Occupation_Name", "Age"]
 
 
@@ -132,33 +132,66 @@ def grouped(ratings: DataFrame, dims: Dimensions, label: str) -> tuple[DataFrame
     return per_title.withColumn("y", F.col("y.y")), per_user
 
 
+def _dense(lists: pa.ListArray, values: pa.ListArray, width: int, begin: int = 0) -> np.ndarray:
+    """One dense row per list: ``values`` at the positions ``lists`` less ``begin``."""
+    out = np.zeros((len(lists), width))
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    out[rows, lists.flatten().to_numpy() - begin] = values.flatten().to_numpy()
+    return out
+
+
+def _sums(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of each of ``n`` titles; ``of``: a row's title, ascending, none left out."""
+    return np.add.reduceat(rows, np.searchsorted(of, np.arange(n)), axis=0)
+
+
 def _products(layout: Layout):
-    """Sums of products of features over the task's (title, year) groups, one row per feature.
+    """Sums of products of features over the task's titles, one row per feature.
 
-    The last two columns of a row are the products with the label and with 1.
+    A title's text is the same in all its years: it meets itself once per title,
+    and the sums over the years of all other features.  The last two columns of a
+    row are the products with the label and with 1.
     """
     year_at, size = layout.begin["Year"], layout.size
-    users = slice(layout.begin["Gender"], layout.begin["text"])
+    at, end = layout.begin["Gender"], layout.begin["text"]
+    title, user, text = slice(0, at), slice(at, end), slice(end, size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size + 2))
+
+        def add(a: slice, b: slice, products: np.ndarray) -> None:
+            total[a, b] += products
+            if a != b:
+                total[b, a] += products.T
+
         for batch in batches:
-            for begin in range(0, batch.num_rows, _GROUPS_AT_ONCE):
-                rows = batch.slice(begin, _GROUPS_AT_ONCE).to_pylist()
-                title, user = np.zeros((len(rows), size)), np.zeros((len(rows), users.stop - users.start))
-                for k, r in enumerate(rows):
-                    scale = np.sqrt(r["squares"] + r["year"] ** 2) or 1.0
-                    title[k, r["index"]] = np.array(r["value"]) / scale
-                    title[k, year_at] = r["year"] / scale
-                    title[k, r["text_index"]] = r["text_value"]
-                    user[k, [x["slot"] - users.start for x in r["users"]]] = [x["w"] for x in r["users"]]
-                n = np.array([r["n"] for r in rows])
-                total[:, :size] += title.T @ (title * n[:, None])
-                met = title.T @ user
-                total[:, users] += met
-                total[users, :size] += met.T
-                total[:, size] += np.array([r["y"] for r in rows]) @ title
-                total[:, size + 1] += n @ title
+            for begin in range(0, batch.num_rows, _TITLES_AT_ONCE):
+                # copied to offsets that begin at 0
+                col = batch.slice(begin, _TITLES_AT_ONCE).take(pa.array(range(min(_TITLES_AT_ONCE, batch.num_rows - begin))))
+                groups, k = col.column("groups"), col.num_rows
+                of = np.repeat(np.arange(k), np.diff(groups.offsets.to_numpy()))
+                year, n, y, users = (groups.flatten().field(c) for c in ("year", "n", "y", "users"))
+                year, n, y = (x.to_numpy() for x in (year, n, y))
+                scale = np.sqrt(col.column("squares").to_numpy()[of] + year**2)
+                scale[scale == 0] = 1.0
+                own = _dense(col.column("index"), col.column("value"), at)[of]
+                own[:, year_at] = year
+                own /= scale[:, None]
+                pairs = users.flatten()
+                who = np.zeros((len(of), end - at))
+                who[np.repeat(np.arange(len(of)), np.diff(users.offsets.to_numpy())), pairs.field("slot").to_numpy() - at] = \
+                    pairs.field("w").to_numpy()
+                words = _dense(col.column("text_index"), col.column("text_value"), size - end, end)
+                weighted, rows = own * n[:, None], _sums(n[:, None], of, k)
+                add(title, title, own.T @ weighted)
+                add(title, user, own.T @ who)
+                add(title, text, _sums(weighted, of, k).T @ words)
+                add(user, text, _sums(who, of, k).T @ words)
+                add(text, text, words.T @ (words * rows))
+                total[title, size] += y @ own
+                total[title, size + 1] += n @ own
+                total[text, size] += _sums(y[:, None], of, k)[:, 0] @ words
+                total[text, size + 1] += rows[:, 0] @ words
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([total[i].tobytes() for i in some], pa.binary())],
                                          names=["feature", "row"])
@@ -257,10 +290,11 @@ def train_factorised(train: DataFrame, titles: DataFrame, users: DataFrame, item
     if size > MAX_FEATURES:
         raise ValueError(f"{size} features; the matrix of products is kept to {MAX_FEATURES}: raise min_share")
     per_title, per_user = grouped(train, dims, label)
-    # Each task sends one matrix, so it should have many groups; but their number, not their bytes, is its work.
-    per_title = per_title.checkpoint()
-    tasks = max(1, -(-per_title.count() // GROUPS_PER_TASK))
-    rows = dims.with_texts(per_title.repartition(tasks, "MovieID").join(dims.titles, "MovieID")).mapInArrow(_products(dims.layout), "feature int, row binary").groupBy(
+    per_title = per_title.groupBy("MovieID").agg(F.collect_list(F.struct("year", "n", "y", "users")).alias("groups")).checkpoint()
+    # A task sends one matrix, however many titles it had: as many tasks as run at once, but no more than its work is worth.
+    tasks = min(max(1, -(-per_title.count() // TITLES_PER_TASK)), train.sparkSession.sparkContext.defaultParallelism)
+    met = dims.with_texts(per_title.repartition(tasks, "MovieID").join(dims.titles, "MovieID"))
+    rows = met.mapInArrow(_products(dims.layout), "feature int, row binary").groupBy(
         "feature").applyInArrow(_add_rows, "feature int, row binary").collect()         # at most MAX_FEATURES rows
     total = np.zeros((size, size + 2))
     for r in rows:

@@ -112,3 +112,40 @@ def test_elastic_net_meets_the_optimality_conditions():
         if dev[j]:
             slope = (x[:, j] - x[:, j].mean()) @ rest / 300 / dev[j] - 0.2 * 0.3 / s * coef[j] * dev[j]
             assert abs(slope - 0.2 * 0.7 * np.sign(coef[j])) < 1e-8 if coef[j] else abs(slope) <= 0.2 * 0.7 + 1e-8
+
+
+def test_a_title_with_several_years_meets_its_text_once():
+    """The products of a task equal those of plain feature rows, whichever years the title has."""
+    import pyarrow as pa
+    from reelsight.operators.factorised import Layout, _products
+    counts = {"Genres": 2, "directedBy": 1, "starring": 1, "Gender": 2, "Occupation_Name": 1, "Age": 1}
+    layout = Layout(counts, True)
+    at, text = layout.begin["Gender"], layout.begin["text"]
+    titles = [{"groups": [{"year": 1995.0, "n": 2.0, "y": 7.0, "users": [{"slot": at, "w": 1.5}]},
+                          {"year": 1996.0, "n": 1.0, "y": 3.0, "users": [{"slot": at + 1, "w": 0.5}, {"slot": at + 3, "w": 0.5}]}],
+               "index": [1, layout.begin["runtimes"]], "value": [1.0, 90.0], "squares": 8101.0,
+               "text_index": [text + 2, text + 9], "text_value": [0.6, 0.8]},
+              {"groups": [{"year": 0.0, "n": 3.0, "y": 6.0, "users": []}], "index": [], "value": [], "squares": 0.0,
+               "text_index": [], "text_value": []}]
+    shape = pa.schema([("groups", pa.list_(pa.struct([("year", pa.float64()), ("n", pa.float64()), ("y", pa.float64()), (
+        "users", pa.list_(pa.struct([("slot", pa.int32()), ("w", pa.float64())])))]))), ("index", pa.list_(pa.int32())),
+        ("value", pa.list_(pa.float64())), ("squares", pa.float64()), ("text_index", pa.list_(pa.int32())),
+        ("text_value", pa.list_(pa.float64()))])
+    batch = pa.RecordBatch.from_pylist(titles[1:] + titles, schema=shape).slice(1)
+    want = np.zeros((layout.size, layout.size + 2))
+    for t in titles:
+        for g in t["groups"]:
+            x, u = np.zeros(layout.size), np.zeros(layout.size)
+            scale = np.sqrt(t["squares"] + g["year"] ** 2) or 1.0
+            x[t["index"]] = np.array(t["value"]) / scale
+            x[layout.begin["Year"]] = g["year"] / scale
+            x[t["text_index"]] = t["text_value"]
+            u[[s["slot"] for s in g["users"]]] = [s["w"] for s in g["users"]]
+            want[:, :-2] += g["n"] * np.outer(x, x) + np.outer(x, u) + np.outer(u, x)
+            want[:, -2] += g["y"] * x
+            want[:, -1] += g["n"] * x
+    got = np.zeros_like(want)
+    for out in _products(layout)([batch]):
+        for i, row in zip(out.column("feature").to_pylist(), out.column("row").to_pylist()):
+            got[i] = np.frombuffer(row)
+    assert np.allclose(got, want)
