@@ -147,7 +147,7 @@ def q_landed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
                             .otherwise(F.col("imdbID")),
                             "fetched_at": F.lit("2024-02-01 00:00:00").cast("timestamp")})
     path = _scratch(spark, "landed-details")
-    old.unionByName(new).write.mode("overwrite").json(path)
+    old.unionByName(new).write.mode("overwrite").json(path, compression="gzip")
     return read_enrichment(spark, path)
 
 
