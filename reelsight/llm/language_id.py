@@ -34,7 +34,6 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 COMMON_SHARE = 5e-6             # a 3-gram is evidence of a language if it has this share of its 3-grams,
 COMMON_COUNT = 4                # and was seen so often
-LIMIT_ROWS = 5_000              # held-out documents that set the limit of evidence, at most about this many
 LIMIT_LEAST = 20                # with fewer no limit is set
 MARGIN = 0.25                   # the limit lies at least so far below the median
 BENEFIT = 1                     # tokens of median evidence that every text gets, as short ones vary
@@ -308,23 +307,21 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def evidence_limit(docs: DataFrame, model: LanguageModel, scorer) -> tuple[float, float]:
-    """``(limit, median)`` of the evidence of held-out rows in a learned language; 0, 0 if they are too few.
+    """``(limit, median)`` of the evidence of all held-out rows in a learned language; 0, 0 if they are too few.
 
     Set by the quartile and the median, so that texts with a wrong label, up to
     a quarter of the rows, don't move it far.
     """
     rows = in_small_batches(docs).where(held_out() & F.col("lang").cast("string").isin(model.langs) & F.col("text").isNotNull())
-    n = rows.count()
-    share = min(1.0, LIMIT_ROWS / n) if n else 0.0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [scorer().evidence(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_pydict({"evidence": pa.array([e / n for e, n in got if n], pa.float64())})
 
-    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < round(share * 1_000_000))
-    n, at = some.select(F.col("text").cast("string")).mapInArrow(run, "evidence double").agg(
-        F.count("*"), F.expr("percentile(evidence, array(0.25, 0.5))")).first()
+    # millionths: the quantiles are exact in these, and their counts fit one task whatever the number of rows
+    n, at = rows.select(F.col("text").cast("string")).mapInArrow(run, "evidence double").agg(
+        F.count("*"), F.expr("percentile(round(evidence, 6), array(0.25, 0.5))")).first()
     if n < LIMIT_LEAST:
         return 0.0, 0.0
     return at[1] - max(MARGIN, 4 * (at[1] - at[0])), at[1]

@@ -62,3 +62,25 @@ def test_language_stage_drops_gibberish_and_unlearned_languages(spark, sf):
     planted = planted.select(*(F.col(f.name).cast(f.dataType) for f in docs.schema))
     kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs.unionByName(planted), sf_dir).select("doc_id").collect()}
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_evidence_limit_uses_every_held_out_row(spark, monkeypatch):
+    """A bound on the rows that set the limit is not there any more: one of 1 leaves it as it is."""
+    from reelsight.llm import language_id as li
+    words = "the quick brown fox jumps over lazy dogs near old stone bridges while rain falls".split()
+    other = "der schnelle braune fuchs springt hoch und weit am alten fluss entlang bis zum wald".split()
+    docs = spark.createDataFrame([(i, " ".join(x[(i // 2 + k) % len(x)] for k in range(9)), ("en", "de")[i % 2])
+                                  for i in range(600) for x in ((words, other)[i % 2],)],
+                                 "doc_id long, text string, lang string")
+    model = li.fit(docs.where(~li.held_out()))
+    packed, made = model.packed(), []
+
+    def scorer():
+        if not made:
+            made.append(li._Evidence(li.LanguageModel.unpacked(packed)))
+        return made[0]
+
+    want = li.evidence_limit(docs, model, scorer)
+    monkeypatch.setattr(li, "LIMIT_ROWS", 1, raising=False)
+    assert li.evidence_limit(docs, model, scorer) == want
+    assert want[1] > 0.5
