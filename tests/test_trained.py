@@ -59,3 +59,19 @@ def test_text_stages_run_on_titles_alone(spark, sf):
                       df.select(*keys, "content_features").collect())
     from reelsight.operators.features import feature_input
     assert vectors(feature_input(t["features"])) == vectors(whole)
+
+
+def test_shares_are_computed_once_for_fit_and_projection(spark, sf):
+    from reelsight.operators.recommend import genre_coordinates
+    from reelsight.plans.eda_queries import clean
+    c = genre_coordinates(clean(spark, sf), ["red", "blue", "rod"], 2)
+    assert c.count() == 12
+    assert "Aggregate" not in c._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_details_land_compressed(spark, sf):
+    from reelsight.plans.source_queries import q_landed_details
+    details = q_landed_details(spark, sf)
+    assert details.count() == 20
+    files = details.inputFiles()
+    assert files and all(f.endswith(".json.gz") for f in files)
