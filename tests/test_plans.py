@@ -59,6 +59,61 @@ def test_wide_table_never_shuffles_on_text(spark):
     assert sorted(keys) == ["MovieID", "UserID"]
 
 
+def _above(plan: str, mark: str) -> list[str]:
+    """The lines of ``plan`` from the first with ``mark`` up to the root."""
+    lines = plan.splitlines()
+    depth = [len(re.match(r"[\s:|+-]*", x)[0]) for x in lines]
+    at = next(i for i, x in enumerate(lines) if mark in x)
+    above, limit = [lines[at]], depth[at]
+    for i in range(at - 1, -1, -1):
+        if depth[i] < limit:
+            above.append(lines[i])
+            limit = depth[i]
+    return above
+
+
+def test_titles_join_the_wide_table_last(spark):
+    """Ratings meet their users first, so no title text is shuffled with them, and no join carries a plot."""
+    import __spark_entry__ as e
+    plan = e.queries()["wide_ratings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "Relation" in x and "l_orderkey" in x)
+    joins = [re.search(r"Join Inner, .*?\((\w+)#", x)[1] for x in _above(plan, scan) if "Join" in x]
+    assert joins == ["l_orderkey", "UserID", "MovieID"]
+    texts = _above(plan, "length(text")
+    assert not any("Join" in x for x in texts[:1]) and "Join" in "".join(texts[1:])
+
+
+def test_wide_table_joins_users_to_orders(spark):
+    from reelsight.plans.standin import ratings_standin
+    plan = ratings_standin(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "Relation" in x and "c_custkey" in x)
+    joins = [re.search(r"Join Inner, .*?\((\w+)#", x)[1] for x in _above(plan, scan) if "Join" in x]
+    assert joins == ["UserID", "l_orderkey", "MovieID"]
+
+
+def test_labelled_rows_do_not_build_the_wide_table(spark):
+    from reelsight.plans import eda_queries, model_queries
+    sf = f"{SF}/."      # a path of its own, as tables are kept per path
+    model_queries.q_weight_sweep(spark, sf).collect()
+    assert not [k for k in eda_queries._WIDE if k[1] == sf]
+    written = [k for k in model_queries._LABELLED if k[1] == sf]
+    assert len(written) == 1
+    got = model_queries._LABELLED[written[0]]
+    want = model_queries.rated(spark, SF).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_landed_requests_are_compressed(spark):
+    import glob
+    from reelsight.plans.serving_queries import q_answered_once
+    from reelsight.session import checkpoint_dir
+    where = f"{checkpoint_dir(spark).removeprefix('file:')}/answered-once-*/source/*.json*"
+    before = set(glob.glob(where))
+    q_answered_once(spark, SF)
+    landed = set(glob.glob(where)) - before
+    assert landed and all(f.endswith(".gz") for f in landed)
+
+
 def test_ids_beyond_an_int(spark):
     from reelsight.operators.joins import join_titles
     from reelsight.plans.standin import raw_ratings, requests
