@@ -50,10 +50,13 @@ def shaped_details(raw: DataFrame) -> DataFrame:
     )
 
 
-def latest_details(shaped: DataFrame) -> DataFrame:
-    """The latest of the shaped records of each id.  Latest of latest is latest, so results can be merged."""
-    return shaped.groupBy("imdbID").agg(F.max(F.struct("_at", *DETAIL_COLUMNS)).alias("_r")).select(
-        "imdbID", F.col("_r._at").alias("_at"), *[F.col(f"_r.{c}").alias(c) for c in DETAIL_COLUMNS])
+def latest_details(shaped: DataFrame, *place: str) -> DataFrame:
+    """The latest of the shaped records of each id.  Latest of latest is latest, so results can be merged.
+
+    ``place``: columns that follow from the id; rows partitioned by them are not moved.
+    """
+    return shaped.groupBy(*place, "imdbID").agg(F.max(F.struct("_at", *DETAIL_COLUMNS)).alias("_r")).select(
+        "imdbID", F.col("_r._at").alias("_at"), *[F.col(f"_r.{c}").alias(c) for c in DETAIL_COLUMNS], *place)
 
 
 class DetailsTable:
@@ -61,7 +64,8 @@ class DetailsTable:
 
     Details are kept by buckets of their id, and the manifest names the folder of
     each bucket.  A landing reads and rewrites only the buckets that its ids fall
-    into, and becomes visible as a whole when the next manifest is published.
+    into, and becomes visible as a whole when the next manifest is published.  Buckets
+    in which it changes no record, as in a replay, stay as they are.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
@@ -82,6 +86,14 @@ class DetailsTable:
         folders = list(self.folder.content().get("folders", {}).values())
         return self._read(folders).agg(F.max("_at")).first()[0] if folders else None
 
+    def _changes(self, new: DataFrame, old: DataFrame) -> DataFrame:
+        """``(bucket, imdbID)`` of the new records that are not in ``old`` and no older there; texts are compared by digest."""
+        digest = F.sha2(F.to_json(F.struct(*DETAIL_COLUMNS)), 256)
+        known = old.select("imdbID", F.col("_at").alias("_known_at"), digest.alias("_known"))
+        both = new.select("bucket", "imdbID", "_at", digest.alias("_digest")).join(known, "imdbID", "left")
+        same_time = (F.col("_at") == F.col("_known_at")) & (F.col("_digest") != F.col("_known"))
+        return both.where(F.col("_known").isNull() | (F.col("_at") > F.col("_known_at")) | same_time).select("bucket", "imdbID")
+
     def land(self, raw: DataFrame) -> int:
         """Merge raw records into the table; returns how many buckets were rewritten.
 
@@ -91,17 +103,21 @@ class DetailsTable:
         version, content = self.folder.version(), self.folder.content()
         buckets = content.get("buckets", self.buckets)      # those of the first landing hold for good
         folders = content.get("folders", {})
-        new = latest_details(shaped_details(raw)).withColumn("bucket", F.pmod(F.xxhash64("imdbID"), F.lit(buckets)))
+        place = {"bucket": F.pmod(F.xxhash64("imdbID"), F.lit(buckets)), "_part": F.pmod(F.xxhash64("imdbID", F.lit(1)), F.lit(8))}
+        new = latest_details(shaped_details(raw)).withColumns(place)
         part = self.folder.new_folder("landing")
-        new.write.parquet(f"{part}/new")
+        new.write.parquet(f"{part}/new", compression="zstd")
         new = self.spark.read.parquet(f"{part}/new")
-        touched = [str(r.bucket) for r in new.select("bucket").distinct().collect()]     # at most ``buckets``
+        hit = [str(r.bucket) for r in new.select("bucket").distinct().collect()]         # at most ``buckets``
+        old = self._read([folders[b] for b in hit if b in folders])
+        touched = [str(r.bucket) for r in self._changes(new, old).select("bucket").distinct().collect()]
         if not touched:
             return 0
+        new = new.where(F.col("bucket").isin([int(b) for b in touched]))
         old = self._read([folders[b] for b in touched if b in folders])
-        merged = latest_details(old.unionByName(new.drop("bucket"))).withColumn(
-            "bucket", F.pmod(F.xxhash64("imdbID"), F.lit(buckets)))
-        merged.repartition("bucket", F.pmod(F.xxhash64("imdbID", F.lit(1)), F.lit(8))).write.partitionBy("bucket").parquet(f"{part}/merged")
+        # Both sides hold an id once, so they meet without a partial step, in the partitions that are written.
+        merged = latest_details(old.withColumns(place).unionByName(new).repartition("bucket", "_part"), "bucket", "_part")
+        merged.drop("_part").write.partitionBy("bucket").parquet(f"{part}/merged", compression="zstd")
         self.folder.publish({"buckets": buckets, "folders": folders | {
             b: f"{part}/merged/bucket={b}" for b in touched}}, after=version)
         return len(touched)

@@ -127,6 +127,10 @@ def test_landings_equal_one_rebuild_and_touch_only_their_buckets(spark, tmp_out)
     assert sum(before[b] != after[b] for b in before) <= 3
     want = sorted(map(tuple, landed_details(first.unionByName(second)).collect()), key=str)
     assert sorted(map(tuple, table.table().collect()), key=str) == want and len(want) == 201
-    table.land(second)
+    assert table.land(second) == 0 and table.folder.content()["folders"] == after      # a replay rewrites nothing
+    assert sorted(map(tuple, table.table().collect()), key=str) == want
+    same_time = records([("007", "newest", "2024-02-01"), ("008", "a", "2024-01-01")])    # the larger one wins
+    assert table.land(same_time) <= 2
+    want = sorted(map(tuple, landed_details(first.unionByName(second).unionByName(same_time)).collect()), key=str)
     assert sorted(map(tuple, table.table().collect()), key=str) == want
     assert str(table.high_water()) == "2024-02-01 00:00:00" and table.land(records([])) == 0
