@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -390,3 +391,24 @@ def test_fingerprints_of_ids_far_apart(spark):
     got = {r.doc_id: r for r in fingerprints.with_next(docs).collect()}
     order = sorted(ids, reverse=True)
     assert [got[i].next_text.split()[4] for i in order] == [str(i) for i in [*order[1:], order[0]]]
+
+
+def test_texts_that_lack_the_words_of_all_items_are_not_projected(monkeypatch):
+    """Places of a batch are those of each text; a text without the words of any item is not searched."""
+    items = decontamination.Items([(1, "alpha beta gamma delta été end"), (2, "one two three four five six"), (3, "lone")])
+    texts = ["Alpha, BETA gamma\x1cdelta; été! (end)", None, "", " \n ", "one two three other words", "one two three four. Lone_",
+             "İ alpha\x00beta ALPHA_beta x1 – été", "  lone  "]
+    at, borders = items.places_of(pa.array(["skipped", *texts])[1:])
+    for i, text in enumerate(texts):
+        assert at[borders[i]:borders[i + 1]].tolist() == items.places(decontamination.words_of(text)).tolist()
+    met = []
+    monkeypatch.setattr(decontamination, "near_passages",
+                        lambda at, space, targets, cosine: met.append(targets.shape[1]) or iter(()))
+    space = np.ones((len(items.term) + 1, 2), np.float32)
+    for i, text in enumerate(texts):
+        list(decontamination.leaks_of(items, text, at[borders[i]:borders[i + 1]], space, decontamination.latent(items, space)))
+    assert len(met) == 3
+    counted, = decontamination._frequencies(items)([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])
+    said = dict(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist()))
+    assert said == {0: len(texts)} | {n: k for w, n in items.term.items() if (
+        k := sum(w in decontamination.words_of(x) for x in texts))}
