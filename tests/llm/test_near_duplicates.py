@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,28 @@ def test_components_of_paths_stars_and_cycles(spark, parts):
     got = {r.node: r.component for r in connected_components(
         spark.createDataFrame(edges, "a long, b long").repartition(parts)).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200 + i: 200 for i in range(3)}
+
+
+def test_a_line_is_measured_as_in_a_batch():
+    lines = ["a", "short", "12345678", "the same the same the same the same", "Été à la mer 你好 world", "x" * 40_000, "\x00\x01 y"]
+    hashes, counts = line_dedup.char_shingles(lines)
+    each = np.split(hashes, np.cumsum(counts)[:-1])
+    for line, own in zip(lines, each):
+        assert line_dedup._elements(line.encode()).tolist() == sorted(set(own.tolist()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array([x.encode() for x in lines], pa.binary())],
+                                       names=["component", "payload"])
+    sized, = line_dedup._sized([batch])
+    assert sized.column("size").to_pylist() == [len(set(x.tolist())) for x in each]
+
+
+def test_signatures_are_minima_of_each_line():
+    lines = ["a", "the quick brown fox jumps", "y" * 3, "z0" * 20_000, "over the lazy dog and on"] * 3
+    bands = line_dedup.signatures(lines)
+    for line, got in zip(lines, bands):
+        words = (line_dedup.char_shingles([line])[0] >> np.uint64(32)).astype(np.uint32)
+        for b in range(line_dedup.BANDS):
+            value = np.full(1, b + 1, np.uint64)
+            for k in range(b * line_dedup.ROWS, (b + 1) * line_dedup.ROWS):
+                value = line_dedup.mix64(value * np.uint64(0x9E3779B97F4A7C15)
+                                         + (words * line_dedup._TIMES[k] + line_dedup._PLUS[k]).min())
+            assert value[0] == got[b]
