@@ -16,6 +16,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,66 +29,138 @@ from reelsight.llm.common import MEMO_WORD_BYTES, in_small_batches, materialise,
 
 MAX_TOKENS = 4096
 END_ID = 2
+SLICE_BYTES = 1 << 20           # texts whose new words are encoded together
 MEMO_WORDS = 300_000            # encoded words a task holds, and as many older ones
 GROUP_PIECES = 32_768           # remainders packed together
 GROUP_BYTES = 48 << 20          # ids packed together
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
-#: White space at which a text can be cut without changing its ids: the
-#: tokenizer drops white space and no token crosses it.
-_GAP = re.compile(r"[ \t\n\r\x0b\x0c]+")
-#: ASCII letters and marks after them are pre-tokens of their own, and case is dropped.
-_LETTERS_AND_MARKS = re.compile(r"([A-Za-z]+)([.,!?;:#$%&*]*)\Z")
-_CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
+_WIDE = re.compile(r"[^\x00-\xff]")
+#: Words of these letters alone are one pre-token, which the tokenizer's normalizer leaves as it is.
+_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+#: A step of 2 between two bytes of a text is a letter and a mark behind it, which are pre-tokens of their own.
+_STEPS = np.zeros(256, np.uint8)
+_STEPS[ord("a"):ord("z") + 1] = 1
+_STEPS[list(b".,!?;:")] = 3
+
+
+def _parted(text: bytes) -> bytes:
+    """The text with a space between each letter (a to z) and the mark behind it."""
+    held = np.frombuffer(text, np.uint8)
+    steps = _STEPS[held]
+    at = np.flatnonzero(steps[1:] - steps[:-1] == 2)
+    return np.insert(held, at + 1, ord(" ")).tobytes() if len(at) else text
+
+
+def _joined(held: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of ``held`` that begin there and have those sizes, side by side."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return held[np.repeat(begin - (ends - size), size) + np.arange(total)]
+
+
+class WordTable(dict):
+    """Numbers of words, in the order in which they are first asked for, and the ids of each number."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []              # numbered, but without ids as yet
+        self.numbers = 0
+        self.ids, self.begin, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = self.numbers
+        self.numbers += 1
+        self.new.append(word)
+        return number
+
+    def learn(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """The ids of the new words, side by side, and how many each has."""
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        for w in self.new:
+            if len(w) > MEMO_WORD_BYTES:
+                del self[w]
+        self.new = []
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word, each distinct word encoded once per task."""
+    """Ids of whole texts, word by word; each distinct word is encoded once while it is held.
+
+    A text can be cut at ASCII white space without changing its ids: the
+    tokenizer drops white space and no token crosses it.
+    """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         self.memo_words = memo_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}       # the memo before; words still in use move over
-
-    def encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word with its ids: the words are encoded as one text and told apart by offsets."""
+        self.model, before = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        letters = filter(_LETTERS.match, map(chr, range(256)))
+        self.alphabet = {ord(c): before.pre_tokenize_str(c)[0][0] for c in letters}
+        self.memo = WordTable()
+        self.older = WordTable()                # the memo before; words still in use move over
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, side by side, and how many each has: they are encoded as one text and told apart by offsets."""
         got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        begins = np.cumsum([0] + [len(w) + 1 for w in words])
-        at = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), begins)
-        return ((w, ids[at[i]:at[i + 1]].tobytes()) for i, w in enumerate(words))
-
-    def words(self, text: str) -> list[str]:
-        if text.isascii() and not _CONTROL_SPACE.search(text):
-            return text.split()
-        return [w for w in _GAP.split(text) if w]
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        offsets = np.fromiter(chain.from_iterable(got.offsets), np.int64)[::2]
+        at = np.searchsorted(offsets, np.concatenate([[0], np.cumsum(size)]))
+        return np.array(got.ids, "<u4"), np.diff(at)
+
+    def encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that are one pre-token each (``_LETTERS``), which go straight to the tokenizer's model."""
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        ids = [[t.id for t in tokenize(w.translate(alphabet))] for w in words]
+        return np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def words(self, text: str) -> list[bytes]:
+        # Up to U+00FF nothing composes and lower case goes letter by letter, as in the tokenizer;
+        # its special tokens hold "<|" and keep their case.
+        if "<|" not in text and (text.isascii() or not _WIDE.search(text)):
+            return _parted(text.lower().encode()).split()
+        return text.encode().split()
+
+    def learn(self) -> None:
+        """Find the ids of the words that are new in the memo, in the older one or by encoding them."""
+        new, older = self.memo.new, self.older
+        number = np.fromiter((older.get(w, -1) for w in new), np.int64, len(new))
+        plain, others = [], []
+        for i in np.flatnonzero(number < 0).tolist():
+            word = new[i].decode()
+            (plain if _LETTERS.fullmatch(word) else others).append((i, word))
+        unseen = [i for i, _ in plain + others]
+        some = [[w for _, w in others[i:i + 4096]] for i in range(0, len(others), 4096)]
+        ids, size = map(np.concatenate, zip((older.ids, older.size), self.encode_letters([w for _, w in plain]),
+                                            *map(self.encode, some)))
+        number[unseen] = len(older.size) + np.arange(len(unseen))
+        self.memo.learn(_joined(ids, (np.cumsum(size) - size)[number], size[number]), size[number])
+
+    def all_ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; words that are new in any of them are encoded together."""
+        memo = self.memo
+        if memo.numbers >= self.memo_words or len(memo.ids) >= 8 * self.memo_words:
+            self.older, self.memo = memo, WordTable()
+            memo = self.memo
+        number = memo.__getitem__
+        numbers = [np.fromiter(map(number, words), np.int32, len(words)) for words in map(self.words, texts)]
+        if memo.new:
+            self.learn()
+        for some in numbers:
+            yield _joined(memo.ids, memo.begin[some], memo.size[some])
 
     def ids(self, text: str) -> np.ndarray:
-        words, memo = self.words(text), self.memo
-        distinct = set(words)
-        new = [w for w in distinct if w not in memo]
-        if len(memo) + len(new) > self.memo_words:
-            self.older, self.memo = memo, {}
-            memo, new = self.memo, list(distinct)
-        if new:
-            older = self.older
-            memo.update((w, older[w]) for w in new if w in older)
-            parted = {w: m for w in new if w not in memo and (m := _LETTERS_AND_MARKS.match(w))}
-            parts = {p for m in parted.values() for p in (m[1].lower(), m[2])} - {""}
-            memo.update((p, older[p]) for p in parts if p in older and p not in memo)
-            new = [w for w in parts.union(new) if w not in memo and (w not in parted or w in parts)]
-            for i in range(0, len(new), 4096):
-                memo.update(self.encode(new[i:i + 4096]))
-            memo.update((w, memo[m[1].lower()] + (memo[m[2]] if m[2] else b"")) for w, m in parted.items())
-            new += parted
-        out = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4")
-        for w in new:
-            if len(w) > MEMO_WORD_BYTES:
-                memo.pop(w, None)
-        return out
+        return next(self.all_ids([text]))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``SLICE_BYTES`` of texts (the second column), or one longer text."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
+    borders = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE_BYTES)) + 1
+    for first, last in zip([0, *borders.tolist()], [*borders.tolist(), batch.num_rows]):
+        yield batch.slice(first, last - first)
 
 
 _PIECE = "doc_id long, start long, doc_tokens long, ids binary, sequence_id long, draw long"
@@ -101,11 +174,11 @@ def _pieces(path: str, max_tokens: int, end_id: int, seed: int, memo_words: int)
         part, made = TaskContext.get().partitionId(), 0
         draw = random.Random(f"{seed}/{part}")
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in (some for whole in batches for some in _slices(whole)):
             rows: list[tuple] = []
-            texts = batch.column(1)
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = np.concatenate([tokenizer.ids(texts[i].as_py() or ""), end])
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.all_ids(texts)):
+                ids = np.concatenate([ids, end])
                 for start in range(0, len(ids), max_tokens):
                     piece = ids[start:start + max_tokens]
                     full = len(piece) == max_tokens
@@ -200,8 +273,8 @@ def pack_sequences(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "d
     sequence, does.  A document is its ids and ``end_id``; a null or empty text is
     ``end_id`` alone; a longer document is cut every ``max_tokens`` ids.  At most
     about ``group_pieces`` remainders, and ``GROUP_BYTES`` of ids, are packed
-    together.  ``memo_words`` bounds a worker's memory of encoded words and
-    changes no result.  Repeated rows are packed once each; null ids stay null.
+    together.  ``memo_words``, and the words of ``SLICE_BYTES`` of texts, bound a
+    worker's memory of encoded words and change no result.  Repeated rows are packed once each; null ids stay null.
     Other columns are ignored; an empty table gives an empty result.
     """
     texts = in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"),

@@ -125,3 +125,33 @@ def test_groups_are_bounded_by_bytes(spark, some_docs, tokenizer, monkeypatch):
     rows = packing.pack_documents(some_docs, tokenizer_file("word_bpe_49k.json")).collect()
     check(rows, [(r.doc_id, r.text) for r in some_docs.collect()], tokenizer)
     assert len({r.sequence_id >> 24 for r in rows if r.sequence_id < 1 << 62}) > 1
+
+
+def test_each_word_is_encoded_once_for_many_texts(tokenizer, monkeypatch):
+    """Texts with the same words in another case or with marks behind them ask the tokenizer for them together and once."""
+    ours = packing.WordTokenizer(tokenizer_file("word_bpe_49k.json"))
+    asked = []
+    for name in ("encode", "encode_letters"):
+        plain = getattr(ours, name)
+        monkeypatch.setattr(ours, name, lambda words, plain=plain: asked.append(list(words)) or plain(words))
+    texts = ["Été word, Word. WORD!? word", "", "  \n", "word naïve, naïve. x×y 4.5,word a\x1cb\x85", "Naïve x" + "y" * 300 + " z!"]
+    for text, ids in zip(texts, ours.all_ids(texts), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    words = sum(asked, [])
+    assert len(asked) <= 2 and len(words) == len(set(words)) and not {"Word", "word,", "word.", "WORD!?", "Été", "Naïve", "z!"} & set(words)
+    assert max(map(len, ours.memo)) <= packing.MEMO_WORD_BYTES
+    few = packing.WordTokenizer(tokenizer_file("word_bpe_49k.json"), memo_words=3)
+    for text in texts * 2:
+        assert few.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(few.memo) + len(few.older) <= 20
+
+
+def test_odd_signs_have_the_ids_of_whole_texts(tokenizer):
+    draw = np.random.default_rng(3)
+    signs = [*"aZhHtTsS'.,!?;:|<>*4 \n\x0b\x00\x1c\x85\xa0\xadµªºßÀÿ×÷ÉéΣσςİıſǰ̸̱́̈K你", "<|endoftext|>",
+             "<|EndOfText|>", "'re", "the", "Est", "été"]
+    ours = packing.WordTokenizer(tokenizer_file("word_bpe_49k.json"))
+    narrow = [s for s in signs if max(s) <= "\xff" and "<" not in s]
+    texts = ["".join(draw.choice(some, draw.integers(0, 24))) for some in (signs, narrow, narrow, [*"aé'.,! "]) for _ in range(500)]
+    for text, ids in zip(texts, ours.all_ids(texts), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
