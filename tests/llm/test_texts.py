@@ -412,3 +412,38 @@ def test_texts_that_lack_the_words_of_all_items_are_not_projected(monkeypatch):
     said = dict(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist()))
     assert said == {0: len(texts)} | {n: k for w, n in items.term.items() if (
         k := sum(w in decontamination.words_of(x) for x in texts))}
+
+
+def test_latent_space_is_fitted_on_every_passage(spark):
+    """With more than 20,000 passages, too: the space is that of the SVD of the matrix of all of them."""
+    draw = np.random.default_rng(6)
+    words = [f"{a}{b}{c}ening" for a in "bdf" for b in "aeiou" for c in "nrst"]
+    docs = [(i, " ".join(words[k] for k in draw.choice(60, 25_000, p=draw.dirichlet(np.ones(60))))) for i in range(48)]
+    items = decontamination.Items([(i, " ".join(words[3 * i:3 * i + 12])) for i in range(10)])
+    terms, width = len(items.term) + 1, decontamination.STEP * decontamination.SCALES[-1]
+    parts = [at[k:k + width] for at in [items.places(decontamination.words_of(t)) for _, t in docs] for k in range(0, len(at), width)]
+    assert len(parts) > 20_000
+    counts = np.stack([np.bincount(x, minlength=terms) for x in parts + items.own])[:, 1:]
+    held = sum(np.isin(np.arange(1, terms), items.places(decontamination.words_of(t))) for _, t in docs)
+    idf = np.log(1 + (len(docs) + 1) / (held + 1)) ** decontamination.IDF_POWER
+    counts = counts * idf
+    counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-12)
+    values, vectors = np.linalg.eigh(counts.T @ counts)
+    want = (vectors * idf[:, None] / np.sqrt(values))[:, ::-1]
+    got = decontamination.fit_space(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert got.shape == (terms, terms - 1) and not got[0].any()
+    np.testing.assert_allclose(np.abs(got[1:]), np.abs(want), rtol=2e-3, atol=2e-4)
+
+
+def test_terms_that_repeat_in_a_passage_and_passages_without_any():
+    items = decontamination.Items([(1, "a b c d")])
+    texts = pa.array(["a x a b " * 14 + "x " * 56 + "c", None, "", "x y", "d d"])
+    at, borders = items.places_of(texts)
+    assert decontamination._passages(at, borders, 5).to_pylist() == [[1] * 28 + [2] * 14, [3], [4, 4]]
+    lists = pa.RecordBatch.from_arrays([pa.array([[], [1, 1, 2], [], [2, 4, 4, 4]], pa.list_(pa.int32()))], names=["terms"])
+    idf, right = np.array([0, 2.0, 3.0, 5.0, 0.5]), np.random.default_rng(1).standard_normal((5, 3))
+    a = np.array([[0, 4.0, 3.0, 0, 0], [0, 0, 3.0, 0, 1.5]])
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    block, = decontamination._product(idf, right)([lists])
+    assert block.column("term").to_pylist() == [0]
+    np.testing.assert_allclose(np.frombuffer(block.column("rows")[0].as_py()).reshape(5, 3), a.T @ (a @ right), atol=1e-12)
