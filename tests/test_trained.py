@@ -75,3 +75,38 @@ def test_details_land_compressed(spark, sf):
     assert details.count() == 20
     files = details.inputFiles()
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def _joined(plan):
+    """The schemas, as JSON, of what the plan's joins read."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [c.schema().json() for c in children] if plan.nodeName() == "Join" else []
+    return own + [x for c in children for x in _joined(c)]
+
+
+def test_scores_meet_a_title_s_text_as_one_number(spark, sf):
+    from pyspark.sql import functions as F
+
+    from reelsight.operators.hybrid import score_requests
+    from reelsight.operators.models import predict_linear
+    from reelsight.plans.standin import serving_items, serving_users
+    from reelsight.schemas import REQUEST_SCHEMA
+    t = mq.trained(spark, sf)
+    df = t["df"].unionByName(t["df"].limit(1).withColumn("MovieID", F.lit(999).cast("long")))
+    keys = ["UserID", "MovieID", "date_time", "UserRating"]
+
+    def scores(scored):
+        return sorted((*[r[k] for k in keys], r.lr_prediction) for r in scored.select(*keys, "lr_prediction").collect())
+    want = scores(predict_linear(t["lr"], t["feature_model"].transform(df)))
+    got = scores(predict_linear(t["lr"], df, features=t["feature_model"]))
+    assert len(got) == 401 and [x[:-1] for x in got] == [x[:-1] for x in want]
+    assert max(abs(a[-1] - b[-1]) for a, b in zip(got, want)) < 1e-12
+    assert t["feature_model"].text_scores(t["lr"]).where("_text_score <> 0").count() > 0
+
+    asked = spark.createDataFrame([(i, i % 14, i, *[None] * 7) for i in range(25)], REQUEST_SCHEMA)
+    scored = score_requests(asked, t["als"], t["lr"], t["feature_model"], serving_users(spark, sf), serving_items(spark, sf),
+                            method=t["method"])
+    assert {r.RequestID for r in scored.collect()} == set(range(25))
+    for result in (scored, mq.model_predictions(spark, sf)):
+        met = _joined(result._jdf.queryExecution().optimizedPlan())
+        assert met and not any("VectorUDT" in x for x in met)
