@@ -101,16 +101,18 @@ def encode_dimensions(train: DataFrame, titles: DataFrame, users: DataFrame, ite
     t = t.withColumn("squares", F.aggregate("value", F.lit(0.0), lambda a, x: a + x * x))
     texts = None
     if item_text is not None:
+        # The vector is written first and its length bound once: a function over its numbers would compute both for each.
         v = F.unwrap_udt("plot_tfidf")
         length = F.sqrt(F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x * x))
-        texts = item_text.select(
+        scaled = F.transform(F.array(length), lambda n: F.transform(v["values"], lambda x: F.when(n > 0, x / n).otherwise(x)))
+        texts = item_text.select("MovieID", "plot_tfidf").checkpoint().select(
             "MovieID", F.transform(v["indices"], lambda i: i + layout.begin["text"]).alias("text_index"),
-            F.when(length > 0, F.transform(v["values"], lambda x: x / length)).otherwise(v["values"]).alias("text_value"))
+            F.get(scaled, F.lit(0)).alias("text_value"))
     u = encode_slots(users, slots, {c: VECTOR_NAMES[c] for c in _USER}).select(
         "UserID", F.array_sort(_positions(layout, _USER)).alias("index"))
     u = u.withColumn("weight", F.when(F.size("index") > 0, 1 / F.sqrt(F.size("index").cast("double"))).otherwise(0.0))
     # one row per title and per user, read by the training and by every prediction
-    return Dimensions(layout, t.checkpoint(), texts and texts.checkpoint(), u.checkpoint(), float(means[0] or 0.0))
+    return Dimensions(layout, t.checkpoint(), texts, u.checkpoint(), float(means[0] or 0.0))
 
 
 def grouped(ratings: DataFrame, dims: Dimensions, label: str) -> tuple[DataFrame, DataFrame]:

@@ -149,3 +149,34 @@ def test_a_title_with_several_years_meets_its_text_once():
         for i, row in zip(out.column("feature").to_pylist(), out.column("row").to_pylist()):
             got[i] = np.frombuffer(row)
     assert np.allclose(got, want)
+
+
+def test_a_text_s_length_is_taken_once_not_for_each_of_its_numbers(spark, monkeypatch):
+    """No function over a text vector's numbers sums up the vector again, or holds the stages that make it."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from reelsight.operators.factorised import encode_dimensions
+    from reelsight.operators.features import fit_text_model, item_text_features
+    df, train, _, _ = _materialised(spark, False)
+    items = spark.createDataFrame([(m, f"Word{m} other word{m % 3} plain") for m in range(5)] + [(7, None)], "MovieID int, plot_outline string")
+    text = item_text_features(fit_text_model(items), items)
+    written, checkpoint = [], DataFrame.checkpoint
+
+    def seen(self, *args):
+        written.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return checkpoint(self, *args)
+    monkeypatch.setattr(DataFrame, "checkpoint", seen)
+    titles = df.select("MovieID", "Genres", "directedBy", "starring", "rating_imdb", "runtimes").dropDuplicates(["MovieID"])
+    users = df.select("UserID", "Gender", "Occupation_Name", "Age").dropDuplicates(["UserID"])
+    dims = encode_dimensions(train, titles, users, text)
+    plans = [*written, dims.texts._jdf.queryExecution().optimizedPlan().toString()]
+    assert any("plot_tfidf" in x for x in plans)
+    made = [line for x in plans for line in x.splitlines() if "AS text_value" in line]
+    assert made and not any("UDF(" in line or " / SQRT(" in line.upper() for line in made)
+    want = {r.MovieID: r.plot_tfidf for r in text.collect()}
+    for r in dims.texts.collect():
+        v = want.pop(r.MovieID)
+        assert [i - dims.layout.begin["text"] for i in r.text_index] == v.indices.tolist()
+        length = float(v.norm(2)) or 1.0
+        assert r.text_value == pytest.approx([x / length for x in v.values])
+    assert not want
